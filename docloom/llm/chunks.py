@@ -8,6 +8,7 @@ worker holds one table; it is emptied when it exceeds ``max_chars``, so memory i
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ SLICE_CHARS = 1 << 21
 class ChunkTable:
     """``cut`` gives a text's chunks; ``segment`` the packed ids of each of a list of distinct chunks."""
 
-    def __init__(self, cut: Callable[[str], list[str]], segment: Callable[[list[str]], list[bytes]], max_chars: int = 1 << 25):
+    def __init__(self, cut: Callable[[str], list[str]], segment: Callable[[list[str]], list[bytes]], max_chars: int = 1 << 23):
         self.cut, self.segment, self.max_chars = cut, segment, max_chars
         self.table: dict[str, bytes] = {}
         self.chars = 0
@@ -53,8 +54,13 @@ def _slices(texts: list[str]) -> Iterator[list[str]]:
         yield some
 
 
-def packed(ids: Iterable[int]) -> bytes:
-    return np.fromiter(ids, dtype="<u4").tobytes()
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: A word of Latin letters and the punctuation behind it.
+WORD = re.compile(f"([ ▁]*[{LETTERS}]+)([.,!?;:|()\"\\n]*)").fullmatch
 
 
 class PieceSegmenter:
@@ -79,6 +85,11 @@ class PieceSegmenter:
         if m.encode(f"\n{self.MARK}a")[: len(lead)] != lead or m.encode("a b") != m.encode("a▁b") or m.encode("  a") == m.encode("a"):
             raise ValueError("chunks need byte fallback, a dummy prefix and white space kept as it is")
         self.lead = len(lead)
+        final = '.,!?;:|()"\n'
+        if any(a in final or (b in final and a != self.MARK) for a, b in self.pairs if len(a + b) == 2 and (a.isalpha() or b.isalpha())):
+            self.word = lambda chunk: None
+        else:
+            self.word = WORD
         self.parts = ChunkTable(lambda c: self.split(c), self.whole)
         self.find = re.compile(f"{self.MARK}+[^{self.MARK}]*").findall
 
@@ -86,6 +97,8 @@ class PieceSegmenter:
         return self.find(self.MARK + text.replace(" ", self.MARK)) if text else []
 
     def split(self, chunk: str) -> list[str]:
+        if (m := self.word(chunk)) and len(m[2]) < 2:
+            return [m[1], m[2]] if m[2] else [chunk]
         pairs = self.pairs
         at = [0, *(i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in pairs), len(chunk)]
         return [chunk[a:b] for a, b in zip(at, at[1:], strict=False)]
@@ -110,14 +123,13 @@ class WordSegmenter:
 
         self.model = Tokenizer.from_str(config)
         self.parts = ChunkTable(self.split, self.whole)
-        self.word = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|()\"]*)").fullmatch
 
     @staticmethod
     def cut(text: str) -> list[str]:
         return [c for c in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if c]
 
     def split(self, chunk: str) -> list[str]:
-        m = self.word(chunk)
+        m = WORD(chunk)
         return [m[1].lower(), *filter(None, [m[2]])] if m else [chunk]
 
     def whole(self, parts: list[str]) -> list[bytes]:
