@@ -1,73 +1,151 @@
 """Distinct-chunk tables: a chunk that occurs again is not segmented again.
 
-A text is cut into chunks that its tokenizer can never merge across. A table maps each distinct chunk to
-its ids as packed 32-bit integers; a document's ids are its chunks' entries joined by position. Each
-worker holds one table; it is emptied when it exceeds ``max_chars``, so memory is bounded on any corpus.
+A batch of texts, as UTF-8 bytes, is cut into chunks that its tokenizer can never merge across. Every
+chunk gets a 64-bit rolling hash; each distinct chunk is segmented once by the library and its ids stay
+in a table; a document's ids are its chunks' entries joined by position. Each worker holds one table, and
+starts a new one when it exceeds ``most`` chunks or ids, so memory is bounded on any corpus.
 """
 
 from __future__ import annotations
 
-import re
-import struct
-from collections.abc import Callable, Iterable, Iterator
+import os
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_CHARS = 1 << 21
+SLICE_BYTES = 1 << 20
+_rng = np.random.default_rng(20)
+_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15 | 5
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: list[np.ndarray] = []
 
 
-class ChunkTable:
-    """``cut`` gives a text's chunks; ``segment`` the packed ids of each of a list of distinct chunks."""
-
-    def __init__(self, cut: Callable[[str], list[str]], segment: Callable[[list[str]], list[bytes]], max_chars: int = 1 << 23):
-        self.cut, self.segment, self.max_chars = cut, segment, max_chars
-        self.table: dict[str, bytes] = {}
-        self.chars = 0
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for some in _slices(texts):
-            if self.chars > self.max_chars:
-                self.table.clear()
-                self.chars = 0
-            cuts = [self.cut(t) for t in some]
-            new = list({c for cut in cuts for c in cut}.difference(self.table))
-            self.chars += sum(map(len, new)) + 8 * len(new)
-            self.table.update(zip(new, self.segment(new), strict=True))
-            find = self.table.__getitem__
-            out += [b"".join(map(find, cut)) for cut in cuts]
-        return out
-
-
-def _slices(texts: list[str]) -> Iterator[list[str]]:
-    some, n = [], 0
-    for t in texts:
-        some.append(t)
-        n += len(t)
-        if n >= SLICE_CHARS:
-            yield some
-            some, n = [], 0
-    if some:
-        yield some
-
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, n of each at least."""
+    if not _powers or len(_powers[0]) < n:
+        size = 1 << max(20, n.bit_length())
+        _powers[:] = []
+        for base in (_BASE, _INVERSE):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            np.multiply.accumulate(x, out=x)
+            _powers.append(x)
+    return _powers
 
-def packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
 
-
-LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: A word of Latin letters and the punctuation behind it.
-WORD = re.compile(f"([ ▁]*[{LETTERS}]+)([.,!?;:|()\"\\n]*)").fullmatch
+class ChunkTable:
+    def __init__(self, segmenter: PieceSegmenter | WordSegmenter, most: int = 500_000):
+        self.by, self.most = segmenter, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[int, int] = {}
+        self.ids = np.zeros(1 << 16, np.int32)
+        self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and where each text's begin and end."""
+        flat, counts, some, n = [], [], [], 0
+        for k, t in enumerate(texts):
+            some.append(t)
+            n += len(t)
+            if n >= SLICE_BYTES or k == len(texts) - 1:
+                ids, each = self._slice(some)
+                flat.append(ids)
+                counts.append(each)
+                some, n = [], 0
+        offsets = np.zeros(len(texts) + 1, np.int64)
+        if texts:
+            np.cumsum(np.concatenate(counts), out=offsets[1:])
+        return (np.concatenate(flat) if flat else np.zeros(0, np.int32)), offsets
+
+    def _slice(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.place) > self.most or self.used > 16 * self.most:
+            self.clear()
+        texts = [self.by.prepare(t) for t in texts]
+        sizes = np.array([len(t) for t in texts])
+        ends = np.cumsum(sizes)
+        raw = b"".join(texts)
+        if not raw:
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        b = np.frombuffer(raw, np.uint8)
+        cut = self.by.cuts(b)
+        cut[(ends - sizes)[sizes > 0]] = True
+        start = np.flatnonzero(cut)
+        stop = np.append(start[1:], len(b))
+        power, inverse = _powers_to(len(b))
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_BYTE[self.by.fold(b)] * power[: len(b)], out=sums[1:])
+        keys = (sums[stop] - sums[start]) * inverse[start]
+        distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        at = np.array([self.place.get(k, -1) for k in distinct.tolist()], np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = self._learn(distinct[new], [raw[s:e] for s, e in zip(start[first[new]].tolist(), stop[first[new]].tolist(), strict=True)])
+        at = at[back]
+        count = self.count[at]
+        so_far = np.cumsum(count)
+        ids = self.ids[np.repeat(self.start[at] - so_far + count, count) + np.arange(so_far[-1])]
+        # A text's ids end with those of its last chunk.
+        total = np.append(0, so_far)[np.searchsorted(start, ends)]
+        return ids, np.diff(total, prepend=0)
+
+    def _learn(self, keys: np.ndarray, chunks: list[bytes]) -> np.ndarray:
+        lists = self.by.segment(chunks)
+        count = np.array([len(x) for x in lists], np.int64)
+        ids = np.array([i for x in lists for i in x], np.int32)
+        known = len(self.place)
+        self.ids = _room(self.ids, self.used + len(ids))
+        self.start, self.count = _room(self.start, known + len(keys)), _room(self.count, known + len(keys))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[known : known + len(keys)] = self.used + np.cumsum(count) - count
+        self.count[known : known + len(keys)] = count
+        self.used += len(ids)
+        self.place.update(zip(keys.tolist(), range(known, known + len(keys)), strict=True))
+        return np.arange(known, known + len(keys))
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+
+
+def _lookup(chars: str) -> np.ndarray:
+    found = np.zeros(256, bool)
+    found[list(chars.encode("ascii"))] = True
+    return found
+
+
+_ASCII_LETTER = _lookup("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+LATIN = [chr(c) for c in range(256) if chr(c).isalpha() and (c < 128 or c >= 0xC0)]
+
+
+def _letters(b: np.ndarray) -> np.ndarray:
+    """Bytes of ASCII letters and of U+00C0 to U+00FF but for the signs of multiplication and division."""
+    letter = _ASCII_LETTER[b]
+    lead = np.flatnonzero(b[:-1] == 0xC3)
+    lead = lead[(b[lead + 1] != 0x97) & (b[lead + 1] != 0xB7)]
+    letter[lead] = letter[lead + 1] = True
+    return letter
+
+
+def _cuts(b: np.ndarray, blank: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Cuts before runs of blanks, and between letters and the given marks."""
+    is_blank, is_mark, letter = blank[b], mark[b], _letters(b)
+    cut = np.zeros(len(b), bool)
+    cut[1:] = is_blank[1:] & ~is_blank[:-1] | letter[:-1] & is_mark[1:] | is_mark[:-1] & letter[1:]
+    return cut
 
 
 class PieceSegmenter:
-    """Ids of a piece model with byte fallback, identity normalisation and a dummy prefix.
+    """For a piece model with byte fallback, identity normalisation and a dummy prefix.
 
     No merge can join two characters that stand next to each other in no piece. Chunks begin at runs of
-    the marker; on first sight a chunk is cut further wherever its two neighbours are no such pair.
+    the marker, and where letters meet characters that no piece has beside letters.
     """
 
     MARK = "▁"
@@ -75,68 +153,62 @@ class PieceSegmenter:
     def __init__(self, proto: bytes):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=proto)
-        m = self.model
+        m = self.model = sentencepiece.SentencePieceProcessor(model_proto=proto)
         pieces = [m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))]
-        self.pairs = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
-        if any(b == self.MARK and a != self.MARK for a, b in self.pairs):
+        pairs = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+        if any(p[1] == self.MARK and p[0] != self.MARK for p in pairs):
             raise ValueError("this model has pieces that cross a marker")
         lead = m.encode("\n")
-        if m.encode(f"\n{self.MARK}a")[: len(lead)] != lead or m.encode("a b") != m.encode("a▁b") or m.encode("  a") == m.encode("a"):
+        if m.encode("\n a")[: len(lead)] != lead or m.encode("a b") != m.encode("a▁b") or m.encode("  a") == m.encode("a"):
             raise ValueError("chunks need byte fallback, a dummy prefix and white space kept as it is")
         self.lead = len(lead)
-        final = '.,!?;:|()"\n'
-        if any(a in final or (b in final and a != self.MARK) for a, b in self.pairs if len(a + b) == 2 and (a.isalpha() or b.isalpha())):
-            self.word = lambda chunk: None
-        else:
-            self.word = WORD
-        self.parts = ChunkTable(lambda c: self.split(c), self.whole)
-        self.find = re.compile(f"{self.MARK}+[^{self.MARK}]*").findall
+        beside = {x for p in pairs for x in p if any(c in LATIN for c in p)}
+        self.blank, self.mark = _lookup(" "), _lookup("".join(c for c in map(chr, range(128)) if c not in beside and c != " "))
 
-    def cut(self, text: str) -> list[str]:
-        return self.find(self.MARK + text.replace(" ", self.MARK)) if text else []
+    def prepare(self, text: bytes) -> bytes:
+        return b" " + text.replace(self.MARK.encode(), b" ") if text else text
 
-    def split(self, chunk: str) -> list[str]:
-        if (m := self.word(chunk)) and len(m[2]) < 2:
-            return [m[1], m[2]] if m[2] else [chunk]
-        pairs = self.pairs
-        at = [0, *(i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in pairs), len(chunk)]
-        return [chunk[a:b] for a, b in zip(at, at[1:], strict=False)]
+    def fold(self, b: np.ndarray) -> np.ndarray:
+        return b
 
-    def whole(self, parts: list[str]) -> list[bytes]:
-        """Behind a line feed, which no piece contains, a part is segmented as in the midst of a text."""
-        return [packed(ids[self.lead :]) for ids in self.model.encode(["\n" + p for p in parts], num_threads=1)] if parts else []
+    def cuts(self, b: np.ndarray) -> np.ndarray:
+        return _cuts(b, self.blank, self.mark)
 
-    def segment(self, chunks: list[str]) -> list[bytes]:
-        return self.parts.encode(chunks)
+    def segment(self, chunks: list[bytes]) -> list[list[int]]:
+        """Behind a line feed, which no piece contains, a chunk is segmented as in the midst of a text."""
+        return [ids[self.lead :] for ids in self.model.encode(["\n" + c.decode() for c in chunks], num_threads=1)]
 
 
 class WordSegmenter:
-    """Ids of a lower-casing word BPE that drops white space: chunks are what stands between blanks.
-
-    On first sight a chunk of Latin letters and final punctuation is cut between the two, as the
-    tokenizer's own pattern cuts there; any other chunk goes to the library as it is.
-    """
+    """For a lower-casing word BPE that drops white space: its pattern ends words at blanks and final punctuation."""
 
     def __init__(self, config: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(config)
-        self.parts = ChunkTable(self.split, self.whole)
+        self.blank, self.mark = _lookup(" \n\t\r"), _lookup('.,!?;:()"')
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[65:91] += 32
 
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        return [c for c in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if c]
+    def prepare(self, text: bytes) -> bytes:
+        return text
 
-    def split(self, chunk: str) -> list[str]:
-        m = WORD(chunk)
-        return [m[1].lower(), *filter(None, [m[2]])] if m else [chunk]
+    def fold(self, b: np.ndarray) -> np.ndarray:
+        """Small letters for capitals, unless a combining mark follows, with which they might compose otherwise."""
+        low = self.lower[b]
+        marked = np.flatnonzero((b[1:] == 0xCC) | (b[1:] == 0xCD))
+        low[marked] = b[marked]
+        return low
 
-    def whole(self, parts: list[str]) -> list[bytes]:
-        return [packed(e.ids) for e in self.model.encode_batch(parts, add_special_tokens=False)] if parts else []
+    def cuts(self, b: np.ndarray) -> np.ndarray:
+        return _cuts(b, self.blank, self.mark)
 
-    def segment(self, chunks: list[str]) -> list[bytes]:
-        return self.parts.encode(chunks)
+    def segment(self, chunks: list[bytes]) -> list[list[int]]:
+        found: list[list[int]] = [[] for _ in chunks]
+        e = self.model.encode([c.decode() for c in chunks], is_pretokenized=True, add_special_tokens=False)
+        for k, i in zip(e.word_ids, e.ids, strict=True):
+            found[k].append(i)
+        return found
 
 
 _made: dict[tuple[str, int], ChunkTable] = {}
@@ -144,34 +216,28 @@ _made: dict[tuple[str, int], ChunkTable] = {}
 
 def table_for(kind: str, model: bytes) -> ChunkTable:
     """One table for each worker and model."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     key = (kind, hash(model))
     if key not in _made:
-        segmenter = PieceSegmenter(model) if kind == "piece" else WordSegmenter(model.decode())
-        _made[key] = ChunkTable(segmenter.cut, segmenter.segment)
+        _made[key] = ChunkTable(PieceSegmenter(model) if kind == "piece" else WordSegmenter(model.decode()))
     return _made[key]
 
 
-def id_lists(blobs: list[bytes], end_id: int | None) -> pa.ListArray:
-    tail = b"" if end_id is None else packed([end_id])
-    blobs = [b + tail for b in blobs]
-    offsets = np.zeros(len(blobs) + 1, dtype=np.int64)
-    np.cumsum([len(b) // 4 for b in blobs], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(blobs), dtype="<i4")))
+def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    return (ids, offsets) if end_id is None else (np.insert(ids, offsets[1:], end_id), offsets + np.arange(len(offsets)))
 
 
 def encode(docs: DataFrame, kind: str, model: bytes, end_id: int | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Returns (doc_id, ids array<int>); null texts count as empty, other columns are left behind."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_for(kind, model)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 b = batch.slice(start, 1000)
-                ids = id_lists(table.encode(b.column(1).to_pylist()), end_id)
-                yield pa.RecordBatch.from_arrays([b.column(0), ids], names=["doc_id", "ids"])
+                ids, offsets = with_end(*table.encode(b.column(1).to_pylist()), end_id)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["doc_id", "ids"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
