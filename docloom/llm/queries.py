@@ -3,16 +3,51 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import pieces
-from docloom.llm.common import documents
+from docloom.llm import media, pieces, pii, quality, toxicity
+from docloom.llm.common import documents, fold
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_table(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
+        "digest", "shard", "offset", "width", "height", "depth",
+    )
+
+
+def _scored(docs: DataFrame, score: Column, threshold: float) -> DataFrame:
+    scores = docs.select("doc_id", (fold("doc_id") == 0).alias("held_out"), score.alias("score"))
+    return scores.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return _scored(docs, toxicity.score_column(toxicity.train(docs, labels(spark, sf_dir))), 0.5)
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans_by_document(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["base"])
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    scores = F.array_join(F.transform("spans", lambda s: F.round(s["score"], 2).cast("string")), ",")
+    return found.select("doc_id", *map(count, pii.BASE), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), scores.alias("scores"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return _scored(docs, quality.score_column(quality.train(docs, labels(spark, sf_dir))), 0.3)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.read_model(PIECE_MODEL)
     both = pieces.decode(pieces.encode(documents(spark, sf_dir), model), model)
@@ -24,5 +59,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op8_sentencepiece": op8_sentencepiece}
+QUERIES = {
+    "op1_media": op1_media,
+    "op3_toxicity": op3_toxicity,
+    "op4_pii": op4_pii,
+    "op5_quality": op5_quality,
+    "op8_sentencepiece": op8_sentencepiece,
+}
 ORACLE_SQL: dict[str, str] = {}
