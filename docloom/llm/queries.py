@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import media, pieces, pii, quality, toxicity
-from docloom.llm.common import documents, fold
+from docloom.llm import jaccard, media, mixing, pieces, pii, quality, suffixes, token_files, toxicity
+from docloom.llm.common import documents, fold, fresh_path
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
@@ -24,6 +24,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(documents(spark, sf_dir))
+
+
 def _scored(docs: DataFrame, score: Column, threshold: float) -> DataFrame:
     scores = docs.select("doc_id", (fold("doc_id") == 0).alias("held_out"), score.alias("score"))
     return scores.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -48,6 +52,19 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, quality.score_column(quality.train(docs, labels(spark, sf_dir))), 0.3)
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(documents(spark, sf_dir))
+    removed = F.aggregate(F.zip_with("starts", "ends", lambda s, e: e - s), F.lit(0).cast("long"), lambda a, n: a + n)
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    token_files.write(documents(spark, sf_dir), path, "word", pieces.read_model(WORD_MODEL), end_id=1)
+    found = token_files.with_starts(token_files.checksums(token_files.read(spark, path)))
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.read_model(PIECE_MODEL)
     both = pieces.decode(pieces.encode(documents(spark, sf_dir), model), model)
@@ -59,11 +76,19 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_media": op1_media,
+    "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_pii": op4_pii,
     "op5_quality": op5_quality,
+    "op6_repeats": op6_repeats,
+    "op7_token_files": op7_token_files,
     "op8_sentencepiece": op8_sentencepiece,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {}
