@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import jaccard, media, mixing, pieces, pii, quality, suffixes, token_files, toxicity
+from docloom.llm import jaccard, media, mixing, pieces, pii, quality, suffixes, token_files, toxicity, winnowing
 from docloom.llm.common import documents, fold, fresh_path
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -76,6 +76,19 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.compare_with_edits(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited"), 256).alias("edited_sha256"),
+        winnowing.written("fingerprint").alias("fingerprint"),
+        winnowing.written("edited_fingerprint").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir))
 
@@ -89,6 +102,7 @@ QUERIES = {
     "op6_repeats": op6_repeats,
     "op7_token_files": op7_token_files,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_winnowing": op9_winnowing,
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {}
