@@ -1 +1,6 @@
-"""See the package README."""
+"""Queries over the driver's tables, by theme; importing this package registers them all."""
+
+from docloom.plans import search, texts  # noqa: F401
+from docloom.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
