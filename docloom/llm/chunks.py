@@ -8,14 +8,19 @@ starts a new one when it exceeds ``most`` chunks or ids, so memory is bounded on
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import bounded_batches
+
 SLICE_BYTES = 1 << 20
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -38,7 +43,7 @@ def _powers_to(n: int) -> list[np.ndarray]:
 
 
 class ChunkTable:
-    def __init__(self, segmenter: PieceSegmenter | WordSegmenter, most: int = 500_000):
+    def __init__(self, segmenter: PieceSegmenter | WordSegmenter, most: int = 900_000):
         self.by, self.most = segmenter, most
         self.clear()
 
@@ -65,7 +70,7 @@ class ChunkTable:
         return (np.concatenate(flat) if flat else np.zeros(0, np.int32)), offsets
 
     def _slice(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.place) > self.most or self.used > 16 * self.most:
+        if len(self.place) > self.most or self.used > 8 * self.most:
             self.clear()
         texts = [self.by.prepare(t) for t in texts]
         sizes = np.array([len(t) for t in texts])
@@ -96,9 +101,7 @@ class ChunkTable:
         return ids, np.diff(total, prepend=0)
 
     def _learn(self, keys: np.ndarray, chunks: list[bytes]) -> np.ndarray:
-        lists = self.by.segment(chunks)
-        count = np.array([len(x) for x in lists], np.int64)
-        ids = np.array([i for x in lists for i in x], np.int32)
+        ids, count = self.by.segment(chunks)
         known = len(self.place)
         self.ids = _room(self.ids, self.used + len(ids))
         self.start, self.count = _room(self.start, known + len(keys)), _room(self.count, known + len(keys))
@@ -174,27 +177,37 @@ class PieceSegmenter:
     def cuts(self, b: np.ndarray) -> np.ndarray:
         return _cuts(b, self.blank, self.mark)
 
-    def segment(self, chunks: list[bytes]) -> list[list[int]]:
+    def segment(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Behind a line feed, which no piece contains, a chunk is segmented as in the midst of a text."""
-        return [ids[self.lead :] for ids in self.model.encode(["\n" + c.decode() for c in chunks], num_threads=1)]
+        lists = [ids[self.lead :] for ids in self.model.encode(["\n" + c.decode() for c in chunks], num_threads=1)]
+        return np.fromiter(chain.from_iterable(lists), np.int32), np.fromiter(map(len, lists), np.int64, len(lists))
 
 
 class WordSegmenter:
-    """For a lower-casing word BPE that drops white space: its pattern ends words at blanks and final punctuation."""
+    """For a lower-casing word BPE that drops white space: its pattern ends words at blanks and final punctuation.
+
+    Words of Latin letters alone, in small letters, are what its normaliser and pattern leave as they are, so
+    a second tokenizer of the same merges without those two takes them; all else goes to the whole tokenizer.
+    """
 
     def __init__(self, config: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(config)
+        lean = json.loads(config)
+        bytewise = [p for p in lean["pre_tokenizer"]["pretokenizers"] if p["type"] == "ByteLevel"]
+        self.lean = Tokenizer.from_str(json.dumps(lean | {"normalizer": None, "added_tokens": [], "pre_tokenizer": bytewise[0]}))
         self.blank, self.mark = _lookup(" \n\t\r"), _lookup('.,!?;:()"')
         self.lower = np.arange(256, dtype=np.uint8)
         self.lower[65:91] += 32
+        self.lower[list(b"\n\t\r")] = 0x20
+        self.word = re.compile("[ \\n\\t\\r]*([A-Za-zÀ-ÖØ-öø-ÿ]+)").fullmatch
 
     def prepare(self, text: bytes) -> bytes:
         return text
 
     def fold(self, b: np.ndarray) -> np.ndarray:
-        """Small letters for capitals, unless a combining mark follows, with which they might compose otherwise."""
+        """Small letters for capitals, unless a combining mark follows, with which they might compose otherwise; one kind of blank."""
         low = self.lower[b]
         marked = np.flatnonzero((b[1:] == 0xCC) | (b[1:] == 0xCD))
         low[marked] = b[marked]
@@ -203,12 +216,24 @@ class WordSegmenter:
     def cuts(self, b: np.ndarray) -> np.ndarray:
         return _cuts(b, self.blank, self.mark)
 
-    def segment(self, chunks: list[bytes]) -> list[list[int]]:
-        found: list[list[int]] = [[] for _ in chunks]
-        e = self.model.encode([c.decode() for c in chunks], is_pretokenized=True, add_special_tokens=False)
-        for k, i in zip(e.word_ids, e.ids, strict=True):
-            found[k].append(i)
-        return found
+    def segment(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [c.decode() for c in chunks]
+        words = [self.word(t) for t in texts]
+        at_all, ids_all, counts_all = [], [], []
+        for model, at, some in (
+            (self.lean, [i for i, m in enumerate(words) if m], [m[1].lower() for m in words if m]),
+            (self.model, [i for i, m in enumerate(words) if not m], [t for t, m in zip(texts, words, strict=True) if not m]),
+        ):
+            if some:
+                e = model.encode(some, is_pretokenized=True, add_special_tokens=False)
+                ids = np.array(e.ids, np.int32)
+                counts = np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)) if len(ids) else np.zeros(len(some), np.int64)
+                at_all.append(np.array(at))
+                ids_all.append(ids)
+                counts_all.append(counts)
+        at, ids, counts = (np.concatenate(x) for x in (at_all, ids_all, counts_all))
+        owner = np.repeat(at, counts)
+        return ids[np.argsort(owner, kind="stable")], counts[np.argsort(at)]
 
 
 _made: dict[tuple[str, int], ChunkTable] = {}
@@ -229,6 +254,7 @@ def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int | None) -> tuple[
 
 def encode(docs: DataFrame, kind: str, model: bytes, end_id: int | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Returns (doc_id, ids array<int>); null texts count as empty, other columns are left behind."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

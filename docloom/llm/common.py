@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,14 +55,13 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(text: str = "text") -> Column:
-    return F.coalesce(F.col(text), F.lit(""))
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts go to Python in batches of at most so many rows, unless the session asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5: fold 0 is held out."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
-
-
-def total(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import fresh_path, materialize
+from docloom.llm.common import bounded_batches, fresh_path, materialize
 
 UNIT = 576
 FILL = 255
@@ -179,6 +179,7 @@ def read_back(places: DataFrame) -> DataFrame:
 def media_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: its place, the header's metadata and what was read back."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = fresh_path(spark, "media")
     packed = materialize(pack(docs, folder, doc_id, text), "media-index")
     places = locate(packed)

@@ -17,6 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import bounded_batches
 from docloom.llm.sampling import labelled_sample
 
 DICT_BYTES = 64 << 10
@@ -90,6 +91,7 @@ def expand(one: float, difference: float, kept: float) -> tuple[float, ...]:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_chars: int = 16_000_000) -> Model:
+    bounded_batches(docs.sparkSession)
     return fit(*labelled_sample(docs, labels, "quality", max_rows, max_chars))
 
 

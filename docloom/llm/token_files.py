@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import chunks
+from docloom.llm.common import materialize
 
 ROW_GROUP_BYTES = 8 << 20
 PAGE_BYTES = 256 << 10
@@ -56,6 +57,7 @@ def with_starts(measured: DataFrame) -> DataFrame:
 
     Files are as many as ranges were dealt; only their totals meet in one window.
     """
+    measured = materialize(measured, "token-sums")
     files = measured.groupBy("file").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.sum("n_tokens").alias("total"))
     before = Window.orderBy("first", "last", "file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import bounded_batches
 from docloom.llm.sampling import labelled_sample
 
 DIM = 1 << 17
@@ -106,6 +107,7 @@ def fit(texts: list[str], labels: list[int], swaps_weight: float = 1.0, epochs:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_chars: int = 24_000_000) -> Model:
+    bounded_batches(docs.sparkSession)
     return fit(*labelled_sample(docs, labels, "toxic", max_rows, max_chars))
 
 
