@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import jaccard, media, mixing, pieces, pii, quality, suffixes, token_files, toxicity, winnowing
 from docloom.llm.common import documents, fold, fresh_path
+from docloom.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
@@ -105,4 +106,3 @@ QUERIES = {
     "op9_winnowing": op9_winnowing,
     "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLE_SQL: dict[str, str] = {}
