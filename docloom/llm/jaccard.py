@@ -21,16 +21,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize
+from docloom.llm.common import bounded_batches, materialize
 from docloom.llm.components import components
 from docloom.llm.shingles import mix, shingle_sets, slices
 
 CELLS = 1 << 16
 BITS = 1024
-ENTRIES_A_BUCKET = 1_500_000
+ENTRIES_A_BUCKET = 2_000_000
 
 
 def need(n: np.ndarray) -> np.ndarray:
@@ -39,7 +39,7 @@ def need(n: np.ndarray) -> np.ndarray:
 
 
 def least_l(n: np.ndarray) -> np.ndarray:
-    return 1 + n // 20
+    return 1 + n // 5
 
 
 def chosen_l(keys: np.ndarray, offsets: np.ndarray, heavy: np.ndarray) -> np.ndarray:
@@ -50,7 +50,7 @@ def chosen_l(keys: np.ndarray, offsets: np.ndarray, heavy: np.ndarray) -> np.nda
     met = heavy[(keys >> np.uint64(48)).astype(np.int64)] & (rank < np.repeat(plain, n))
     costly = np.add.reduceat(np.append(met, False).astype(np.int64), np.minimum(offsets[:-1], len(keys))) if len(n) else n
     costly = np.where(n > 0, costly, 0)
-    return np.where(10 * costly > plain, 1 + n // 8, least_l(n))
+    return np.where(10 * costly > plain, 1 + n // 3, least_l(n))
 
 
 def _prefix(keys: np.ndarray, offsets: np.ndarray, extra: np.ndarray) -> np.ndarray:
@@ -167,8 +167,8 @@ def shared_prefixes(docs: DataFrame, heavy: np.ndarray, buckets: int, doc_id: st
     return dealt.groupBy("bucket").applyInArrow(stars, "doc long, center long, shared long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) that link, by the whole sets of sets (doc, keys)."""
+def verified(pairs: DataFrame) -> DataFrame:
+    """Those of pairs (a, b, keys_a, keys_b) that link, by their whole sets."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,10 +177,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 hold.append(100 * both >= 75 * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(hold)), b.column(1).filter(pa.array(hold))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(hold, pa.bool_())), b.column(1).filter(pa.array(hold, pa.bool_()))], names=["a", "b"])
 
-    one, two = sets.select(F.col("doc").alias("a"), F.col("keys").alias("keys_a")), sets.select(F.col("doc").alias("b"), F.col("keys").alias("keys_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "keys_a", "keys_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "keys_a", "keys_b").mapInArrow(run, "a long, b long")
 
 
 def _parity(keys: np.ndarray) -> np.ndarray:
@@ -189,27 +188,19 @@ def _parity(keys: np.ndarray) -> np.ndarray:
     return np.packbits(bits)
 
 
-def leftover_docs(sets: DataFrame, buckets: int) -> DataFrame:
-    """Of sets (doc, component, keys, l), the documents with enough prefix tokens that another component shares."""
+def leftover_docs(by_class: DataFrame, component: DataFrame) -> DataFrame:
+    """(doc, mixed) from (doc, a, shared): a bound of the prefix tokens that doc shares with any document of another component.
 
-    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tokens, rows = _prefix_entries(b)
-            for k, at in _rows_of_buckets(tokens, buckets):
-                doc, comp = b.column(0).to_numpy()[rows[at]], b.column(1).to_numpy()[rows[at]]
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([tokens[at].tobytes()]), pa.array([doc.tobytes()]), pa.array([comp.tobytes()])], names=["bucket", "tokens", "docs", "comps"])
-
-    def count(table: pa.Table) -> pa.Table:
-        tokens, docs, comps = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("tokens", np.uint64), ("docs", np.int64), ("comps", np.int64)))
-        order = np.argsort(tokens, kind="stable")
-        tokens, docs, comps = tokens[order], docs[order], comps[order]
-        first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
-        mixed = np.minimum.reduceat(comps, first) < np.maximum.reduceat(comps, first)
-        found, n = np.unique(docs[np.repeat(mixed, np.diff(np.append(first, len(tokens))))], return_counts=True)
-        return pa.Table.from_arrays([pa.array(found), pa.array(n)], names=["doc", "mixed"])
-
-    dealt = sets.select("doc", "component", "keys", "l").mapInArrow(deal, "bucket long, tokens binary, docs binary, comps binary")
-    return dealt.groupBy("bucket").applyInArrow(count, "doc long, mixed long").groupBy("doc").agg(F.sum("mixed").alias("mixed"))
+    Documents that share a token have the same centre for it, so two of them share at most the sum over
+    centres of the lesser of their counts; for a centre the greatest count outside doc's component stands in.
+    """
+    t = by_class.join(component, "doc")
+    most = t.groupBy("a", "component").agg(F.max("shared").alias("m"))
+    first = most.groupBy("a").agg(F.max(F.struct("m", "component")).alias("top"))
+    second = most.join(first, "a").where(F.col("component") != F.col("top.component")).groupBy("a").agg(F.max("m").alias("next"))
+    outside = first.join(second, "a").select("a", "top", "next")
+    other = F.when(F.col("top.component") == F.col("component"), F.col("next")).otherwise(F.col("top.m"))
+    return t.join(outside, "a").groupBy("doc").agg(F.sum(F.least("shared", other)).alias("mixed"))
 
 
 def _prefix_entries(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -286,48 +277,57 @@ FACTS = np.dtype([("doc", np.int64), ("comp", np.int64), ("n", np.int64), ("l",
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, heavy: np.ndarray, doc_id: str, text: str) -> DataFrame:
-    """(doc, keys, l) of the documents in wanted (doc): their whole sets as sorted 64-bit integers."""
+    """(doc, keys, l, centers, is_center) of the documents in wanted (doc, centers, is_center): whole sets as sorted 64-bit integers."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _some(batches):
-            keys, offsets = shingle_sets(texts)
-            ls = chosen_l(keys, offsets, heavy)
-            blobs = [keys[s:e].tobytes() for s, e in zip(offsets, offsets[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(blobs, pa.binary()), pa.array(ls)], names=["doc", "keys", "l"])
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for s, e in slices(texts):
+                keys, offsets = shingle_sets(texts[s:e])
+                blobs = [keys[i:j].tobytes() for i, j in zip(offsets, offsets[1:], strict=False)]
+                part = b.slice(s, e - s)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary()), pa.array(chosen_l(keys, offsets, heavy)), part.column(2), part.column(3)], names=["doc", "keys", "l", "centers", "is_center"])
+
+    rows = _text_rows(docs, doc_id, text).join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "text", "centers", "is_center")
+    return rows.mapInArrow(run, "doc long, keys binary, l long, centers array<long>, is_center boolean").dropDuplicates(["doc"])
+
 
-    rows = _text_rows(docs, doc_id, text).join(wanted.select(F.col("doc").alias("doc_id")), "doc_id").select("doc_id", "text")
-    return rows.mapInArrow(run, "doc long, keys binary, l long").dropDuplicates(["doc"])
+def _enough(n: Column) -> Column:
+    """The least L of any partner of a set of n tokens."""
+    return 1 + F.floor(F.ceil(n * 0.75) / 5)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document id."""
+    bounded_batches(docs.sparkSession)
     facts, counts = sizes_and_counts(docs, doc_id, text)
     heavy = counts > 4 * max(1.0, counts.mean())
-    buckets = int(min(1 << 20, max(32, counts.sum() // (3 * ENTRIES_A_BUCKET))))
+    buckets = int(min(1 << 20, max(32, counts.sum() // (2 * ENTRIES_A_BUCKET))))
     facts = facts.groupBy("doc_id").agg(F.min(F.struct("n", "sig_a", "sig_b")).alias("f")).select("doc_id", "f.*")
     alike = facts.where("n > 0").groupBy("n", "sig_a", "sig_b").agg(F.min("doc_id").alias("class"))
     member = materialize(facts.join(alike, ["n", "sig_a", "sig_b"], "left").select("doc_id", "n", F.coalesce("class", "doc_id").alias("class")), "classes")
 
-    to_class = member.select("doc_id", "class", "n")
     shared = materialize(shared_prefixes(docs, heavy, buckets, doc_id, text), "shared-prefixes")
-    enough = shared.groupBy("doc").agg(F.sum("shared").alias("shared")).join(to_class.withColumnRenamed("doc_id", "doc"), "doc")
-    enough = enough.where((F.col("doc") == F.col("class")) & (F.col("shared") >= 1 + F.floor(F.ceil(F.col("n") * 0.75) / 20)))
-    kept = materialize(enough.select("doc"), "kept")
-    sets = materialize(whole_sets(docs, kept, heavy, doc_id, text), "sets")
-
-    # Of each document's centres the one that shares most and the least, as classes.
-    by_class = shared.where("doc != center").join(kept, "doc").join(to_class.select(F.col("doc_id").alias("center"), F.col("class").alias("a")), "center")
-    best = by_class.where(F.col("a") != F.col("doc")).groupBy("doc", "a").agg(F.sum("shared").alias("shared")).groupBy("doc").agg(F.max(F.struct("shared", "a")).alias("most"), F.min("a").alias("least"))
-    stars = best.select(F.col("doc").alias("b"), F.explode(F.array_distinct(F.array("most.a", "least"))).alias("a"))
-    links = materialize(verified(stars, sets), "links")
-    first = components(links)
-
-    labelled = materialize(sets.join(first.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("component"), "keys", "l"), "labelled")
-    n = F.floor(F.length("keys") / 8)
-    left = leftover_docs(labelled, buckets).join(labelled, "doc").where(F.col("mixed") >= 1 + F.floor(F.ceil(n * 0.75) / 20)).select("doc", "component", "keys", "l")
-    left = materialize(left, "leftover")
-    more = materialize(verified(materialize(leftover_pairs(left, buckets), "pairs"), left), "links")
-    joined = first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
-    final = components(joined)
+    sums = shared.groupBy("doc").agg(F.sum("shared").alias("sum")).join(member.where("doc_id = class").select(F.col("doc_id").alias("doc"), "n"), "doc")
+    kept = materialize(sums.where(F.col("sum") >= _enough(F.col("n"))).select("doc", "n"), "kept")
+    center = member.select(F.col("doc_id").alias("center"), F.col("class").alias("a"))
+    by_class = materialize(shared.join(kept.select("doc"), "doc").join(center, "center").groupBy("doc", "a").agg(F.sum("shared").alias("shared")), "by-class")
+
+    # Of each document's centres, as classes, the one that shares most and the least.
+    stars = by_class.where("a != doc").join(kept.select(F.col("doc").alias("a")), "a").groupBy("doc").agg(F.max(F.struct("shared", "a")).alias("most"), F.min("a").alias("least"))
+    stars = materialize(stars.select("doc", F.array_distinct(F.array("most.a", "least")).alias("centers")), "stars")
+    hubs = stars.select(F.explode("centers").alias("doc")).distinct().withColumn("is_center", F.lit(True))
+    wanted = kept.select("doc").join(stars, "doc", "left").join(hubs, "doc", "left").na.fill(False, ["is_center"])
+    sets = materialize(whole_sets(docs, wanted, heavy, doc_id, text), "sets")
+    members = sets.select(F.explode("centers").alias("a"), F.col("doc").alias("b"), F.col("keys").alias("keys_b"))
+    first = materialize(components(verified(members.join(sets.where("is_center").select(F.col("doc").alias("a"), F.col("keys").alias("keys_a")), "a"))), "components")
+
+    component = kept.join(first.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
+    left = leftover_docs(by_class, component.select("doc", "component")).join(component, "doc").where(F.col("mixed") >= _enough(F.col("n"))).select("doc", "component")
+    left = materialize(sets.select("doc", "keys", "l").join(left, "doc").select("doc", "component", "keys", "l"), "leftover")
+    pairs = materialize(leftover_pairs(left, buckets), "pairs")
+    one, two = left.select(F.col("doc").alias("a"), F.col("keys").alias("keys_a")), left.select(F.col("doc").alias("b"), F.col("keys").alias("keys_b"))
+    more = verified(pairs.join(one, "a").join(two, "b"))
+    final = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     out = member.join(final.select(F.col("node").alias("class"), "component"), "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("component_id"))
