@@ -18,14 +18,16 @@ and text are not used.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.chunks import _BYTE, _powers_to
+from docloom.llm.common import bounded_batches
 from docloom.llm.shingles import mix, slices
 
 DEPTH = 50
@@ -33,18 +35,18 @@ GRAM = 24
 SIDE = DEPTH - GRAM
 WIDTH = DEPTH + SIDE
 PART_BYTES = 4 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 6 << 20
+NEVER = np.iinfo(np.int64).max
 
 
 def _slide(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
     """of over x[i : i + width], for every i where that fits."""
     done = 1
-    y = x
     while 2 * done <= width:
-        y = of(y[: len(y) - done], y[done:])
+        x = of(x[: len(x) - done], x[done:])
         done *= 2
     rest = width - done
-    return of(y[: len(y) - rest], y[rest:]) if rest else y
+    return of(x[: len(x) - rest], x[rest:]) if rest else x
 
 
 def gram_hashes(b: np.ndarray, n: int = GRAM) -> np.ndarray:
@@ -78,189 +80,257 @@ def _part_of(docs: np.ndarray, parts: int) -> np.ndarray:
     return docs % parts
 
 
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where groups of equal keys begin, in columns that are in order."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
 def _groups(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(keys):
+        return
     order = np.argsort(keys, kind="stable")
-    edge = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(keys) else np.zeros(0, np.int64)
+    edge = _firsts(keys[order])
     for s, e in zip(edge, np.append(edge[1:], len(keys)), strict=True):
         yield int(keys[order[s]]), order[s:e]
 
 
 def _batch(**columns: list) -> pa.RecordBatch:
-    kinds = {"bucket": pa.int64(), "part": pa.int64(), "known": pa.bool_(), "kind": pa.int32()}
-    return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.binary())) for k, v in columns.items()], names=list(columns))
+    kinds = {"bucket": pa.int64(), "part": pa.int64(), "known": pa.bool_(), "kind": pa.int32(), "blob": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in columns.items()], names=list(columns))
+
+
+def _pack(*columns: np.ndarray | bytes) -> bytes:
+    """Columns, the first of which says how many rows there are, compressed."""
+    body = b"".join(c if isinstance(c, bytes) else c.tobytes() for c in columns)
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(columns[0])], np.int64).tobytes() + body)
+
+
+def _unpack(blob: bytes, *kinds: type | tuple[type, int]) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
+    for kind in kinds:
+        one, width = kind if isinstance(kind, tuple) else (kind, 1)
+        x = np.frombuffer(raw, one, n * width, at)
+        out.append(x.reshape(n, width) if width > 1 else x)
+        at += x.nbytes
+    return out
+
 
+def _steps(doc: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Documents and places as differences from row to row."""
+    return [np.diff(doc, prepend=np.int64(0)), np.diff(at.astype(np.uint32), prepend=np.uint32(0))]
 
-def _deal(parts: int, buckets: int):
+
+def _sums(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(doc), np.cumsum(at, dtype=np.uint32).astype(np.int64)
+
+
+def _joined(pairs: list[tuple[np.ndarray, ...]], n: int = 2) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * n
+
+
+def _deal(parts: int, buckets: int) -> Callable:
     """First pass, map side: entries by bucket of their gram. known: occurrences that this batch shows to be shared."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            found = []
-            for s, e in slices(texts):
-                text, at, key = anchors(texts[s:e])
-                found.append((ids[s:e][text], at, key))
-            doc, at, key = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-            if not len(doc):
-                continue
-            order = np.lexsort((doc, key.astype(np.uint64)))
-            doc, at, key = doc[order], at[order], key.astype(np.uint64)[order]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            size = np.diff(np.append(first, len(key)))
-            often = np.repeat((size > 2) & (doc[first] < doc[first + size - 1]), size)
-            probe = ~often
-            probe[first] = probe[first + size - 1] = True
-            low = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-            for k, rows in _groups(np.where(probe, low.astype(np.int64), -1)):
-                if k >= 0:
-                    rows = rows[np.lexsort((at[rows], doc[rows]))]
-                    yield _batch(bucket=[k], known=[False], keys=[key[rows].astype("<u8").view("u1").reshape(-1, 8)[:, :5].tobytes()], docs=[doc[rows].tobytes()], places=[at[rows].astype(np.uint32).tobytes()])
-            rows = np.flatnonzero(often)
-            for k, some in _groups(_part_of(doc[rows], parts) % buckets):
-                yield _batch(bucket=[k], known=[True], keys=[b""], docs=[doc[rows[some]].tobytes()], places=[at[rows[some]].astype(np.uint32).tobytes()])
+            for a, z in slices(texts, 4 << 20):
+                found = []
+                for s, e in slices(texts[a:z], 1 << 20):
+                    text, at, key = anchors(texts[a + s : a + e])
+                    found.append((ids[a + s : a + e][text], at, key))
+                yield from rows_of(*_joined(found, 3))
+
+    def rows_of(doc: np.ndarray, at: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key = key.astype(np.uint64)
+        order = np.lexsort((doc, key))
+        doc, at, key = doc[order], at[order], key[order]
+        first = _firsts(key)
+        size = np.diff(np.append(first, len(key)))
+        often = np.repeat((size > 2) & (doc[first] < doc[first + size - 1]), size)
+        probe = ~often
+        probe[first] = probe[first + size - 1] = True
+        bucket = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        for k, rows in _groups(np.where(probe, bucket.astype(np.int64), -1)):
+            if k >= 0:
+                rows = rows[np.lexsort((at[rows], doc[rows]))]
+                # Leading bits chose the bucket; 32 more tell nearly all its grams apart, and the second pass the rest.
+                yield _batch(bucket=[k], known=[False], blob=[_pack((key[rows] & np.uint64(0xFFFFFFFF)).astype(np.uint32), *_steps(doc[rows], at[rows]))])
+        rows = np.flatnonzero(often)
+        rows = rows[np.lexsort((at[rows], doc[rows]))]
+        for k, some in _groups(_part_of(doc[rows], parts) % buckets):
+            yield _batch(bucket=[k], known=[True], blob=[_pack(*_steps(doc[rows[some]], at[rows[some]]))])
+
+    return run
+
+
+def _deal_texts(parts: int) -> Callable:
+    """Ids and texts by part, compressed: both steps that need the texts read this one shuffle."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for k, rows in _groups(_part_of(ids, parts)):
+                some = [texts[i] for i in rows]
+                yield _batch(part=[k], blob=[_pack(ids[rows], np.array([len(t) for t in some], np.int64), b"".join(some))])
 
     return run
 
 
-def _shared(parts: int):
+def _shared(parts: int) -> Callable:
     """First pass, each bucket: occurrences of grams in more than one document, dealt to their documents' parts."""
 
     def run(table: pa.Table) -> pa.Table:
-        known = np.array(table.column("known").to_pylist())
-        docs, places = ([np.frombuffer(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("docs", np.int64), ("places", np.uint32)))
-        sure = [(d, p) for d, p, k in zip(docs, places, known, strict=True) if k]
-        new = [(d, p) for d, p, k in zip(docs, places, known, strict=True) if not k]
+        sure, new = [], []
+        for known, blob in zip(table.column("known").to_pylist(), table.column("blob").to_pylist(), strict=True):
+            if known:
+                sure.append(_sums(*_unpack(blob, np.int64, np.uint32)))
+            else:
+                key, doc, at = _unpack(blob, np.uint32, np.int64, np.uint32)
+                new.append((key, *_sums(doc, at)))
         if new:
-            raw = b"".join(x for x, k in zip(table.column("keys").to_pylist(), known, strict=True) if not k)
-            key = np.zeros((len(raw) // 5, 8), np.uint8)
-            key[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-            key = key.view("<u8")[:, 0]
-            doc, at = (np.concatenate(x) for x in zip(*new, strict=True))
+            key, doc, at = _joined(new, 3)
             order = np.argsort(key, kind="stable")
             key, doc, at = key[order], doc[order], at[order]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            first = _firsts(key)
             several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
             keep = np.repeat(several, np.diff(np.append(first, len(key))))
             sure.append((doc[keep], at[keep]))
-        doc, at = (np.concatenate(x) for x in zip(*sure, strict=True)) if sure else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
-        rows = list(_groups(_part_of(doc, parts))) if len(doc) else []
-        return pa.Table.from_batches([_batch(part=[k for k, _ in rows], kind=[0] * len(rows), blob=[_pack(doc[r], at[r].astype(np.int64)) for _, r in rows])])
+        doc, at = _joined(sure)
+        order = np.lexsort((at, doc))
+        doc, at = doc[order], at[order]
+        rows = list(_groups(_part_of(doc, parts)))
+        return pa.Table.from_batches([_batch(part=[k for k, _ in rows], kind=[0] * len(rows), blob=[_pack(*_steps(doc[r], at[r])) for _, r in rows])])
 
     return run
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    return np.array([len(columns[0])], np.int64).tobytes() + b"".join(c.tobytes() for c in columns)
-
-
-ANSWER = np.dtype([("entry", np.int64), ("least", np.int64), ("mask", np.uint32)])
-
-
 class _Part:
     """One part's documents with the surroundings of their shared grams, and the distinct ones among these."""
 
-    def __init__(self, docs: pa.Table, blobs: list[bytes]):
-        order = np.argsort(docs.column("doc_id").to_numpy(), kind="stable")
-        self.ids = docs.column("doc_id").to_numpy()[order]
-        texts = docs.column("text").to_pylist()
-        self.texts = [texts[i] for i in order]
-        pairs = [np.frombuffer(x, np.int64, offset=8).reshape(2, -1) for x in blobs]
-        doc, at = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+    def __init__(self, docs: list[bytes], shared: list[bytes]):
+        ids, texts = [np.zeros(0, np.int64)], []
+        for blob in docs:
+            raw = zstandard.ZstdDecompressor().decompress(blob)
+            n = int(np.frombuffer(raw, np.int64, 1)[0])
+            ids.append(np.frombuffer(raw, np.int64, n, 8))
+            at = 8 + 16 * n
+            for size in np.frombuffer(raw, np.int64, n, 8 + 8 * n).tolist():
+                texts.append(raw[at : at + size])
+                at += size
+        ids = np.concatenate(ids)
+        # Equal ids in order of their texts, so that both uses of a part number its surroundings alike.
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+        self.ids, self.texts = ids[order], [texts[i] for i in order]
+        doc, at = _joined([_sums(*_unpack(x, np.int64, np.uint32)) for x in shared])
         # Rows that share an id all get that id's places.
         lo, hi = np.searchsorted(self.ids, doc), np.searchsorted(self.ids, doc, side="right")
-        row = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)]) if (hi - lo > 1).any() else lo[hi > lo]
+        row = np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange(int((hi - lo).sum()))
         at = np.repeat(at, hi - lo)
+        order = np.lexsort((at, row))
+        row, at = row[order], at[order]
+        once = _firsts(row, at)
+        row, at = row[once], at[once]
         sizes = np.array([len(t) for t in self.texts], np.int64)
-        row, at = np.unique(np.stack([row, at]), axis=1) if len(row) else (row, at)
         fits = at + GRAM <= sizes[row]
         self.row, self.at = row[fits], at[fits]
-        start = np.cumsum(sizes) - sizes
         b = np.frombuffer(bytes(SIDE) + b"".join(self.texts) + bytes(DEPTH), np.uint8)
         self.left = np.minimum(self.at, SIDE)
         self.right = np.minimum(sizes[self.row] - self.at, DEPTH)
         where = np.arange(WIDTH)
-        around = np.lib.stride_tricks.sliding_window_view(b, WIDTH)[start[self.row] + self.at] if len(self.row) else np.zeros((0, WIDTH), np.uint8)
-        inside = (where >= (SIDE - self.left)[:, None]) & (where < (SIDE + self.right)[:, None])
-        self.around = np.where(inside, around, 0).astype(np.uint8)
+        self.around = np.lib.stride_tricks.sliding_window_view(b, WIDTH)[(np.cumsum(sizes) - sizes)[self.row] + self.at]
+        self.around[(where < (SIDE - self.left)[:, None]) | (where >= (SIDE + self.right)[:, None])] = 0
         self.key = _row_hash(self.around[:, SIDE : SIDE + GRAM])
-        whole = mix(_row_hash(self.around) + (self.left * 64 + self.right).astype(np.uint64))
+        whole = _surrounding_hash(self.around, self.left, self.right)
         self.distinct, self.first, self.entry = np.unique(whole, return_index=True, return_inverse=True)
 
     def least(self) -> np.ndarray:
-        out = np.full(len(self.distinct), np.iinfo(np.int64).max)
+        out = np.full(len(self.distinct), NEVER)
         np.minimum.at(out, self.entry, self.ids[self.row])
         return out
 
 
 def _row_hash(rows: np.ndarray) -> np.ndarray:
     power, _ = _powers_to(WIDTH)
-    return mix((_BYTE[rows] * power[: rows.shape[1]]).sum(axis=1, dtype=np.uint64))
+    out = np.zeros(len(rows), np.uint64)
+    for k in range(rows.shape[1]):
+        out += _BYTE[rows[:, k]] * power[k]
+    return mix(out)
+
 
+def _surrounding_hash(around: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(_row_hash(around) + left.astype(np.uint64) * np.uint64(64) + right.astype(np.uint64))
 
-def _surroundings(buckets: int):
+
+def _surroundings(buckets: int) -> Callable:
     """Second pass, map side: each distinct surrounding of a part, with its least document, by bucket of its gram."""
 
     def run(key: tuple, docs: pa.Table, shared: pa.Table) -> pa.Table:
-        part = _Part(docs, shared.column("blob").to_pylist())
+        part = _Part(docs.column("blob").to_pylist(), shared.column("blob").to_pylist())
         least, f = part.least(), part.first
         bucket = (part.key[f] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-        rows = list(_groups(bucket.astype(np.int64))) if len(f) else []
-        return pa.Table.from_batches([_batch(bucket=[k for k, _ in rows], part=[key[0].as_py()] * len(rows), blob=[_pack(r, least[r], part.key[f][r], part.distinct[r], part.left[f][r], part.right[f][r], part.around[f][r]) for _, r in rows])])
+        rows = list(_groups(bucket.astype(np.int64)))
+        sent = [_pack(r.astype(np.uint32), least[r], part.left[f][r].astype(np.uint8), part.right[f][r].astype(np.uint8), part.around[f[r]]) for _, r in rows]
+        return pa.Table.from_batches([_batch(bucket=[k for k, _ in rows], part=[key[0].as_py()] * len(rows), blob=sent)])
 
     return run
 
 
 def _resolve(table: pa.Table) -> pa.Table:
     """Second pass, each bucket: for each surrounding its least document, and which of that one's windows occur in a lesser."""
-    columns: list[list[np.ndarray]] = [[] for _ in range(7)]
-    sizes = []
-    for x in table.column("blob").to_pylist():
-        n = int(np.frombuffer(x, np.int64, 1)[0])
-        sizes.append(n)
-        for c in range(6):
-            columns[c].append(np.frombuffer(x, np.uint64 if c in (2, 3) else np.int64, n, 8 + 8 * n * c))
-        columns[6].append(np.frombuffer(x, np.uint8, n * WIDTH, 8 + 48 * n).reshape(n, WIDTH))
-    entry, doc, key, whole, left, right, around = (np.concatenate(c) for c in columns)
+    found = [_unpack(x, np.uint32, np.int64, np.uint8, np.uint8, (np.uint8, WIDTH)) for x in table.column("blob").to_pylist()]
+    sizes = [len(x[0]) for x in found]
+    entry, doc, left, right, around = (np.concatenate(c) for c in zip(*found, strict=True))
+    del found
+    left, right = left.astype(np.int64), right.astype(np.int64)
+    key, whole = _row_hash(around[:, SIDE : SIDE + GRAM]), _surrounding_hash(around, left, right)
     order = np.lexsort((doc, whole, key))
-    key, whole, doc, left, right, around = (x[order] for x in (key, whole, doc, left, right, around))
-    first = np.flatnonzero(np.append(True, (whole[1:] != whole[:-1]) | (key[1:] != key[:-1])))
-    owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
-    key, least, left, right, around = key[first], doc[first], left[first], right[first], around[first]
+    first = _firsts(key[order], whole[order])
+    back = np.empty(len(order), np.int64)
+    back[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+    at = order[first]
+    key, least, left, right = key[at], doc[at], left[at], right[at]
     mask = np.zeros(len(first), np.uint32)
-    alone = np.append(True, key[1:] != key[:-1]) & np.append(key[1:] != key[:-1], True)
-    some = np.flatnonzero(~alone)
+    edge = _firsts(key)
+    some = np.flatnonzero(np.repeat(np.diff(np.append(edge, len(key))) > 1, np.diff(np.append(edge, len(key)))))
     s = 0
     while s < len(some):
         # A gram's surroundings stay together.
-        e = min(len(some), s + (1 << 17))
+        e = min(len(some), s + (1 << 16))
         e = int(np.searchsorted(key[some], key[some[e - 1]], side="right"))
-        at = some[s:e]
-        mask[at] = _masks(least[at], left[at], right[at], around[at])
+        rows = some[s:e]
+        mask[rows] = _masks(least[rows], left[rows], right[rows], around[at[rows]])
         s = e
-    back = np.empty(len(order), np.int64)
-    back[order] = owner
     out, a = [], 0
     for n in sizes:
-        rows = np.zeros(n, ANSWER)
-        rows["entry"], rows["least"], rows["mask"] = entry[a : a + n], least[back[a : a + n]], mask[back[a : a + n]]
-        out.append(rows.tobytes())
+        own = back[a : a + n]
+        out.append(_pack(entry[a : a + n], least[own], mask[own]))
         a += n
     return pa.Table.from_batches([_batch(part=table.column("part").to_pylist(), kind=[1] * len(out), blob=out)])
 
 
 def _masks(least: np.ndarray, left: np.ndarray, right: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """For each surrounding a bit for each place of a window that some lesser document's surrounding has too."""
     power, inverse = _powers_to(WIDTH + 1)
-    sums = np.zeros((len(around), WIDTH + 1), np.uint64)
-    np.cumsum(_BYTE[around] * power[:WIDTH], axis=1, dtype=np.uint64, out=sums[:, 1:])
+    sums = np.zeros((WIDTH + 1, len(around)), np.uint64)
+    for k in range(WIDTH):
+        sums[k + 1] = sums[k] + _BYTE[around[:, k]] * power[k]
     mask = np.zeros(len(around), np.uint32)
     for s in range(SIDE + 1):
         rows = np.flatnonzero((s >= SIDE - left) & (s + DEPTH <= SIDE + right))
         if not len(rows):
             continue
-        window = (sums[rows, s + DEPTH] - sums[rows, s]) * inverse[s]
+        window = (sums[s + DEPTH, rows] - sums[s, rows]) * inverse[s]
         order = np.argsort(window, kind="stable")
         window, rows = window[order], rows[order]
-        first = np.flatnonzero(np.append(True, window[1:] != window[:-1]))
+        first = _firsts(window)
         low = np.repeat(np.minimum.reduceat(least[rows], first), np.diff(np.append(first, len(rows))))
         mask[rows[low < least[rows]]] |= np.uint32(1 << s)
     return mask
@@ -268,12 +338,13 @@ def _masks(least: np.ndarray, left: np.ndarray, right: np.ndarray, around: np.nd
 
 def _remove(key: tuple, docs: pa.Table, more: pa.Table) -> pa.Table:
     """The last step in each part: removed runs and what is kept, for each document."""
-    kinds = more.column("kind").to_pylist()
-    blobs = more.column("blob").to_pylist()
-    part = _Part(docs, [b for b, k in zip(blobs, kinds, strict=True) if k == 0])
-    answers = np.concatenate([np.frombuffer(b, ANSWER) for b, k in zip(blobs, kinds, strict=True) if k == 1] or [np.zeros(0, ANSWER)])
-    least, mask = np.full(len(part.distinct), np.iinfo(np.int64).max), np.zeros(len(part.distinct), np.uint32)
-    least[answers["entry"]], mask[answers["entry"]] = answers["least"], answers["mask"]
+    pieces = list(zip(more.column("kind").to_pylist(), more.column("blob").to_pylist(), strict=True))
+    part = _Part(docs.column("blob").to_pylist(), [b for k, b in pieces if k == 0])
+    least, mask = np.full(len(part.distinct), NEVER), np.zeros(len(part.distinct), np.uint32)
+    for k, b in pieces:
+        if k == 1:
+            entry, low, bits = _unpack(b, np.uint32, np.int64, np.uint32)
+            least[entry], mask[entry] = low, bits
     later = part.ids[part.row] > least[part.entry]
     # Windows lie from the left edge of what is known to its right edge.
     whole = later & (part.left + part.right >= DEPTH)
@@ -296,7 +367,7 @@ def _remove(key: tuple, docs: pa.Table, more: pa.Table) -> pa.Table:
             ends.append([])
             kept.append(text)
             continue
-        change = np.zeros(len(text) + 1, np.int64)
+        change = np.zeros(len(text) + 1, np.int32)
         np.add.at(change, start[s:e], 1)
         np.add.at(change, end[s:e], -1)
         gone = np.cumsum(change[:-1]) > 0
@@ -311,12 +382,13 @@ def _remove(key: tuple, docs: pa.Table, more: pa.Table) -> pa.Table:
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, starts, ends, kept): removed byte runs of each document, and the bytes that stay."""
+    bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts, buckets = _prime(max(24, size // PART_BYTES)), max(24, size // BUCKET_BYTES)
-    dealt = rows.mapInArrow(_deal(parts, buckets), "bucket long, known boolean, keys binary, docs binary, places binary")
+    dealt = rows.mapInArrow(_deal(parts, buckets), "bucket long, known boolean, blob binary")
     shared = dealt.groupBy("bucket").applyInArrow(_shared(parts), "part long, kind int, blob binary")
-    texts = rows.withColumn("part", F.pmod("doc_id", F.lit(parts))).groupBy("part")
+    texts = rows.mapInArrow(_deal_texts(parts), "part long, blob binary").groupBy("part")
     around = texts.cogroup(shared.groupBy("part")).applyInArrow(_surroundings(buckets), "bucket long, part long, blob binary")
     answers = around.groupBy("bucket").applyInArrow(_resolve, "part long, kind int, blob binary")
     kept = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary"
