@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from docloom.llm.common import bounded_batches
 from docloom.llm.sampling import labelled_sample
 
-DICT_BYTES = 64 << 10
-LEVEL = 1
-PIECE = 400
+DICT_BYTES = 112 << 10
+LEVEL = 3
+PIECE, PIECES_OF_ONE, MOST_PIECES = 1000, 4, 6000
 
 
 @dataclass
@@ -46,31 +46,36 @@ class Sizes:
 
 
 def _dictionary(content: bytes) -> zstandard.ZstdCompressionDict:
-    made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_AUTO)
     made.precompute_compress(level=LEVEL)
     return made
 
 
 def build_dictionary(texts: list[str], size: int = DICT_BYTES) -> bytes:
-    """Raw content: one piece from the midst of each text in turn, until the dictionary is full."""
-    out, n, offset = [], 0, 0
-    while n < size and any(len(t) > offset for t in texts):
-        for t in texts:
-            if len(t) > offset and n < size:
-                out.append(t[offset : offset + PIECE].encode())
-                n += len(out[-1])
-        offset += PIECE
-    return b"".join(out)[:size] or b"\n" * 8
-
-
-def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 40) -> tuple[float, ...]:
-    """Logistic regression by Newton steps."""
+    """A trained dictionary with its entropy tables, from the first pieces of each text; of too little text, the text itself."""
+    pieces = [t[i : i + PIECE].encode() for t in texts for i in range(0, min(len(t), PIECE * PIECES_OF_ONE), PIECE)][:MOST_PIECES]
+    try:
+        return zstandard.train_dictionary(size, pieces, k=64, d=8, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(pieces)[:size] or b"\n" * 8
+
+
+def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> tuple[float, ...]:
+    """Logistic regression by Newton steps, halved until the loss falls."""
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.sum(np.logaddexp(0, z) - y * z) + ridge * (w @ w) / 2)
+
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(hessian, x.T @ (y - p) - ridge * w)
-        w += step
+        before = loss(w)
+        while loss(w + step) > before and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w + step
         if np.abs(step).max() < 1e-9:
             break
     return tuple(float(v) for v in w)
