@@ -63,7 +63,7 @@ def _squash(x: float) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def fit(texts: list[str], labels: list[int], swaps_weight: float = 1.0, epochs: int = 6, rate: float = 0.2, shrink: float = 2e-4, seed: int = 7) -> Model:
+def fit(texts: list[str], labels: list[int], swaps_weight: float = 1.0, epochs: int = 6, rate: float = 0.2, shrink: float = 5e-4, seed: int = 7) -> Model:
     """Adagrad on the log loss, plus swaps_weight times the squared change of the score (before the logistic) under swaps."""
     slots: dict[str, list[int]] = {}
 
@@ -91,8 +91,6 @@ def fit(texts: list[str], labels: list[int], swaps_weight: float = 1.0, epochs:
             (rows, times), y = docs[k]
             old = w[rows]
             step = _squash(bias + float(old @ times)) - y
-            if abs(step) < 1e-4:
-                continue
             down = step * times
             g[rows] = spread = g[rows] + times * (step * step)
             new = old - rate * down / np.sqrt(spread)
