@@ -60,3 +60,26 @@ def last_samples(samples: DataFrame, kind: str, seq: str, n: int = 1000) -> Data
     newest = Window.partitionBy(kind).orderBy(F.col(seq).desc())
     t = samples.withColumn("_n", F.row_number().over(newest)).withColumn("lifetime", F.count("*").over(Window.partitionBy(kind)))
     return t.where(F.col("_n") <= n).drop("_n")
+
+
+def rolling_latency(samples: DataFrame, kind: str = "kind", value: str = "latency_ms", n: int = 1000) -> DataFrame:
+    """(kind, lifetime, held, p50, p95, p99) after each trigger, over the last n samples of each kind; lifetime counts them all.
+
+    State is at most n numbers for each kind.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(key, batches, state):
+        lifetime, kept = state.get if state.exists else (0, [])
+        kept = list(kept)
+        for b in batches:
+            kept = (kept + b["value"].tolist())[-n:]
+            lifetime += len(b)
+        state.update((lifetime, kept))
+        at = np.percentile(kept, [50, 95, 99]) if kept else [0.0] * 3
+        yield pd.DataFrame([(key[0], lifetime, len(kept), *map(float, at))], columns=["kind", "lifetime", "held", "p50", "p95", "p99"])
+
+    rows = samples.select(F.col(kind).cast("string").alias("kind"), F.col(value).cast("double").alias("value")).where("value is not null")
+    out, held = "kind string, lifetime long, held long, p50 double, p95 double, p99 double", "lifetime long, kept array<double>"
+    return rows.groupBy("kind").applyInPandasWithState(run, out, held, "update", "NoTimeout")

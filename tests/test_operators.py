@@ -165,3 +165,31 @@ def test_upserts_are_idempotent(spark, tmp_path):
     for n in range(2):
         run(batch, n)
     assert seen == {"a": 3, "b": 2}
+
+
+def _file(spark, folder, name, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{name}")
+    (part,) = [p for p in (folder / name).iterdir() if p.suffix == ".parquet"]
+    return part
+
+
+def test_stream_keeps_the_first_of_each_key(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:00:00", 1.0), (1, "2024-01-01 00:05:00", 2.0), (2, "2024-01-01 00:06:00", 3.0)]
+    (tmp_path / "in").mkdir()
+    schema = "k int, ts string, value double"
+    shutil.copy(_file(spark, tmp_path, "a", rows, schema), tmp_path / "in" / "a.parquet")
+    stream = events.distinct_by(events.with_time(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), "k")
+    out = stream.writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    out.awaitTermination()
+    assert sorted(r.k for r in spark.table("firsts").collect()) == [1, 2]
+
+
+def test_stream_of_latencies_keeps_the_last_samples(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    schema = "kind string, latency_ms double"
+    shutil.copy(_file(spark, tmp_path, "a", [("q", float(v)) for v in (10, 20, 30, 40, 50)], schema), tmp_path / "in" / "a.parquet")
+    stream = events.rolling_latency(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), n=3)
+    out = stream.writeStream.format("memory").queryName("latency").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    out.awaitTermination()
+    (r,) = spark.table("latency").collect()
+    assert (r.kind, r.lifetime, r.held, r.p50) == ("q", 5, 3, 40.0)
