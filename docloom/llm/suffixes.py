@@ -73,7 +73,12 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     around = np.concatenate([np.zeros(SIDE, np.uint64), least, np.zeros(SIDE, np.uint64)])
     at = np.flatnonzero((_slide(around, SIDE + 1, np.maximum) == hashes) & (hashes > 0))
     text = np.searchsorted(ends, at, side="right")
-    return text, at - (ends - sizes)[text], hashes[at]
+    return text, at - (ends - sizes)[text], dealt(hashes[at])
+
+
+def dealt(hashes: np.ndarray) -> np.ndarray:
+    """Anchors' hashes are least ones, so small; mixed again they fill all buckets evenly."""
+    return mix(hashes + np.uint64(0x5851F42D4C957F2D))
 
 
 def _part_of(docs: np.ndarray, parts: int) -> np.ndarray:
@@ -247,7 +252,7 @@ class _Part:
         where = np.arange(WIDTH)
         self.around = np.lib.stride_tricks.sliding_window_view(b, WIDTH)[(np.cumsum(sizes) - sizes)[self.row] + self.at]
         self.around[(where < (SIDE - self.left)[:, None]) | (where >= (SIDE + self.right)[:, None])] = 0
-        self.key = _row_hash(self.around[:, SIDE : SIDE + GRAM])
+        self.key = dealt(_row_hash(self.around[:, SIDE : SIDE + GRAM]))
         whole = _surrounding_hash(self.around, self.left, self.right)
         self.distinct, self.first, self.entry = np.unique(whole, return_index=True, return_inverse=True)
 
