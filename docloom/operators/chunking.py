@@ -86,23 +86,29 @@ def chunked(docs: DataFrame, doc_id: str, text: str, target: int, most: int, lea
     )
 
 
+def pages(lines: list[str], most: int) -> list[list[str]]:
+    """Lines in pages of at most so many tokens, a longer line alone."""
+    out: list[list[str]] = [[]]
+    used = 0
+    for text in lines:
+        n = count_tokens(text)
+        if out[-1] and used + n > most:
+            out.append([])
+            used = 0
+        out[-1].append(text)
+        used += n
+    return out
+
+
 def paged_rows(rows: DataFrame, by: str, order: str, line: Column, most: int) -> DataFrame:
     """(by, part, parts, body): a table's rendered rows in pages of at most so many tokens, as part k of n."""
 
-    def run(table: pa.Table) -> pa.Table:
-        held = sorted(zip(table.column("at").to_pylist(), table.column("line").to_pylist(), strict=True))
-        pages: list[list[str]] = [[]]
-        used = 0
-        for _, text in held:
-            n = count_tokens(text)
-            if pages[-1] and used + n > most:
-                pages.append([])
-                used = 0
-            pages[-1].append(text)
-            used += n
-        n = len(pages)
-        owner = table.column("owner")[0].as_py()
-        return pa.Table.from_arrays([pa.array([owner] * n), pa.array(range(1, n + 1), pa.int64()), pa.array([n] * n, pa.int64()), pa.array(["\n".join(p) for p in pages])], names=[by, "part", "parts", "body"])
-
-    t = rows.select(F.col(by).alias("owner"), F.col(order).alias("at"), line.alias("line"))
-    return t.groupBy("owner").applyInArrow(run, f"{by} {t.schema['owner'].dataType.simpleString()}, part long, parts long, body string")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [["\n".join(p) for p in pages(x, most)] for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.string()))], names=["owner", "pages"])
+
+    t = rows.groupBy(F.col(by).alias("owner")).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), line.alias("line")))).alias("held"))
+    made = t.select("owner", F.col("held.line").alias("lines")).mapInArrow(run, f"owner {t.schema['owner'].dataType.simpleString()}, pages array<string>")
+    paged = made.select(F.col("owner").alias(by), F.posexplode("pages").alias("at", "body"), F.size("pages").cast("long").alias("parts"))
+    return paged.select(by, (F.col("at") + 1).cast("long").alias("part"), "parts", "body")

@@ -178,7 +178,7 @@ WORDS = "list_distinct(list_filter(regexp_extract_all(lower(claim), '[a-z][a-z\\
 
 @query(
     "support_verdict",
-    f"""WITH c AS (SELECT doc_id, substr(text, 1, 150) || ' ' || doc_id AS claim, CASE WHEN doc_id % 4 = 0 THEN [] WHEN doc_id % 4 = 1 THEN [substr(text, 1, 300)] ELSE [substr(text, 60, 300), doc_id::VARCHAR] END AS cited FROM documents),
+    f"""WITH c AS (SELECT doc_id, text || ' ' || doc_id AS claim, CASE WHEN doc_id % 4 = 0 THEN [] WHEN doc_id % 4 = 1 THEN [text] ELSE [lang || source, doc_id::VARCHAR] END AS cited FROM documents),
         w AS (SELECT *, {WORDS} AS words, lower(array_to_string(cited, ' ')) AS src, {NUMS.format('claim')} AS nums FROM c),
         m AS (SELECT *, list_sort(list_filter(nums, lambda n: NOT list_contains({NUMS.format('src')}, n))) AS missing, CASE WHEN len(words) > 0 THEN len(list_filter(words, lambda x: contains(src, x)))::DOUBLE / len(words) ELSE 1 END AS overlap FROM w)
         SELECT doc_id, CASE WHEN len(cited) = 0 THEN 'uncited_claim' WHEN len(missing) > 0 THEN 'number_not_in_source' WHEN overlap < 0.4 THEN 'weak_overlap' ELSE 'supported_lexically' END AS verdict,
@@ -186,8 +186,8 @@ WORDS = "list_distinct(list_filter(regexp_extract_all(lower(claim), '[a-z][a-z\\
 )
 def support_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 4
-    cited = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(F.substring("text", 1, 300))).otherwise(F.array(F.substring("text", 60, 300), F.col("doc_id").cast("string")))
-    claims = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", 1, 150), F.lit(" "), F.col("doc_id").cast("string")).alias("claim"), cited.alias("cited"))
+    cited = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array("text")).otherwise(F.array(F.concat("lang", "source"), F.col("doc_id").cast("string")))
+    claims = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" "), F.col("doc_id").cast("string")).alias("claim"), cited.alias("cited"))
     return citations.support(claims, ["doc_id"], "claim", "cited").withColumn("missing", F.array_join("missing", " "))
 
 
@@ -364,11 +364,11 @@ def fwd_return(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.forward_return(_prices(spark, sf_dir), "event_type", "day", "price").select("event_type", "day", "forward")
 
 
-@query("asof_forward", "WITH c AS (SELECT DISTINCT ts::DATE AS day FROM events WHERE event_id % 50 = 0 AND dayofweek(ts) NOT IN (0, 6)), e AS (SELECT event_id, ts::DATE AS day FROM events WHERE event_id % 7 = 0) SELECT event_id, e.day, min(c.day) AS trading_day FROM e LEFT JOIN c ON c.day BETWEEN e.day AND e.day + 5 GROUP BY 1, 2")
+@query("asof_forward", "WITH c AS (SELECT DISTINCT ts::DATE AS day FROM events WHERE event_type = 'purchase' AND dayofweek(ts) NOT IN (0, 6)), e AS (SELECT event_id, ts::DATE AS day FROM events) SELECT event_id, e.day, min(c.day) AS trading_day FROM e LEFT JOIN c ON c.day BETWEEN e.day AND e.day + 5 GROUP BY 1, 2")
 def asof_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("day", F.col("ts").cast("date"))
-    calendar = e.where("event_id % 50 = 0").where(~F.dayofweek("day").isin(1, 7)).select("day")
-    return evaluation.first_within(e.where("event_id % 7 = 0").select("event_id", "day"), calendar)
+    calendar = e.where("event_type = 'purchase'").where(~F.dayofweek("day").isin(1, 7)).select("day")
+    return evaluation.first_within(e.select("event_id", "day"), calendar)
 
 
 SIGNED = "CASE WHEN event_type IN ('purchase', 'signup', 'click') THEN forward ELSE -forward END"

@@ -92,7 +92,7 @@ def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 UNIT = "unit AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / (sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) + 1e-8::DOUBLE)) AS unit FROM embeddings)"
-NEAR = "near AS (SELECT q.vec_id AS query_id, v.vec_id, greatest(0::DOUBLE, least(1::DOUBLE, list_inner_product(v.unit, q.unit))) AS score, v.label FROM unit v, unit q WHERE q.vec_id < 20)"
+NEAR = "near AS (SELECT q.vec_id AS query_id, v.vec_id, greatest(0::DOUBLE, least(1::DOUBLE, list_inner_product(v.unit, q.unit))) AS score, v.label FROM unit v, unit q WHERE q.vec_id {asked})"
 
 
 @query("l2_norm", f"WITH {UNIT} SELECT vec_id, round(unit[1], 6) AS first, round(unit[64], 6) AS last, len(unit)::BIGINT AS dim FROM unit")
@@ -103,24 +103,25 @@ def l2_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _nearest(spark: SparkSession, sf_dir: str, which: str, k: int, only: str = "true") -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    queries = e.where(which).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = e.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi") if which == "questions" else e.where(which)
+    queries = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return vectors.search(e.where(only), queries, k)
 
 
-@query("knn_topk", f"WITH {UNIT}, {NEAR} SELECT vec_id, round(score, 4) AS score FROM near WHERE query_id = 7 ORDER BY round(score, 9) DESC, vec_id LIMIT 10")
+@query("knn_topk", f"WITH {UNIT}, {NEAR.format(asked="= 7")} SELECT vec_id, round(score, 4) AS score FROM near ORDER BY round(score, 9) DESC, vec_id LIMIT 10")
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir, "vec_id = 7", 10).select("vec_id", F.round("score", 4).alias("score"))
 
 
-@query("knn_filtered", f"WITH {UNIT}, {NEAR} SELECT vec_id, round(score, 4) AS score FROM near WHERE query_id = 7 AND label IN (1, 3) ORDER BY round(score, 9) DESC, vec_id LIMIT 10")
+@query("knn_filtered", f"WITH {UNIT}, {NEAR.format(asked="= 7")} SELECT vec_id, round(score, 4) AS score FROM near WHERE label IN (1, 3) ORDER BY round(score, 9) DESC, vec_id LIMIT 10")
 def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact within the filter, which is applied before any vector is scored."""
     return _nearest(spark, sf_dir, "vec_id = 7", 10, "label in (1, 3)").select("vec_id", F.round("score", 4).alias("score"))
 
 
-@query("knn_batch", f"WITH {UNIT}, {NEAR} SELECT query_id, vec_id, rank::BIGINT AS rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM near) WHERE rank <= 10")
+@query("knn_batch", f"WITH {UNIT}, {NEAR.format(asked="% 100 = 0")} SELECT query_id, vec_id, rank::BIGINT AS rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM near) WHERE rank <= 10")
 def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nearest(spark, sf_dir, "vec_id < 20", 10).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+    return _nearest(spark, sf_dir, "vec_id % 100 = 0", 10).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
 @query(
@@ -152,15 +153,15 @@ def minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The dense side of the fusion queries: question q looks with vector q for documents of the vectors' ids.
 DENSE = "dn AS (SELECT query_id, vec_id AS doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM near) WHERE rank <= 10)"
-MERGED = f"""{BATCH}, {UNIT}, {NEAR}, {DENSE},
+MERGED = f"""{BATCH}, {UNIT}, {NEAR.format(asked="IN (SELECT item_id FROM benchmark)")}, {DENSE},
   d AS (SELECT query_id, doc_id, {MINMAX} AS dense FROM dn WINDOW w AS (PARTITION BY query_id)),
-  s AS (SELECT query_id, doc_id, {MINMAX} AS sparse FROM best WHERE rank <= 10 AND query_id < 20 WINDOW w AS (PARTITION BY query_id)),
+  s AS (SELECT query_id, doc_id, {MINMAX} AS sparse FROM best WHERE rank <= 10 WINDOW w AS (PARTITION BY query_id)),
   m AS (SELECT query_id, doc_id, dense IS NOT NULL AS has_dense, sparse IS NOT NULL AS has_sparse, coalesce(dense, 0) AS dense, coalesce(sparse, 0) AS sparse FROM d FULL OUTER JOIN s USING (query_id, doc_id))"""
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    dense = _nearest(spark, sf_dir, "vec_id < 20", 10).select("query_id", F.col("vec_id").alias("doc_id"), "score")
-    return dense, _batch(spark, sf_dir).where("query_id < 20").select("query_id", "doc_id", "score")
+    dense = _nearest(spark, sf_dir, "questions", 10).select("query_id", F.col("vec_id").alias("doc_id"), "score")
+    return dense, _batch(spark, sf_dir).select("query_id", "doc_id", "score")
 
 
 @query("hybrid_merge", f"{MERGED} SELECT query_id, doc_id, round(dense, 6) AS dense, round(sparse, 6) AS sparse, round(0.6::DOUBLE * dense + 0.4::DOUBLE * sparse, 6) AS hybrid FROM m")
@@ -179,7 +180,7 @@ def overlap_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
 POOL = """SELECT stage, doc_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY stage, score DESC, doc_id) AS m FROM (
     SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY stage, score DESC, doc_id) AS n FROM (
-      SELECT 0 AS stage, doc_id, (n_chars % 1000)::DOUBLE AS score, sha256(text) AS content_hash FROM documents WHERE doc_id % 10 = 0
+      SELECT 0 AS stage, doc_id, (n_chars % 1000)::DOUBLE AS score, sha256(text) AS content_hash FROM documents WHERE lang = 'es'
       UNION ALL SELECT 1, doc_id, (n_chars % 777)::DOUBLE, sha256(text) FROM documents WHERE lang = 'fr'
       UNION ALL SELECT 2, doc_id, (n_chars % 555)::DOUBLE, sha256(text) FROM documents)) WHERE n = 1) WHERE m = 1
   ORDER BY stage, score DESC, doc_id LIMIT 200"""
@@ -190,7 +191,7 @@ def dedupe_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     part = lambda df, n: df.select("doc_id", (F.col("n_chars") % n).cast("double").alias("score"))
     known = docs.select("doc_id", F.sha2(F.col("text"), 256).alias("content_hash"))
-    return fusion.pool([part(docs.where("doc_id % 10 = 0"), 1000), part(docs.where("lang = 'fr'"), 777), part(docs, 555)], known, 200)
+    return fusion.pool([part(docs.where("lang = 'es'"), 1000), part(docs.where("lang = 'fr'"), 777), part(docs, 555)], known, 200)
 
 
 @query("ordered_union", "SELECT stage, doc_id FROM (SELECT 0 AS stage, doc_id FROM documents WHERE lang = 'de' UNION ALL SELECT 1, doc_id FROM documents WHERE lang = 'es' UNION ALL SELECT 2, doc_id FROM documents WHERE source = 'src2') ORDER BY stage, doc_id LIMIT 300")

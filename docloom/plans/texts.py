@@ -216,5 +216,5 @@ def chunk_index_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("row_paging")
 def row_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey <= 2000")
+    rows = table(spark, sf_dir, "lineitem")
     return paged_rows(rows, "l_orderkey", "l_linenumber", F.concat_ws(" | ", "l_returnflag", F.col("l_quantity").cast("string"), F.col("l_extendedprice").cast("string")), most=20)

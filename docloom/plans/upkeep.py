@@ -97,9 +97,9 @@ def period_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(headers, "l_orderkey").select("l_orderkey", "l_linenumber", F.coalesce("period_end", "found").alias("period_end"))
 
 
-@query("missing_periods", "SELECT o_orderpriority, count(*) AS filings FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1")
+@query("missing_periods", "SELECT o_orderpriority, count(*) AS filings FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1")
 def missing_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").groupBy("o_orderpriority").agg(F.count("*").alias("filings"))
+    return table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").groupBy("o_orderpriority").agg(F.count("*").alias("filings"))
 
 
 @query("ingest_stats", "SELECT lang, count(*) AS chunks, count(DISTINCT source) AS sources, min(doc_id) AS first, max(doc_id) AS last FROM documents GROUP BY 1")
