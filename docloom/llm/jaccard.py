@@ -98,7 +98,11 @@ def sizes_and_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def _packed(tokens: np.ndarray, docs: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Entries dealt to buckets by leading bits: tokens' next 40 bits and ids as offsets from the least."""
+    """Entries dealt to buckets by leading bits: tokens' next 40 bits and ids as offsets from the least.
+
+    Prefixes hold small hashes; mixed again they fill all buckets evenly.
+    """
+    tokens = mix(tokens)
     bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     order = np.argsort(bucket, kind="stable")
     tokens, docs, bucket = tokens[order], docs[order], bucket[order]
@@ -213,7 +217,7 @@ def _prefix_entries(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows_of_buckets(tokens: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    bucket = (((tokens >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+    bucket = (((mix(tokens) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for k in np.flatnonzero(edge[1:] > edge[:-1]).tolist():

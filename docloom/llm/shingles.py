@@ -66,7 +66,7 @@ def _lone(words: np.ndarray) -> np.uint64:
     return mix(words * _SHORT[: len(words)] + np.uint64(len(words))).sum(dtype=np.uint64)
 
 
-def slices(texts: list[bytes], most: int = 1 << 21) -> list[tuple[int, int]]:
+def slices(texts: list[bytes], most: int = 1 << 20) -> list[tuple[int, int]]:
     """Ranges of texts of about so many bytes."""
     out, a, n = [], 0, 0
     for k, t in enumerate(texts):
