@@ -128,23 +128,101 @@ def spans_by_document(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The same rows and columns with every confirmed span's characters replaced by its kind in brackets.
+    """The same rows and columns with the characters of every confirmed span replaced by its kind in brackets.
 
-    Positions aren't needed for that: within a row each confirmed match is cut out of the text by its pattern.
+    Spans of all kinds, and the words nearby, are those of the text as it came. Spans that overlap give way as one, named after the longest.
     """
-    t = docs
-    for kind in KINDS:
-        t = t.withColumn(text, _masked(kind, F.col(text)))
-    return t
-
-
-def _masked(kind: str, text: Column) -> Column:
-    pattern, needs, _, _ = KINDS[kind]
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.arrays_zip(matches.alias("match"), F.split(text, pattern, -1).alias("piece"))
-    both = F.zip_with(both, F.slice(F.split(text, pattern, -1), 2, 1 << 30), lambda x, after: F.struct(x["match"].alias("match"), x["piece"].alias("piece"), after.alias("next")))
-    near = lambda x: F.lower(F.concat_ws(" ", F.substring(x["piece"], -CONTEXT, CONTEXT), F.substring(x["next"], 1, CONTEXT)))
-    holds = lambda x: F.coalesce(_confirmed(kind, x["match"]), F.lit(False)) & (_raised(kind, near(x)) >= MIN_SCORE)
-    masked = F.array_join(F.transform(both, lambda x: F.concat(x["piece"], F.when(x["match"].isNull(), F.lit("")).when(holds(x), F.lit(f"[{kind}]")).otherwise(x["match"]))), "")
-    there = F.regexp_like(text, F.lit(pattern)) if needs is None else F.contains(text, F.lit(needs))
-    return F.when(there, masked).otherwise(text)
+    free = lambda name: name if name not in {c.lower() for c in docs.columns} else free(f"{name}_")
+    matches, spans = free("pii_matches"), free("pii_spans")
+    found = []
+    for kind, (pattern, needs, _, _) in KINDS.items():
+        there = F.col(text).isNotNull() if needs is None else F.contains(F.col(text), F.lit(needs))
+        found.append(F.when(there, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(kind))
+    t = docs.withColumn(matches, F.struct(*found))
+    t = t.withColumn(spans, F.concat(*(_placed(kind, F.col(text), F.col(matches)[kind]) for kind in KINDS)))
+    return t.withColumn(text, F.when(F.size(spans) > 0, _let(_merged(F.col(spans)), lambda m: _cut(F.col(text), m))).otherwise(F.col(text))).drop(matches, spans)
+
+
+#: Not a limit: lists are built in blocks of so many, as Spark copies a list for each entry that is added to it.
+BLOCK = 512
+SPANS = "array<struct<start:int,end:int,kind:int>>"
+
+
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def _span(start: Column, end: Column, kind: Column) -> Column:
+    return F.array(F.struct(start.alias("start"), end.alias("end"), kind.alias("kind"))).cast(SPANS)
+
+
+def _scan(items: Column, zero: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """step gives (next state, spans) for a state and an item; the spans of all items in order."""
+    none = F.array().cast(SPANS)
+
+    def one(a: Column, x: Column) -> Column:
+        state, out = step(a["state"], x)
+        return F.struct(state.alias("state"), F.concat(a["out"], out).alias("out"))
+
+    def blocks(all_: Column) -> Column:
+        block = lambda a, k: F.aggregate(F.slice(all_, k * BLOCK + 1, F.lit(BLOCK)), F.struct(a["state"].alias("state"), none.alias("out")), one)
+        add = lambda a, k: _let(block(a, k), lambda b: F.struct(b["state"].alias("state"), F.concat(a["out"], F.array(b["out"])).alias("out")))
+        numbers = F.sequence(F.lit(0), F.floor(F.size(all_) / BLOCK).cast("int"))
+        return F.flatten(F.aggregate(numbers, F.struct(zero.alias("state"), F.array().cast(f"array<{SPANS}>").alias("out")), add, lambda a: a["out"]))
+
+    return _let(items, blocks)
+
+
+def _placed(kind: str, text: Column, matches: Column) -> Column:
+    """The confirmed spans of one kind in a text, in code points."""
+    none = F.array().cast(SPANS)
+
+    def entries(pieces: Column) -> Column:
+        both = F.zip_with(F.arrays_zip(matches.alias("match"), pieces.alias("piece")), F.slice(pieces, 2, 1 << 30), lambda x, after: F.struct(x["match"].alias("match"), x["piece"].alias("piece"), after.alias("next")))
+        near = lambda x: F.lower(F.concat_ws(" ", F.substring(x["piece"], -CONTEXT, CONTEXT), F.substring(x["next"], 1, CONTEXT)))
+        score = lambda x: F.lit(True) if kind in BASE else _raised(kind, near(x)) >= MIN_SCORE
+        holds = lambda x: x["match"].isNotNull() & F.coalesce(_confirmed(kind, x["match"]), F.lit(False)) & score(x)
+        return F.transform(both, lambda x: F.struct(F.length(x["piece"]).alias("gap"), F.coalesce(F.length(x["match"]), F.lit(0)).alias("length"), holds(x).alias("holds")))
+
+    def step(end: Column, x: Column) -> tuple[Column, Column]:
+        start = end + x["gap"]
+        return start + x["length"], F.when(x["holds"], _span(start, start + x["length"], F.lit(ORDER[kind]))).otherwise(none)
+
+    found = _let(F.split(text, KINDS[kind][0], -1), entries)
+    some = _let(found, lambda e: F.when(F.exists(e, lambda x: x["holds"]), _scan(e, F.lit(0), step)).otherwise(none))
+    return F.when(F.size(matches) > 0, some).otherwise(none)
+
+
+def _merged(spans: Column) -> Column:
+    """Spans in order, those that overlap as one of the longest's kind (of equally long ones, the first kind's)."""
+    last = (1 << 31) - 1
+    state = "struct<start:int,end:int,kind:int,longest:int>"
+
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
+        overlap, length = x["start"] < s["end"], x["end"] - x["start"]
+        longer = (length > s["longest"]) | ((length == s["longest"]) & (x["kind"] < s["kind"]))
+        wider = F.struct(s["start"], F.greatest(s["end"], x["end"]), F.when(longer, x["kind"]).otherwise(s["kind"]), F.greatest(s["longest"], length)).cast(state)
+        new = F.struct(x["start"], x["end"], x["kind"], length).cast(state)
+        return F.when(overlap, wider).otherwise(new), F.when(overlap | (s["kind"] < 0), F.array().cast(SPANS)).otherwise(_span(s["start"], s["end"], s["kind"]))
+
+    items = F.concat(F.array_sort(spans), _span(F.lit(last), F.lit(last), F.lit(-1)))
+    return _scan(items, F.struct(F.lit(-1), F.lit(-1), F.lit(-1), F.lit(-1)).cast(state), step)
+
+
+def _cut(text: Column, spans: Column) -> Column:
+    """A text with spans (in order, none overlapping) replaced, taken block by block, so that no span is looked for from the text's beginning."""
+    names = F.array(*(F.lit(f"[{kind}]") for kind in KINDS))
+
+    def block(k: Column) -> Column:
+        start = F.coalesce(F.get(spans, k * BLOCK - 1)["end"], F.lit(0))
+        end = F.coalesce(F.get(spans, (k + 1) * BLOCK - 1)["end"], F.length(text))
+        return _let(F.struct(start.alias("start"), end.alias("end"), F.substring(text, start + 1, end - start).alias("text"), F.slice(spans, k * BLOCK + 1, F.lit(BLOCK)).alias("spans")), parts)
+
+    def parts(b: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(b["spans"], i - 1)["end"], b["start"])
+        piece = lambda i, to: F.substring(b["text"], before(i) - b["start"] + 1, to - before(i))
+        made = F.transform(b["spans"], lambda x, i: F.concat(piece(i, x["start"]), F.get(names, x["kind"])))
+        return F.concat(F.array_join(made, ""), piece(F.size(b["spans"]), b["end"]))
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.size(spans) / BLOCK).cast("int")), block), "")

@@ -71,6 +71,35 @@ def test_redaction_replaces_what_is_found(spark):
     assert pii.redact(df).columns == df.columns
 
 
+def plainly_redacted(text, spans):
+    """Overlapping (start, end, kind) as one, named after the longest, cut from the end on."""
+    groups = []
+    for start, end, kind in sorted(spans, key=lambda x: (x[0], x[1], list(pii.KINDS).index(x[2]))):
+        if groups and start < groups[-1][1]:
+            groups[-1][1] = max(groups[-1][1], end)
+            groups[-1][2].append((start - end, list(pii.KINDS).index(kind), kind))
+        else:
+            groups.append([start, end, [(start - end, list(pii.KINDS).index(kind), kind)]])
+    for start, end, kinds in reversed(groups):
+        text = text[:start] + f"[{min(kinds)[2]}]" + text[end:]
+    return text
+
+
+def test_redaction_cuts_overlapping_spans_whole(spark):
+    texts = ["+33.6.12.34.56.78", "at +33 6.12.34.56.78!", "+1 415 555 7713 and 415-555-1234", "415-555-1234, a@b.c", "fax 415-555-1234 or +33.6.12.34.56.78"]
+    got = {r.doc_id: r.text for r in pii.redact(rows(spark, texts, step=1)).collect()}
+    assert [got[i] for i in range(len(texts))] == ["[phone]", "at [phone]!", "[phone] and 415-555-1234", "415-555-1234, [email]", "fax [local] or [phone]"]
+
+
+def test_redaction_equals_the_spans_found(spark, sf_dir):
+    many = " é ".join(f"u{i}@x.de +33.6.12.34.56.{i % 90 + 10}" for i in range(1300))
+    for df in (rows(spark, [*pii_texts(), many, "1.2.3.4 " * 512, "1.2.3.4 " * 1024]), spark.read.parquet(f"{sf_dir}/documents.parquet")):
+        spans = {r.doc_id: [(s.start, s.end, s.kind) for s in r.spans] for r in pii.spans_by_document(df).collect()}
+        plain = {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+        got = {r.doc_id: r.text for r in pii.redact(df).select("doc_id", "text").collect()}
+        assert got == {i: t if t is None else plainly_redacted(t, spans[i]) for i, t in plain.items()}
+
+
 def fill(budget, children):
     """Plain water filling: children name -> (weight, capacity)."""
     given, left, open_ = {}, budget, dict(children)
