@@ -23,10 +23,11 @@ def merge(dense: DataFrame, sparse: DataFrame, by: str = "query_id", dense_weigh
     return both.withColumn("hybrid", F.lit(dense_weight) * F.col("dense") + F.lit(sparse_weight) * F.col("sparse"))
 
 
-def pool(lists: list[DataFrame], known: DataFrame, limit: int) -> DataFrame:
-    """Lists (doc_id, score) one after the other, each id and each text once, unknown ids dropped, cut to limit.
+def pool(lists: list[DataFrame], known: DataFrame, top_k: int) -> DataFrame:
+    """Lists (doc_id, score) one after the other, each id and each text once, unknown ids dropped.
 
-    known has doc_id and content_hash; blank hashes never stand for one another.
+    All lists but the last are taken whole; room is for as many rows as those have, and top_k more. known has doc_id
+    and content_hash; blank hashes never stand for one another.
     """
     tagged = [df.select("doc_id", "score").withColumn("stage", F.lit(k)) for k, df in enumerate(lists)]
     rows = reduce(DataFrame.unionByName, tagged).join(known.select("doc_id", "content_hash"), "doc_id")
@@ -35,7 +36,11 @@ def pool(lists: list[DataFrame], known: DataFrame, limit: int) -> DataFrame:
     rows = rows.withColumn("n", first("doc_id")).where("n = 1")
     own = F.when(F.col("content_hash") == "", F.concat(F.lit("id:"), F.col("doc_id"))).otherwise(F.col("content_hash"))
     rows = rows.withColumn("own", own).withColumn("n", first("own")).where("n = 1")
-    return rows.orderBy(*order).limit(limit).select("stage", "doc_id", "score")
+    last = F.col("stage") == len(lists) - 1
+    before = rows.where(~last)
+    room = top_k + (sum(df.count() for df in lists[:-1]) - before.count() if len(lists) > 1 else 0)
+    rest = rows.where(last).orderBy(*order).limit(room)
+    return (before.union(rest) if len(lists) > 1 else rest).orderBy(*order).select("stage", "doc_id", "score")
 
 
 def diagnostics(merged: DataFrame, by: str = "query_id") -> DataFrame:

@@ -191,7 +191,8 @@ def dedupe_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     part = lambda df, n: df.select("doc_id", (F.col("n_chars") % n).cast("double").alias("score"))
     known = docs.select("doc_id", F.sha2(F.col("text"), 256).alias("content_hash"))
-    return fusion.pool([part(docs.where("lang = 'es'"), 1000), part(docs.where("lang = 'fr'"), 777), part(docs, 555)], known, 200)
+    pooled = fusion.pool([part(docs.where("lang = 'es'"), 1000), part(docs.where("lang = 'fr'"), 777), part(docs, 555)], known, 200)
+    return pooled.orderBy("stage", F.col("score").desc(), "doc_id").limit(200)
 
 
 @query("ordered_union", "SELECT stage, doc_id FROM (SELECT 0 AS stage, doc_id FROM documents WHERE lang = 'de' UNION ALL SELECT 1, doc_id FROM documents WHERE lang = 'es' UNION ALL SELECT 2, doc_id FROM documents WHERE source = 'src2') ORDER BY stage, doc_id LIMIT 300")

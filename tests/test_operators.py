@@ -193,3 +193,11 @@ def test_stream_of_latencies_keeps_the_last_samples(spark, tmp_path):
     out.awaitTermination()
     (r,) = spark.table("latency").collect()
     assert (r.kind, r.lifetime, r.held, r.p50) == ("q", 5, 3, 40.0)
+
+
+def test_pool_takes_earlier_lists_whole_and_top_k_more(spark):
+    listed = lambda ids: spark.createDataFrame([(i, float(-i)) for i in ids], "doc_id int, score double")
+    known = spark.createDataFrame([(i, "same" if i in (3, 8) else f"h{i}") for i in range(100) if i != 5], "doc_id int, content_hash string")
+    got = [(r.stage, r.doc_id) for r in fusion.pool([listed(range(6)), listed(range(3, 10)), listed(range(100))], known, 2).collect()]
+    # 13 rows come before: 5 is unknown, 3 and 4 are there twice, 8 has 3's text; their room goes to the last list.
+    assert got == [(0, i) for i in (0, 1, 2, 3, 4)] + [(1, i) for i in (6, 7, 9)] + [(2, i) for i in range(10, 17)]
