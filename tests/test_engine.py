@@ -58,6 +58,23 @@ def test_sentiment_coverage_and_health(engine):
     assert {(r.ticker, r.doc_type) for r in engine.coverage().collect()} == {("AAA", "news"), ("BBB", "10-K")}
 
 
+def test_a_period_asked_for_keeps_its_passages_and_tables(spark, tmp_path):
+    """Other periods' filings, closer in words, fill the candidates; the named period's prose and statement still come."""
+    page = lambda y: f"<p>Consolidated Statements of Income</p><table><tr><td></td><td>Year Ended December 31, {y}</td><td>Year Ended December 31, {y - 1}</td></tr><tr><td>Sales</td><td>{y}1</td><td>{y}2</td></tr><tr><td>Costs</td><td>5</td><td>4</td></tr></table>"
+    rows = [("CCC", "10-K", f"{y + 1}-02-01", f"k{y}", f"Revenue growth of fiscal year 2016 and revenue growth again, told in {y}.", f"{y}-12-31", "filer", page(y)) for y in range(2017, 2024)]
+    rows.append(("CCC", "10-K", "2017-02-01", "k2016", "Pumps sold well in the north.", "2016-12-31", "filer", page(2016)))
+    df = spark.createDataFrame(rows, f"{SHAPE}, html string").withColumn("date", F.to_date("date")).withColumn("period_end", F.to_date("period_end"))
+    e = Engine(spark, f"file://{tmp_path}/p", Config(limits=Limits(target=40, most=200, least=1, overlap=0), candidates=2, top_k=20, table_slots=10))
+    e.ingest(df)
+    assert {(r.source_id, r.chunk_index): r.section for r in e.chunks().collect() if r.section}.keys() == {(r.source_id, 1) for r in e.chunks().collect()}
+    got = e.query("How did revenue growth go in fiscal year 2016?", ticker="CCC").collect()
+    assert any("Pumps" in r.excerpt and not r.is_table for r in got)
+    tables_ = {r.header.split("ended ")[1][:4] for r in got if r.is_table}
+    assert tables_ == {"2016", "2017"}
+    own = e.query("How did revenue growth go in fiscal year 2015?", ticker="CCC").collect()
+    assert {r.header.split("ended ")[1][:4] for r in own if r.is_table} == {"2016"} and any("Pumps" in r.excerpt for r in own)
+
+
 def test_filing_tree(spark, tmp_path):
     for path, text in {
         "AAA/10-K/001/a.txt": "FILED AS OF DATE: 20240201\nCONFORMED PERIOD OF REPORT: 20231231\nCENTRAL INDEX KEY: 0000012345",
