@@ -51,9 +51,9 @@ def _dictionary(content: bytes) -> zstandard.ZstdCompressionDict:
     return made
 
 
-def build_dictionary(texts: list[str], size: int = DICT_BYTES) -> bytes:
-    """A trained dictionary with its entropy tables, from the first pieces of each text; of too little text, the text itself."""
-    pieces = [t[i : i + PIECE].encode() for t in texts for i in range(0, min(len(t), PIECE * PIECES_OF_ONE), PIECE)][:MOST_PIECES]
+def build_dictionary(texts: list[str], size: int = DICT_BYTES, pieces_of_one: int | None = PIECES_OF_ONE, most_pieces: int | None = MOST_PIECES) -> bytes:
+    """A trained dictionary with its entropy tables, from the first pieces of each text (None: all of them); of too little text, the text itself."""
+    pieces = [t[i : i + PIECE].encode() for t in texts for i in range(0, len(t), PIECE)[:pieces_of_one]][:most_pieces]
     try:
         return zstandard.train_dictionary(size, pieces, k=64, d=8, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -81,10 +81,10 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 6
     return tuple(float(v) for v in w)
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
+def fit(texts: list[str], labels: list[int], pieces_of_one: int | None = PIECES_OF_ONE, most_pieces: int | None = MOST_PIECES) -> Model:
     """Rows at even places make the dictionaries, those at odd places the calibration."""
     first = [(t, y) for t, y in zip(texts[::2], labels[::2], strict=True) if t]
-    good, bad = (build_dictionary([t for t, y in first if y == want]) for want in (1, 0))
+    good, bad = (build_dictionary([t for t, y in first if y == want], DICT_BYTES, pieces_of_one, most_pieces) for want in (1, 0))
     sizes = Sizes(good, bad)
     rest = list(zip(texts[1::2], labels[1::2], strict=True)) or [("", 1)]
     x = np.array([expand(*sizes.features(t)) for t, _ in rest])
@@ -95,9 +95,10 @@ def expand(one: float, difference: float, kept: float) -> tuple[float, ...]:
     return (one, difference, kept, kept * kept, difference * kept)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_chars: int = 16_000_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_chars: int = 16_000_000, pieces_of_one: int | None = PIECES_OF_ONE, most_pieces: int | None = MOST_PIECES) -> Model:
+    """The dictionaries take pieces_of_one pieces of PIECE characters from each text's beginning, most_pieces at most; None: no such bound."""
     bounded_batches(docs.sparkSession)
-    return fit(*labelled_sample(docs, labels, "quality", max_rows, max_chars))
+    return fit(*labelled_sample(docs, labels, "quality", max_rows, max_chars), pieces_of_one, most_pieces)
 
 
 def score_column(model: Model, text: str = "text") -> Column:

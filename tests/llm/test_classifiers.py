@@ -58,3 +58,10 @@ def test_sample_is_bounded_and_leaves_the_fold_out(spark):
 def test_fitting_on_nothing():
     assert 0 <= toxicity.fit([], []).score("x") <= 1
     assert quality.fit([], []).weights
+
+
+def test_dictionaries_reach_as_far_into_a_text_as_asked():
+    texts = [f"{'filler ' * 800}marker-{k % 3}-far-behind " * 2 for k in range(6)]
+    assert b"far-behind" not in quality.build_dictionary([t[:5000] for t in texts])
+    assert b"far-behind" in quality.build_dictionary(texts, pieces_of_one=None, most_pieces=None)
+    assert b"far-behind" not in quality.build_dictionary(texts)
