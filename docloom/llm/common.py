@@ -5,10 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 32 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -17,16 +21,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master only, one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    """A new place below the shared folder; it is deleted when the driver ends, or by drop()."""
+    """A new place below the shared folder; it is deleted by drop(), at the end of its scratch(), or when the driver ends."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_drop_all)
@@ -37,29 +43,68 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 def drop(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if (spark, path) in _written:
+        _written.remove((spark, path))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Drops, at its end, what was written to fresh places inside, but for the tables that the given function writes.
+
+    What leaves the block must read nothing else that was written in it.
+    """
+    before = list(_written)
+    kept: list[str] = []
+
+    def keep(df: DataFrame, what: str) -> DataFrame:
+        made, path = written(df, what)
+        kept.append(path)
+        return made
+
+    yield keep
+    for _, path in [x for x in _written if x not in before and x[1] not in kept]:
+        drop(spark, path)
 
 
 def _drop_all() -> None:
-    for spark, path in _written:
+    for spark, path in list(_written):
         try:
             drop(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended before
             return
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it: lineage ends there, and losing executors loses nothing."""
+def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """Writes a table to the shared folder and reads it: lineage ends there, and losing executors loses nothing. And its place."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, what: str) -> DataFrame:
+    return written(df, what)[0]
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Texts go to Python in batches of at most so many rows, unless the session asks for fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    """Texts go to Python in batches of at most so many rows and about BATCH_BYTES, unless the session asks for fewer.
+
+    Spark reads these settings when a plan is made ready to run, so they stay set.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = "".join(c for c in str(spark.conf.get(key)) if c.isdigit())
+        if not 0 < int(now or 0) <= most:
+            spark.conf.set(key, str(most))
+
+
+def spread_join(many: DataFrame, one: DataFrame, on: str, salts: int = 16) -> DataFrame:
+    """many.join(one, on), where one has a row for each key and many may have a third of its rows under one.
+
+    Rows of many are dealt by key and salt; a key's row goes only to the salts that it has, salts at most.
+    """
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(*many.columns), F.lit(salts)))
+    places = salted.select(on, "_salt").distinct().join(one, on)
+    return salted.join(places, [on, "_salt"]).drop("_salt")
 
 
 def fold(doc_id: str = "doc_id") -> Column:
