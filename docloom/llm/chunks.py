@@ -1,9 +1,11 @@
 """Distinct-chunk tables: a chunk that occurs again is not segmented again.
 
 A batch of texts, as UTF-8 bytes, is cut into chunks that its tokenizer can never merge across. Every
-chunk gets a 64-bit rolling hash; each distinct chunk is segmented once by the library and its ids stay
-in a table; a document's ids are its chunks' entries joined by position. Each worker holds one table, and
-starts a new one when it exceeds ``most`` chunks or ids, so memory is bounded on any corpus.
+chunk gets a 64-bit rolling hash, by which it is looked up; a chunk that the table has under that hash is
+compared with it byte by byte, and one of equal hash but other bytes is kept by its bytes. Each distinct
+chunk is segmented once by the library and its ids stay in a table; a document's ids are its chunks' entries
+joined by position. Each worker holds one table, and starts a new one when it exceeds ``most`` chunks, or
+their ids or bytes in proportion, so memory is bounded on any corpus and results don't depend on it.
 """
 
 from __future__ import annotations
@@ -49,6 +51,10 @@ class ChunkTable:
 
     def clear(self) -> None:
         self.place: dict[int, int] = {}
+        self.others: dict[bytes, int] = {}
+        self.raw, self.raw_used = np.zeros(1 << 16, np.uint8), 0
+        self.raw_start, self.raw_size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.known = 0
         self.ids = np.zeros(1 << 16, np.int32)
         self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
@@ -70,7 +76,7 @@ class ChunkTable:
         return (np.concatenate(flat) if flat else np.zeros(0, np.int32)), offsets
 
     def _slice(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.place) > self.most or self.used > 8 * self.most:
+        if self.known > self.most or max(self.used, self.raw_used // 4) > 8 * self.most:
             self.clear()
         texts = [self.by.prepare(t) for t in texts]
         sizes = np.array([len(t) for t in texts])
@@ -85,14 +91,18 @@ class ChunkTable:
         stop = np.append(start[1:], len(b))
         power, inverse = _powers_to(len(b))
         sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(_BYTE[self.by.fold(b)] * power[: len(b)], out=sums[1:])
+        folded = self.by.fold(b)
+        np.cumsum(_BYTE[folded] * power[: len(b)], out=sums[1:])
         keys = (sums[stop] - sums[start]) * inverse[start]
         distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
         at = np.array([self.place.get(k, -1) for k in distinct.tolist()], np.int64)
         new = np.flatnonzero(at < 0)
         if len(new):
-            at[new] = self._learn(distinct[new], [raw[s:e] for s, e in zip(start[first[new]].tolist(), stop[first[new]].tolist(), strict=True)])
+            at[new] = self._learn(raw, folded, start[first[new]], stop[first[new]])
+            self.place.update(zip(distinct[new].tolist(), at[new].tolist(), strict=True))
         at = at[back]
+        for i in np.flatnonzero(~self._equal(at, folded, start, stop)).tolist():
+            at[i] = self._other(raw, folded, start[i], stop[i])
         count = self.count[at]
         so_far = np.cumsum(count)
         ids = self.ids[np.repeat(self.start[at] - so_far + count, count) + np.arange(so_far[-1])]
@@ -100,17 +110,37 @@ class ChunkTable:
         total = np.append(0, so_far)[np.searchsorted(start, ends)]
         return ids, np.diff(total, prepend=0)
 
-    def _learn(self, keys: np.ndarray, chunks: list[bytes]) -> np.ndarray:
-        ids, count = self.by.segment(chunks)
-        known = len(self.place)
-        self.ids = _room(self.ids, self.used + len(ids))
-        self.start, self.count = _room(self.start, known + len(keys)), _room(self.count, known + len(keys))
+    def _equal(self, at: np.ndarray, folded: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Whether the chunks folded[start:stop], which cover all of it, have the bytes of the table's entries at."""
+        size = stop - start
+        same = self.raw_size[at] == size
+        place = np.repeat(np.where(same, self.raw_start[at], 0) - start, size) + np.arange(len(folded))
+        differ = self.raw[np.minimum(place, len(self.raw) - 1)] != folded
+        return same & ~np.logical_or.reduceat(differ, start)
+
+    def _other(self, raw: bytes, folded: np.ndarray, start: int, stop: int) -> int:
+        """The entry of a chunk whose hash another chunk has."""
+        key = folded[start:stop].tobytes()
+        if key not in self.others:
+            self.others[key] = int(self._learn(raw, folded, np.array([start]), np.array([stop]))[0])
+        return self.others[key]
+
+    def _learn(self, raw: bytes, folded: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """New entries for the chunks raw[start:stop]."""
+        ids, count = self.by.segment([raw[s:e] for s, e in zip(start.tolist(), stop.tolist(), strict=True)])
+        size = stop - start
+        known, more = self.known, self.known + len(start)
+        self.ids, self.raw = _room(self.ids, self.used + len(ids)), _room(self.raw, self.raw_used + int(size.sum()))
+        self.start, self.count, self.raw_start, self.raw_size = (_room(x, more) for x in (self.start, self.count, self.raw_start, self.raw_size))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.start[known : known + len(keys)] = self.used + np.cumsum(count) - count
-        self.count[known : known + len(keys)] = count
-        self.used += len(ids)
-        self.place.update(zip(keys.tolist(), range(known, known + len(keys)), strict=True))
-        return np.arange(known, known + len(keys))
+        self.start[known:more] = self.used + np.cumsum(count) - count
+        self.count[known:more] = count
+        begin = np.cumsum(size) - size
+        self.raw[self.raw_used : self.raw_used + int(size.sum())] = folded[np.repeat(start - begin, size) + np.arange(int(size.sum()))]
+        self.raw_start[known:more] = self.raw_used + begin
+        self.raw_size[known:more] = size
+        self.used, self.raw_used, self.known = self.used + len(ids), self.raw_used + int(size.sum()), more
+        return np.arange(known, more)
 
 
 def _room(x: np.ndarray, n: int) -> np.ndarray:

@@ -2,8 +2,10 @@
 
 Pieces of a whitespace-split model cannot cross the marker, so each distinct marked word is segmented
 once and ids are joined back by position; the result equals the library's on the whole text.
-Nulls are empty texts; an empty text has the end id alone and decodes to an empty text; rows that
-repeat are encoded each; an empty table gives an empty table; columns other than id and text are not used.
+Nulls are empty texts; an empty text has the end id alone and decodes to an empty text; a text of any length is
+one row, cut and looked up like others; rows that repeat, and rows without an id, are encoded each and keep
+their ids; words of equal hash are told apart by their bytes; an empty table gives an empty table; columns other
+than id and text are not used.
 """
 
 from __future__ import annotations
