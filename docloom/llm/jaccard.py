@@ -10,9 +10,17 @@ bound of the symmetric difference) allow a link at all and enough prefix tokens
 is verified on whole sets; no link that could join two components is left out, and no pairs are listed
 within components.
 
-Documents of equal sets are one class from the start, represented by the smallest id. Nulls and texts
-without words have no shingles and link with nothing; rows that repeat an id are one document of their
-smallest signature; an empty table gives an empty table; columns other than id and text are not used.
+No task gathers a hot group: joins with a centre, a class or a component spread its rows by salt, and
+tokens of cells that are far above the mean (counted first) are compared in jobs of two parts of their
+documents each, dealt by the documents' hashes.
+
+Documents of equal sets are one class from the start, represented by the smallest id. Null texts, empty ones
+and those without words have no shingles and link with nothing; rows without an id are left out; a text of
+any length is one row and is hashed in blocks; rows that repeat an id are one document, the one of their
+smallest (number of shingles, signatures, md5), chosen before anything is dealt; ties of sizes or hashes
+are broken by id; an empty table gives an empty table; columns other than id and text are not used. Shingles
+count as equal if their 64-bit hashes are (see shingles), so n distinct shingles in all documents make a
+wrong match with a chance of about n^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -24,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded_batches, materialize
+from docloom.llm.common import bounded_batches, materialize, scratch, spread_join
 from docloom.llm.components import components
 from docloom.llm.shingles import mix, shingle_sets, slices
 
 CELLS = 1 << 16
 BITS = 1024
 ENTRIES_A_BUCKET = 2_000_000
+PART_ENTRIES = 4000
 
 
 def need(n: np.ndarray) -> np.ndarray:
@@ -63,38 +72,55 @@ def _text_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
 
-def _some(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    for b in batches:
-        ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
-        for s, e in slices(texts):
-            yield ids[s:e], texts[s:e]
+def one_row_an_id(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows (doc_id, text) without those of a repeated id that aren't its chosen one; repeats of the same text may stay.
+
+    Only if ids repeat with different texts are rows joined with their choices at all.
+    """
+    choice = facts.groupBy("doc_id").agg(F.min(F.struct("n", "sig_a", "sig_b", "mark"))["mark"].alias("mark"), F.min("mark").alias("lo"), F.max("mark").alias("hi"))
+    chosen = choice.where("lo < hi").select("doc_id", "mark")
+    if chosen.isEmpty():
+        return rows
+    return rows.join(chosen, "doc_id", "left").where(F.col("mark").isNull() | (F.col("mark") == F.md5("text"))).select("doc_id", "text")
 
 
-def sizes_and_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, sig_a, sig_b) of every document, and how many tokens of all documents fall in each cell."""
+def sizes_and_counts(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, n, sig_a, sig_b, mark) of every row (doc_id, text), and how many tokens of all rows fall in each cell."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int64)
-        for ids, texts in _some(batches):
-            keys, offsets = shingle_sets(texts)
-            counts += np.bincount((keys >> np.uint64(48)).astype(np.int64), minlength=CELLS)
-            totals = [np.append(0, np.cumsum(x))[offsets] for x in (keys, mix(keys + np.uint64(1)))]
-            a, b = ((t[1:] - t[:-1]).view(np.int64) for t in totals)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(offsets)), pa.array(a), pa.array(b), pa.nulls(len(ids), pa.binary())], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([-1]), pa.array([0]), pa.array([0]), pa.array([counts.tobytes()], pa.binary())], names=names)
+        for b in batches:
+            ids, texts, marks = b.column(0), b.column(1).to_pylist(), b.column(2)
+            for s, e in slices(texts):
+                keys, offsets = shingle_sets(texts[s:e])
+                counts += np.bincount((keys >> np.uint64(48)).astype(np.int64), minlength=CELLS)
+                totals = [np.append(np.uint64(0), np.cumsum(x))[offsets] for x in (keys, mix(keys + np.uint64(1)))]
+                one, two = ((t[1:] - t[:-1]).view(np.int64) for t in totals)
+                yield pa.RecordBatch.from_arrays([ids.slice(s, e - s), pa.array(np.diff(offsets)), pa.array(one), pa.array(two), marks.slice(s, e - s), pa.nulls(e - s, pa.binary())], names=names)
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.string()), pa.array([counts.tobytes()], pa.binary())], names=names)
 
-    names = ["doc_id", "n", "sig_a", "sig_b", "counts"]
-    both = materialize(_text_rows(docs, doc_id, text).mapInArrow(run, "doc_id long, n long, sig_a long, sig_b long, counts binary"), "shingle-facts")
+    names = ["doc_id", "n", "sig_a", "sig_b", "mark", "counts"]
+    marked = rows.select("doc_id", "text", F.md5("text").alias("mark"))
+    both = materialize(marked.mapInArrow(run, "doc_id long, n long, sig_a long, sig_b long, mark string, counts binary"), "shingle-facts")
+    return both.where("counts is null").drop("counts"), _summed(both.where("counts is not null").select("counts"))
+
+
+def _summed(blobs: DataFrame) -> np.ndarray:
+    """Counts by cell, added up in each partition and then by cell: CELLS rows come to the driver, however many partitions there are."""
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for b in batches:
             for x in b.column(0).to_pylist():
                 total += np.frombuffer(x, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["counts"])
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CELLS)), pa.array(total)], names=["cell", "n"])
 
-    parts = both.where("counts is not null").select("counts").mapInArrow(add, "counts binary").collect()
-    return both.where("counts is null").drop("counts"), sum((np.frombuffer(r[0], np.int64) for r in parts), np.zeros(CELLS, np.int64))
+    out = np.zeros(CELLS, np.int64)
+    cells = blobs.mapInArrow(add, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    return out
 
 
 def _packed(tokens: np.ndarray, docs: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
@@ -147,7 +173,7 @@ def _pair_counts(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
     return [pa.array(a[first]), pa.array(b[first]), pa.array(np.diff(np.append(first, len(a))))]
 
 
-def shared_prefixes(docs: DataFrame, heavy: np.ndarray, buckets: int, doc_id: str, text: str) -> DataFrame:
+def shared_prefixes(rows: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
     """(doc, center, shared): prefix tokens that doc shares with others, by the least document of each token."""
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +193,7 @@ def shared_prefixes(docs: DataFrame, heavy: np.ndarray, buckets: int, doc_id: st
         size = np.diff(np.append(first, len(tokens)))
         return pa.Table.from_arrays(_pair_counts(docs, np.repeat(docs[first], size)), names=["doc", "center", "shared"])
 
-    dealt = _text_rows(docs, doc_id, text).mapInArrow(deal, "bucket long, blob binary")
+    dealt = rows.mapInArrow(deal, "bucket long, blob binary")
     return dealt.groupBy("bucket").applyInArrow(stars, "doc long, center long, shared long")
 
 
@@ -198,13 +224,13 @@ def leftover_docs(by_class: DataFrame, component: DataFrame) -> DataFrame:
     Documents that share a token have the same centre for it, so two of them share at most the sum over
     centres of the lesser of their counts; for a centre the greatest count outside doc's component stands in.
     """
-    t = by_class.join(component, "doc")
+    t = by_class.join(component, "doc")  # a class once for each of its centres: few rows for a doc
     most = t.groupBy("a", "component").agg(F.max("shared").alias("m"))
     first = most.groupBy("a").agg(F.max(F.struct("m", "component")).alias("top"))
     second = most.join(first, "a").where(F.col("component") != F.col("top.component")).groupBy("a").agg(F.max("m").alias("next"))
     outside = first.join(second, "a").select("a", "top", "next")
     other = F.when(F.col("top.component") == F.col("component"), F.col("next")).otherwise(F.col("top.m"))
-    return t.join(outside, "a").groupBy("doc").agg(F.sum(F.least("shared", other)).alias("mixed"))
+    return spread_join(t, outside, "a").groupBy("doc").agg(F.sum(F.least("shared", other)).alias("mixed"))
 
 
 def _prefix_entries(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -224,8 +250,31 @@ def _rows_of_buckets(tokens: np.ndarray, buckets: int) -> Iterator[tuple[int, np
         yield k, order[edge[k] : edge[k + 1]]
 
 
+def _cell(tokens: np.ndarray) -> np.ndarray:
+    return (mix(tokens ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype(np.int64)
+
+
+def _side(docs: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(docs.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def cell_parts(sets: DataFrame) -> np.ndarray:
+    """Into how many parts each cell's documents are dealt: one, but for cells of more than PART_ENTRIES and four times the mean."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        for b in batches:
+            counts += np.bincount(_cell(_prefix_entries(b)[0]), minlength=CELLS)
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], names=["counts"])
+
+    counts = _summed(sets.select("doc", "component", "keys", "l").mapInArrow(run, "counts binary"))
+    return np.maximum(1, -(-counts // int(max(PART_ENTRIES, 4 * counts.mean())))).astype(np.int32)
+
+
 def leftover_pairs(sets: DataFrame, buckets: int) -> DataFrame:
     """(a, b) of different components that share min(l) prefix tokens and may link by length and parity."""
+    parts = cell_parts(sets)
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -235,11 +284,26 @@ def leftover_pairs(sets: DataFrame, buckets: int) -> DataFrame:
             for i, x in enumerate(b.column(2).to_pylist()):
                 keys = np.frombuffer(x, np.uint64)
                 facts["n"][i], facts["parity"][i] = len(keys), _parity(keys)
-            for k, at in _rows_of_buckets(tokens, buckets):
-                own, back = np.unique(rows[at], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([tokens[at].tobytes()]), pa.array([back.astype(np.int64).tobytes()]), pa.array([facts[own].tobytes()])], names=["bucket", "tokens", "rows", "facts"])
+            cell = _cell(tokens)
+            light = np.flatnonzero(parts[cell] == 1)
+            for k, at in _rows_of_buckets(tokens[light], buckets):
+                yield send(k, 1, 0, 0, tokens, rows, facts, light[at])
+            heavy = np.flatnonzero(parts[cell] > 1)
+            for c in np.unique(cell[heavy]).tolist():
+                own, n = heavy[cell[heavy] == c], int(parts[c])
+                side = _side(facts["doc"][rows[own]], n)
+                for i in np.unique(side).tolist():
+                    for j in range(n):
+                        lo, hi = min(i, j), max(i, j)
+                        yield send(buckets + (c << 40) + lo * n + hi, n, lo, hi, tokens, rows, facts, own[side == i])
+
+    def send(key: int, n: int, i: int, j: int, tokens: np.ndarray, rows: np.ndarray, facts: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        own, back = np.unique(rows[at], return_inverse=True)
+        numbers = [pa.array([x], pa.int64()) for x in (key, n, i, j)]
+        return pa.RecordBatch.from_arrays([*numbers, pa.array([tokens[at].tobytes()]), pa.array([back.astype(np.int64).tobytes()]), pa.array([facts[own].tobytes()])], names=["bucket", "parts", "i", "j", "tokens", "rows", "facts"])
 
     def compare(table: pa.Table) -> pa.Table:
+        n, one, two = (table.column(c)[0].as_py() for c in ("parts", "i", "j"))
         tokens, rows, facts, base = [], [], [], 0
         for t, r, f in zip(*(table.column(c).to_pylist() for c in ("tokens", "rows", "facts")), strict=True):
             tokens.append(np.frombuffer(t, np.uint64))
@@ -247,7 +311,8 @@ def leftover_pairs(sets: DataFrame, buckets: int) -> DataFrame:
             facts.append(np.frombuffer(f, FACTS))
             base += len(facts[-1])
         tokens, rows, facts = np.concatenate(tokens), np.concatenate(rows), np.concatenate(facts)
-        order = np.argsort(tokens, kind="stable")
+        # By token, and within it by size: partners then lie in a stretch of the sizes that may link.
+        order = np.lexsort((facts["n"][rows], tokens))
         tokens, rows = tokens[order], rows[order]
         first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -256,31 +321,37 @@ def leftover_pairs(sets: DataFrame, buckets: int) -> DataFrame:
             if facts["comp"][group].min() == facts["comp"][group].max():
                 continue
             f = facts[group]
+            side = _side(f["doc"], n)
             step = max(1, (1 << 20) // len(group))
             for at in range(0, len(group), step):
                 x = f[at : at + step, None]
-                may = (x["comp"] != f["comp"]) & (x["doc"] < f["doc"]) & (4 * np.minimum(x["n"], f["n"]) >= 3 * np.maximum(x["n"], f["n"]))
+                # Later ones of at most 4/3 the size; of two parts' documents only those across the parts.
+                y = f[at : np.searchsorted(3 * f["n"], 4 * int(x["n"].max()), side="right")]
+                may = (x["comp"] != y["comp"]) & (3 * y["n"] <= 4 * x["n"]) & (np.arange(len(y)) > np.arange(len(x))[:, None])
+                if one != two:
+                    may &= side[at : at + step, None] != side[at : at + len(y)]
                 i, j = np.nonzero(may)
                 for c in range(0, len(i), 1 << 17):
-                    p, q = f[i[c : c + (1 << 17)] + at], f[j[c : c + (1 << 17)]]
+                    p, q = y[i[c : c + (1 << 17)]], y[j[c : c + (1 << 17)]]
                     differ = np.bitwise_count(p["parity"] ^ q["parity"]).sum(axis=1)
                     # A link has at most a seventh of both sizes' sum in the symmetric difference.
                     near = 7 * differ.astype(np.int64) <= p["n"] + q["n"]
-                    left.append(p["doc"][near])
-                    right.append(q["doc"][near])
+                    left.append(np.minimum(p["doc"], q["doc"])[near])
+                    right.append(np.maximum(p["doc"], q["doc"])[near])
         return pa.Table.from_arrays(_pair_counts(np.concatenate(left), np.concatenate(right)), names=["a", "b", "shared"])
 
-    dealt = sets.select("doc", "component", "keys", "l").mapInArrow(deal, "bucket long, tokens binary, rows binary, facts binary")
+    dealt = sets.select("doc", "component", "keys", "l").mapInArrow(deal, "bucket long, parts long, i long, j long, tokens binary, rows binary, facts binary")
     pairs = dealt.groupBy("bucket").applyInArrow(compare, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     ls = sets.select("doc", "l")
-    pairs = pairs.join(ls.select(F.col("doc").alias("a"), F.col("l").alias("l_a")), "a").join(ls.select(F.col("doc").alias("b"), F.col("l").alias("l_b")), "b")
+    pairs = spread_join(pairs, ls.select(F.col("doc").alias("a"), F.col("l").alias("l_a")), "a")
+    pairs = spread_join(pairs, ls.select(F.col("doc").alias("b"), F.col("l").alias("l_b")), "b")
     return pairs.where(F.col("shared") >= F.least("l_a", "l_b")).select("a", "b")
 
 
 FACTS = np.dtype([("doc", np.int64), ("comp", np.int64), ("n", np.int64), ("l", np.int64), ("parity", np.uint8, BITS // 8)])
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, heavy: np.ndarray, doc_id: str, text: str) -> DataFrame:
+def whole_sets(rows: DataFrame, wanted: DataFrame, heavy: np.ndarray) -> DataFrame:
     """(doc, keys, l, centers, is_center) of the documents in wanted (doc, centers, is_center): whole sets as sorted 64-bit integers."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,8 +363,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, heavy: np.ndarray, doc_id: st
                 part = b.slice(s, e - s)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary()), pa.array(chosen_l(keys, offsets, heavy)), part.column(2), part.column(3)], names=["doc", "keys", "l", "centers", "is_center"])
 
-    rows = _text_rows(docs, doc_id, text).join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "text", "centers", "is_center")
-    return rows.mapInArrow(run, "doc long, keys binary, l long, centers array<long>, is_center boolean").dropDuplicates(["doc"])
+    found = rows.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "text", "centers", "is_center")
+    return found.mapInArrow(run, "doc long, keys binary, l long, centers array<long>, is_center boolean").dropDuplicates(["doc"])
 
 
 def _enough(n: Column) -> Column:
@@ -302,36 +373,49 @@ def _enough(n: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every document id."""
+    """(doc_id, n_shingles, component_id) for every document id; the tables written on the way are dropped."""
     bounded_batches(docs.sparkSession)
-    facts, counts = sizes_and_counts(docs, doc_id, text)
+    with scratch(docs.sparkSession) as keep:
+        return keep(_near_duplicates(_text_rows(docs, doc_id, text)), "near-duplicates")
+
+
+def _near_duplicates(rows: DataFrame) -> DataFrame:
+    facts, counts = sizes_and_counts(rows)
+    rows = one_row_an_id(rows, facts)
     heavy = counts > 4 * max(1.0, counts.mean())
     buckets = int(min(1 << 20, max(32, counts.sum() // (2 * ENTRIES_A_BUCKET))))
     facts = facts.groupBy("doc_id").agg(F.min(F.struct("n", "sig_a", "sig_b")).alias("f")).select("doc_id", "f.*")
     alike = facts.where("n > 0").groupBy("n", "sig_a", "sig_b").agg(F.min("doc_id").alias("class"))
-    member = materialize(facts.join(alike, ["n", "sig_a", "sig_b"], "left").select("doc_id", "n", F.coalesce("class", "doc_id").alias("class")), "classes")
+    # A third of all documents may be one class: its members are spread.
+    key = F.struct("n", "sig_a", "sig_b").alias("set")
+    classed = spread_join(facts.where("n > 0").select("doc_id", "n", key), alike.select(key, "class"), "set").select("doc_id", "n", "class")
+    member = materialize(classed.union(facts.where("n = 0").select("doc_id", "n", "doc_id")), "classes")
 
-    shared = materialize(shared_prefixes(docs, heavy, buckets, doc_id, text), "shared-prefixes")
+    shared = materialize(shared_prefixes(rows, heavy, buckets), "shared-prefixes")
     sums = shared.groupBy("doc").agg(F.sum("shared").alias("sum")).join(member.where("doc_id = class").select(F.col("doc_id").alias("doc"), "n"), "doc")
     kept = materialize(sums.where(F.col("sum") >= _enough(F.col("n"))).select("doc", "n"), "kept")
     center = member.select(F.col("doc_id").alias("center"), F.col("class").alias("a"))
-    by_class = materialize(shared.join(kept.select("doc"), "doc").join(center, "center").groupBy("doc", "a").agg(F.sum("shared").alias("shared")), "by-class")
+    by_class = materialize(spread_join(shared.join(kept.select("doc"), "doc"), center, "center").groupBy("doc", "a").agg(F.sum("shared").alias("shared")), "by-class")
 
     # Of each document's centres, as classes, the one that shares most and the least.
-    stars = by_class.where("a != doc").join(kept.select(F.col("doc").alias("a")), "a").groupBy("doc").agg(F.max(F.struct("shared", "a")).alias("most"), F.min("a").alias("least"))
+    stars = spread_join(by_class.where("a != doc"), kept.select(F.col("doc").alias("a")), "a").groupBy("doc").agg(F.max(F.struct("shared", "a")).alias("most"), F.min("a").alias("least"))
     stars = materialize(stars.select("doc", F.array_distinct(F.array("most.a", "least")).alias("centers")), "stars")
     hubs = stars.select(F.explode("centers").alias("doc")).distinct().withColumn("is_center", F.lit(True))
     wanted = kept.select("doc").join(stars, "doc", "left").join(hubs, "doc", "left").na.fill(False, ["is_center"])
-    sets = materialize(whole_sets(docs, wanted, heavy, doc_id, text), "sets")
-    members = sets.select(F.explode("centers").alias("a"), F.col("doc").alias("b"), F.col("keys").alias("keys_b"))
-    first = materialize(components(verified(members.join(sets.where("is_center").select(F.col("doc").alias("a"), F.col("keys").alias("keys_a")), "a"))), "components")
+    sets = materialize(whole_sets(rows, wanted, heavy), "sets")
+    # A hub's set goes to as many places as it has members, 16 at most; members' sets are dealt by hub and salt.
+    salt = F.pmod(F.xxhash64("b"), F.lit(16)).alias("salt")
+    members = sets.select(F.explode("centers").alias("a"), F.col("doc").alias("b"), F.col("keys").alias("keys_b")).select("a", salt, "b", "keys_b")
+    places = stars.select(F.explode("centers").alias("a"), F.col("doc").alias("b")).select("a", salt).distinct()
+    hub_sets = places.join(sets.where("is_center").select(F.col("doc").alias("a"), F.col("keys").alias("keys_a")), "a")
+    first = materialize(components(verified(members.join(hub_sets, ["a", "salt"]))), "components")
 
     component = kept.join(first.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
     left = leftover_docs(by_class, component.select("doc", "component")).join(component, "doc").where(F.col("mixed") >= _enough(F.col("n"))).select("doc", "component")
     left = materialize(sets.select("doc", "keys", "l").join(left, "doc").select("doc", "component", "keys", "l"), "leftover")
     pairs = materialize(leftover_pairs(left, buckets), "pairs")
     one, two = left.select(F.col("doc").alias("a"), F.col("keys").alias("keys_a")), left.select(F.col("doc").alias("b"), F.col("keys").alias("keys_b"))
-    more = verified(pairs.join(one, "a").join(two, "b"))
+    more = verified(spread_join(spread_join(pairs, one, "a").select("a", "b", "keys_a"), two, "b"))
     final = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    out = member.join(final.select(F.col("node").alias("class"), "component"), "class", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("component_id"))
+    of_class = member.where("doc_id = class").select("class").join(final.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("component", "class").alias("component_id"))
+    return spread_join(member, of_class, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

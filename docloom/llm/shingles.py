@@ -1,5 +1,9 @@
 """Sets of word shingles as sorted 64-bit hashes, for whole batches of texts at once.
 
+A word's hash is two polynomials of its bytes, modulo two primes just below 2^31, mixed into 64 bits. Over a
+prime field two words of n bytes meet under at most n of the bases, so words of regular structure (such as
+Thue-Morse words, which meet under any polynomial modulo 2^64) are told apart like any others.
+
 Texts are UTF-8 bytes; A-Z count as a-z; words are runs of bytes other than blanks (0x20, 0x09 to 0x0D). A
 text of fewer words than a shingle has is one shingle of its own kind; one without words has none.
 """
@@ -8,10 +12,14 @@ from __future__ import annotations
 
 import numpy as np
 
-from docloom.llm.chunks import _BYTE, _powers_to
 
 WORDS = 5
+BLOCK = 1 << 20
 _rng = np.random.default_rng(5)
+PRIMES = (np.uint64((1 << 31) - 1), np.uint64((1 << 31) - 19))
+_CODES = [_rng.integers(1 << 20, int(p), 256, dtype=np.uint64) for p in PRIMES]
+_BASES = [int(_rng.integers(1 << 20, int(p))) for p in PRIMES]
+_fields: list[np.ndarray] = []
 _PLACE = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHORT = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64)
 _BLANK = np.zeros(256, bool)
@@ -27,6 +35,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _powers(n: int) -> list[np.ndarray]:
+    """n powers at least of each field's base, in order."""
+    if not _fields or len(_fields[0]) < n:
+        _fields[:] = []
+        for base, p in zip(_BASES, PRIMES, strict=True):
+            x = np.ones(1, np.uint64)
+            while len(x) < max(n, 64):
+                x = np.concatenate([x, x * np.uint64(pow(base, len(x), int(p))) % p])
+            _fields.append(x)
+    return _fields
+
+
+def word_hashes(b: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words b[start:stop], none of them empty; memory is that of BLOCK bytes at a time."""
+    sums = np.zeros((2, len(start)), np.uint64)
+    powers = _powers(int((stop - start).max())) if len(start) else []
+    for s in range(0, len(b), BLOCK):
+        i, j = np.searchsorted(stop, s, side="right"), np.searchsorted(start, s + BLOCK)
+        if i == j:
+            continue
+        first = np.maximum(start[i:j], s)
+        size = np.minimum(stop[i:j], s + BLOCK) - first
+        begin = np.cumsum(size) - size
+        # Each byte of the words in the block, and its place in its word.
+        at = np.arange(int(size.sum())) + np.repeat(first - begin, size)
+        place = at - np.repeat(start[i:j], size)
+        at = b[at]
+        for k, (p, code) in enumerate(zip(PRIMES, _CODES, strict=True)):
+            sums[k, i:j] += np.add.reduceat(code[at] * powers[k][place] % p, begin)
+    return mix((sums[0] % PRIMES[0]) << np.uint64(31) | sums[1] % PRIMES[1])
+
+
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All texts' distinct shingles, ascending within each text, in a row; and the texts' offsets in it."""
     b = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
@@ -37,10 +77,7 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     word = ~blank
     start = np.flatnonzero(word & np.append(True, blank[:-1]))
     stop = np.flatnonzero(blank & np.append(False, word[:-1]))
-    power, inverse = _powers_to(len(b) + 1)
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[b]] * power[: len(b)], out=sums[1:])
-    words = mix((sums[stop] - sums[start]) * inverse[start])
+    words = word_hashes(_LOWER[b], start, stop)
     doc = np.searchsorted(ends, start, side="right")
     n_words = np.bincount(doc, minlength=len(texts))
     last = np.cumsum(n_words)[doc]
