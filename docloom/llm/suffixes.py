@@ -1,19 +1,20 @@
-"""Repeated passages: a depth-limited radix sort of suffixes, most significant pass first.
+"""Repeated passages: a depth-limited radix sort of suffixes, most significant digits first.
 
 Suffixes are ordered only through DEPTH bytes. Every window of DEPTH bytes contains an anchor: the GRAM
 bytes of least hash among those inside it, so equal windows have equal anchors at equal places, and only
-suffixes at anchors are sorted. The first pass deals them to buckets by the leading bits of their gram's hash and
-groups equal grams; what occurs in one document alone is ordered far enough and leaves. The second pass
-groups the others by the bytes around the gram, to the full depth: equal groups are exactly the repeated
-windows, of which each keeps the least document.
+suffixes at anchors are sorted. They are dealt to buckets by the leading bits of their gram's hash (bytes
+would deal them unevenly), where those whose gram occurs in one document alone leave. The others are sorted
+by msd_groups: passes over digits of eight bytes, first of the gram, then of the bytes around it; a pass takes
+only rows that are still in a group of several, so groups at the end are equal byte by byte. Windows inside
+such surroundings are found by a rolling hash and compared byte by byte; each keeps its least document.
 
 Within a batch a gram that occurs often goes to its bucket by its least and greatest document only, and
 in the second pass each part of the documents sends each distinct surrounding once, so no task gathers all
 occurrences of a frequent passage. Texts are dealt once by part of doc_id; both uses read the same shuffle.
 
-Nulls and empty texts have nothing to remove; rows without an id are left out; rows that repeat an id
-are judged each, against smaller ids only; an empty table gives an empty table; columns other than id
-and text are not used.
+Nulls and empty texts have nothing to remove; texts of any length are one row each; rows without an id are
+left out; rows that repeat an id are judged each, against smaller ids only; ties of windows go to the least
+id; an empty table gives an empty table; columns other than id and text are not used.
 """
 
 from __future__ import annotations
@@ -253,11 +254,10 @@ class _Part:
         self.around = np.lib.stride_tricks.sliding_window_view(b, WIDTH)[(np.cumsum(sizes) - sizes)[self.row] + self.at]
         self.around[(where < (SIDE - self.left)[:, None]) | (where >= (SIDE + self.right)[:, None])] = 0
         self.key = dealt(_row_hash(self.around[:, SIDE : SIDE + GRAM]))
-        whole = _surrounding_hash(self.around, self.left, self.right)
-        self.distinct, self.first, self.entry = np.unique(whole, return_index=True, return_inverse=True)
+        self.entry, self.first = msd_groups(_surrounding(self.around, self.left, self.right))
 
     def least(self) -> np.ndarray:
-        out = np.full(len(self.distinct), NEVER)
+        out = np.full(len(self.first), NEVER)
         np.minimum.at(out, self.entry, self.ids[self.row])
         return out
 
@@ -270,8 +270,48 @@ def _row_hash(rows: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def _surrounding_hash(around: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return mix(_row_hash(around) + left.astype(np.uint64) * np.uint64(64) + right.astype(np.uint64))
+def _surrounding(around: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Rows whose equality is that of gram, bytes around it, and how many of these are the text's own; the gram leads."""
+    sides = np.stack([left, right], axis=1).astype(np.uint8)
+    return np.concatenate([around[:, SIDE : SIDE + GRAM], around[:, :SIDE], around[:, SIDE + GRAM :], sides], axis=1)
+
+
+def msd_groups(rows: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row's group of equal rows of bytes, and where each group's first row is.
+
+    A radix sort, most significant digit first: a digit is eight bytes, and only rows that share all digits so
+    far with another are sorted by the next. Groups are numbered in order of their digits as far as those were needed;
+    known says groups of rows within which to begin.
+    """
+    n = len(rows)
+    group = np.zeros(n, np.int64) if known is None else known.astype(np.int64)
+    padded = np.zeros((n, -(-rows.shape[1] // 8) * 8), np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    digits = padded.view(">u8")
+    active = np.arange(n)
+    # Groups are named by the place that their first row has in the order, so a finer split needs no renaming of others.
+    if known is not None and n:
+        active = np.argsort(group, kind="stable")
+        edge = _firsts(group[active])
+        size = np.diff(np.append(edge, n))
+        group[active] = np.repeat(edge, size)
+        active = active[np.repeat(size > 1, size)]
+    for d in range(digits.shape[1]):
+        if not len(active):
+            break
+        digit = digits[active, d].astype(np.uint64)
+        order = np.lexsort((digit, group[active]))
+        active, digit = active[order], digit[order]
+        old = group[active]
+        edge = _firsts(old, digit)
+        size = np.diff(np.append(edge, len(active)))
+        begin = _firsts(old)
+        # A subgroup's name: its old group's, and how many of that group's rows come before it.
+        within = edge - np.repeat(begin, np.diff(np.append(np.searchsorted(edge, begin), len(edge))))
+        group[active] = np.repeat(old[edge] + within, size)
+        active = active[np.repeat(size > 1, size)]
+    _, first, number = np.unique(group, return_index=True, return_inverse=True)
+    return number.astype(np.int64), first
 
 
 def _surroundings(buckets: int) -> Callable:
@@ -295,13 +335,14 @@ def _resolve(table: pa.Table) -> pa.Table:
     entry, doc, left, right, around = (np.concatenate(c) for c in zip(*found, strict=True))
     del found
     left, right = left.astype(np.int64), right.astype(np.int64)
-    key, whole = _row_hash(around[:, SIDE : SIDE + GRAM]), _surrounding_hash(around, left, right)
-    order = np.lexsort((doc, whole, key))
-    first = _firsts(key[order], whole[order])
-    back = np.empty(len(order), np.int64)
-    back[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
-    at = order[first]
-    key, least, left, right = key[at], doc[at], left[at], right[at]
+    # The first digits alone: rows that share a gram; then all of them.
+    gram, _ = msd_groups(around[:, SIDE : SIDE + GRAM])
+    back, _ = msd_groups(_surrounding(around, left, right), gram)
+    order = np.lexsort((doc, back))
+    at = order[_firsts(back[order])]
+    key, least, left, right = gram[at], doc[at], left[at], right[at]
+    # Groups are in order of their grams.
+    first = at
     mask = np.zeros(len(first), np.uint32)
     edge = _firsts(key)
     some = np.flatnonzero(np.repeat(np.diff(np.append(edge, len(key))) > 1, np.diff(np.append(edge, len(key)))))
@@ -336,6 +377,13 @@ def _masks(least: np.ndarray, left: np.ndarray, right: np.ndarray, around: np.nd
         order = np.argsort(window, kind="stable")
         window, rows = window[order], rows[order]
         first = _firsts(window)
+        own = around[rows, s : s + DEPTH]
+        if not np.array_equal(own, own[np.repeat(first, np.diff(np.append(first, len(rows))))]):
+            # Equal hashes of unequal windows: these are sorted by their bytes.
+            number, _ = msd_groups(own)
+            order = np.argsort(number, kind="stable")
+            rows = rows[order]
+            first = _firsts(number[order])
         low = np.repeat(np.minimum.reduceat(least[rows], first), np.diff(np.append(first, len(rows))))
         mask[rows[low < least[rows]]] |= np.uint32(1 << s)
     return mask
@@ -345,7 +393,7 @@ def _remove(key: tuple, docs: pa.Table, more: pa.Table) -> pa.Table:
     """The last step in each part: removed runs and what is kept, for each document."""
     pieces = list(zip(more.column("kind").to_pylist(), more.column("blob").to_pylist(), strict=True))
     part = _Part(docs.column("blob").to_pylist(), [b for k, b in pieces if k == 0])
-    least, mask = np.full(len(part.distinct), NEVER), np.zeros(len(part.distinct), np.uint32)
+    least, mask = np.full(len(part.first), NEVER), np.zeros(len(part.first), np.uint32)
     for k, b in pieces:
         if k == 1:
             entry, low, bits = _unpack(b, np.uint32, np.int64, np.uint32)
