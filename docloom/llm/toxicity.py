@@ -2,17 +2,24 @@
 
 A document's score is a logistic function of its distinct words' weights. In fitting, identity terms in
 labelled sentences are swapped for other terms of their group, and the change of a sentence's score is
-penalised, so that a neutral mention of a group doesn't raise it. It is fitted on a bounded sample of
-labelled rows (max_rows, max_chars); every text is scored whole. Nulls are empty texts and score as the
-intercept does; repeated rows score alike; columns other than the text are never read.
+penalised, so that a neutral mention of a group doesn't raise it. Groups are the given ones (a parameter;
+fixed lists of four languages by default) and those that learn_groups finds in the labelled texts: terms that
+neutral documents mention too, but toxic ones clearly more often, beside terms of like neighbours that they don't.
+
+It is fitted on a bounded sample of labelled rows (max_rows, max_chars, and no text of over a share of those
+characters); every text is scored whole, whatever its length. Nulls are empty texts and score as the
+intercept does; repeated rows score alike; ties of learned terms are broken by name; without labelled rows
+or documents all scores are the intercept's; an empty table gives an empty table; columns other than the text
+(and, in train, the id) are never read, and rows without an id are scored like others.
 """
 
 from __future__ import annotations
 
+import collections
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +44,7 @@ IDENTITY_GROUPS = (
     ("muslimisch", "christlich", "jüdisch", "frau", "mann"),
     ("musulmán", "cristiano", "judío", "mujer", "hombre"),
 )
-SWAP = {term: [t for t in group if t != term] for group in IDENTITY_GROUPS for term in group}
+Groups = Iterable[Sequence[str]]
 _words = re.compile(r"\w+").findall
 _sentences = re.compile(r"[^.!?\n]+").findall
 
@@ -63,27 +70,85 @@ def _squash(x: float) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def fit(texts: list[str], labels: list[int], swaps_weight: float = 1.0, epochs: int = 6, rate: float = 0.2, shrink: float = 5e-4, seed: int = 7) -> Model:
+def swap_table(groups: Groups) -> dict[str, list[str]]:
+    """Each term's partners: all others of its groups."""
+    out: dict[str, list[str]] = {}
+    for group in groups:
+        for term in group:
+            mine = out.setdefault(term, [])
+            mine.extend(t for t in group if t != term and t not in mine)
+    return out
+
+
+def learn_groups(texts: list[str], labels: list[int], least: int = 20, most_terms: int = 40, partners: int = 3, odds: float = 1.5, vocabulary: int = 20_000) -> list[tuple[str, ...]]:
+    """Groups that stand in the labelled texts: a term mentioned by least neutral and least toxic documents at least,
+    by toxic ones odds times as often, with the partners of most similar neighbours whose own odds are lower.
+
+    Of the vocabulary's most frequent words, most_terms terms of highest odds make groups. A word that neutral documents
+    don't use, such as an insult, is never one. Neighbours are the words beside a term, by cosine of their counts.
+    """
+    seen = (collections.Counter(), collections.Counter())
+    n = [0, 0]
+    tokens = [_words(t.lower()) for t in texts]
+    for words, y in zip(tokens, labels, strict=True):
+        seen[y].update(set(words))
+        n[y] += 1
+    if not min(n):
+        return []
+    usual = sorted((w for w in seen[0] if seen[0][w] >= least and seen[1][w] >= least), key=lambda w: (-seen[0][w] - seen[1][w], w))[:vocabulary]
+    ratio = {w: (seen[1][w] / n[1]) / (seen[0][w] / n[0]) for w in usual}
+    terms = sorted((w for w in usual if ratio[w] >= odds), key=lambda w: (-ratio[w], w))[:most_terms]
+    place = {w: k for k, w in enumerate(usual)}
+    # Neighbours fold into a fixed number of slots, so the table of contexts is bounded.
+    slots = 256
+    context = np.zeros((len(usual), slots), np.float32)
+    for words in tokens:
+        for at, w in enumerate(words):
+            k = place.get(w)
+            if k is not None:
+                for beside in (at - 1, at + 1):
+                    if 0 <= beside < len(words):
+                        context[k, zlib.crc32(f"{beside - at}{words[beside]}".encode()) % slots] += 1
+    context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
+    groups = []
+    for term in terms:
+        like = context @ context[place[term]]
+        lower = sorted((w for w in usual if ratio[w] < ratio[term] / odds), key=lambda w: (-float(like[place[w]]), w))[:partners]
+        if lower:
+            groups.append((term, *lower))
+    return groups
+
+
+def swapped_pairs(texts: list[str], swap: dict[str, list[str]], seed: int = 7, most_of_one: int = 40) -> list[tuple[str, str, frozenset[str]]]:
+    """(term, other, the sentence's words): in each sentence each term with one of its partners; most_of_one sentences of a term."""
+    rng = np.random.default_rng(seed)
+    taken: collections.Counter = collections.Counter()
+    out = []
+    for text in texts:
+        for sentence in _sentences(text.lower()):
+            words = frozenset(_words(sentence))
+            for term in sorted(words & swap.keys()):
+                if taken[term] < most_of_one:
+                    taken[term] += 1
+                    out.append((term, swap[term][int(rng.integers(len(swap[term])))], words))
+    return out
+
+
+def fit(texts: list[str], labels: list[int], swaps_weight: float = 1.0, epochs: int = 6, rate: float = 0.2, shrink: float = 5e-4, seed: int = 7, groups: Groups = IDENTITY_GROUPS, learn: bool = True) -> Model:
     """Adagrad on the log loss, plus swaps_weight times the squared change of the score (before the logistic) under swaps."""
     slots: dict[str, list[int]] = {}
 
-    def rows_of(words: set[str]) -> tuple[np.ndarray, np.ndarray]:
+    def rows_of(words: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
         """Distinct slots and how many of the words' features fall on each."""
-        for w in words.difference(slots):
+        for w in set(words).difference(slots):
             slots[w] = word_features(w)
         found, times = np.unique(np.array([i for w in words for i in slots[w]], np.int32), return_counts=True)
         return found, times.astype(np.float32)
 
     rng = np.random.default_rng(seed)
-    docs, swaps = [], []
-    for text, label in zip(texts, labels, strict=True):
-        low = text.lower()
-        docs.append((rows_of(set(_words(low))), float(label)))
-        for sentence in _sentences(low) if any(t in low for t in SWAP) else ():
-            words = set(_words(sentence))
-            for term in sorted(words & SWAP.keys()):
-                other = SWAP[term][int(rng.integers(len(SWAP[term])))]
-                swaps.append((rows_of({term}), rows_of({other} - words)))
+    swap = swap_table([*groups, *(learn_groups(texts, labels) if learn else ())])
+    docs = [(rows_of(set(_words(text.lower()))), float(label)) for text, label in zip(texts, labels, strict=True)]
+    swaps = [(rows_of({term}), rows_of({other} - words)) for term, other, words in swapped_pairs(texts, swap, seed)]
     share = min(max(sum(y for _, y in docs) / max(len(docs), 1), 1e-3), 1 - 1e-3)
     w, g, bias = np.zeros(DIM), np.full(DIM, 1e-2), math.log(share / (1 - share)) - 1.0
     for _ in range(epochs):
@@ -104,9 +169,10 @@ def fit(texts: list[str], labels: list[int], swaps_weight: float = 1.0, epochs:
     return Model(w.astype(np.float32), bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_chars: int = 24_000_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_chars: int = 24_000_000, groups: Groups = IDENTITY_GROUPS, swaps_weight: float = 1.0) -> Model:
+    """Fitted on labelled_sample's rows, at most max_rows and max_chars; groups are joined by those learned from these rows."""
     bounded_batches(docs.sparkSession)
-    return fit(*labelled_sample(docs, labels, "toxic", max_rows, max_chars))
+    return fit(*labelled_sample(docs, labels, "toxic", max_rows, max_chars), swaps_weight=swaps_weight, groups=groups)
 
 
 _known: dict[int, dict[str, float]] = {}
