@@ -1,14 +1,16 @@
 """Quality: two zstandard dictionaries, of good and of bad labelled text, compress each text.
 
-The normalised difference of the two sizes, beside the share of its length that the smaller one keeps,
-becomes a score by logistic calibration on labelled rows that the dictionaries haven't seen. Dictionaries
-and calibration come from a bounded sample (max_rows, max_chars); every text is compressed whole. Nulls are
-empty texts (difference 0); repeated rows score alike; no other column is read.
+The normalised difference of the two sizes, (bad - good) / (bad + good), becomes a score by logistic calibration
+on labelled rows that the dictionaries haven't seen; nothing else of a text enters it. Dictionaries and
+calibration come from a bounded sample (max_rows, max_chars, and no text of over a share of those characters);
+every text is compressed whole, whatever its length. Nulls are empty texts (difference 0); repeated and tied
+texts score alike; without labelled rows the score is one constant; an empty table gives an empty table; no
+column but the text (and, in train, the id) is read, and rows without an id are scored like others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,13 +38,13 @@ class Sizes:
     def __init__(self, good: bytes, bad: bytes):
         self.pair = [zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(d), write_checksum=False, write_content_size=False) for d in (good, bad)]
 
-    def features(self, text: str) -> tuple[float, float, float]:
-        """Intercept, normalised size difference, kept share of the length."""
+    def difference(self, text: str) -> float:
+        """How much longer a text is under the bad dictionary than under the good one, of both lengths' sum."""
         raw = text.encode()
         if not raw:
-            return (1.0, 0.0, 1.0)
+            return 0.0
         good, bad = (len(c.compress(raw)) for c in self.pair)
-        return (1.0, 10 * (bad - good) / (bad + good), min(good, bad) / len(raw))
+        return (bad - good) / (bad + good)
 
 
 def _dictionary(content: bytes) -> zstandard.ZstdCompressionDict:
@@ -87,12 +89,13 @@ def fit(texts: list[str], labels: list[int], pieces_of_one: int | None = PIECES_
     good, bad = (build_dictionary([t for t, y in first if y == want], DICT_BYTES, pieces_of_one, most_pieces) for want in (1, 0))
     sizes = Sizes(good, bad)
     rest = list(zip(texts[1::2], labels[1::2], strict=True)) or [("", 1)]
-    x = np.array([expand(*sizes.features(t)) for t, _ in rest])
+    x = _inputs(sizes, [t for t, _ in rest])
     return Model(good, bad, calibrate(x, np.array([float(y) for _, y in rest])))
 
 
-def expand(one: float, difference: float, kept: float) -> tuple[float, ...]:
-    return (one, difference, kept, kept * kept, difference * kept)
+def _inputs(sizes: Sizes, texts: Iterable[str]) -> np.ndarray:
+    """Of each text an intercept and ten times its difference."""
+    return np.array([(1.0, 10 * sizes.difference(t)) for t in texts]).reshape(-1, 2)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_chars: int = 16_000_000, pieces_of_one: int | None = PIECES_OF_ONE, most_pieces: int | None = MOST_PIECES) -> Model:
@@ -108,8 +111,7 @@ def score_column(model: Model, text: str = "text") -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sizes = Sizes(good, bad)
         for texts in batches:
-            x = np.array([expand(*sizes.features(t)) for t in texts]).reshape(len(texts), len(weights))
-            yield pd.Series(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))))
+            yield pd.Series(1 / (1 + np.exp(-np.clip(_inputs(sizes, texts) @ weights, -30, 30))))
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "double")(F.coalesce(F.col(text), F.lit("")))
