@@ -4,13 +4,21 @@ Every k words in a row give a hash. Of each w hashes in a row the least is chose
 a fingerprint is the chosen hashes with their positions. So any run of w + k - 1 words that two texts share
 puts a common hash into both fingerprints, and no choice depends on anything outside its window.
 
-Only DataFrame functions. A hash and its place are packed in one integer, 39 bits of hash over 24 bits that
-fall as the place grows, so that plain minima choose the rightmost of equals; in texts of more than 2^24
-words places count on modulo 2^24. Words are runs of bytes other than blanks (0x20, 0x09 to 0x0D). A text with
-fewer than k words is one k-gram of all of them; fewer than w k-grams are one window; a text without words has
-an empty fingerprint. Nulls are empty texts; equal texts have equal fingerprints; rows that repeat an
-id follow one another in order of their texts' md5; an empty table gives an empty table; columns other
-than id and text are not used.
+Only DataFrame functions. Hashes of k-grams are built up from those of shorter ones at the same place: two words
+from two single ones, four from two pairs, five from four and one, and so on, each array worked out once; so a
+k-gram costs about log k steps, whatever k is. (Taking one word out and one in, from left to right, has no array
+form but one that copies the array at each step.) A hash is whole 64 bits, a place a whole number; windows'
+minima are taken over (hash, -place), so that plain minima choose the rightmost of equals.
+
+Words are runs of bytes other than blanks (0x20, 0x09 to 0x0D). A text with fewer than k words is one k-gram of
+all of them; fewer than w k-grams are one window; a text without words has an empty fingerprint. Nulls are
+empty texts; a text of any length is one row; rows without an id are left out of the comparison with the next
+document; equal texts have equal fingerprints; rows that repeat an id follow one another in order of their texts'
+md5; an empty table gives an empty table; columns other than id and text are not used, and fingerprint() keeps
+a caller's columns whatever they are named, but for out.
+
+Rows are dealt to ranges of doc_id, as many as rows_a_bucket asks for and MOST_BUCKETS at most, and ranges to
+as many tasks as the texts' bytes ask for.
 """
 
 from __future__ import annotations
@@ -20,47 +28,70 @@ from pyspark.sql import functions as F
 
 K = 5
 W = 8
-PLACES = (1 << 24) - 1
-ROWS_A_BUCKET = 2000
-MOST_BUCKETS = 1 << 16
+ROWS_A_BUCKET = 500
+MOST_BUCKETS = 1 << 20
+TASK_BYTES = 16 << 20
 TOPS = 64
+PRINTS = "array<struct<hash:bigint,back:int>>"
 
 
-def _grams(words: str, k: int) -> Column:
-    """From word hashes: the packed hash and place of each k-gram."""
-    full = F.transform(F.col(words), lambda x, i: F.xxhash64(x, *(F.get(F.col(words), i + j) for j in range(1, k))))
+def _free(df: DataFrame, name: str) -> str:
+    """name, or one like it that df has no column of."""
+    return name if name.lower() not in {c.lower() for c in df.columns} else _free(df, f"{name}_")
+
+
+def _joined(df: DataFrame, out: str, left: str, right: str, shift: int) -> DataFrame:
+    """Adds out: hashes of left's gram at each place and right's gram shift words later, where both are there."""
+    both = F.zip_with(left, F.slice(right, shift + 1, 1 << 30), lambda a, b: F.xxhash64(a, b))
+    return df.withColumn(out, F.slice(both, 1, F.greatest(F.size(right) - shift, F.lit(0))))
+
+
+def gram_hashes(df: DataFrame, words: str, out: str, k: int) -> DataFrame:
+    """Adds out: from word hashes, 64-bit hashes of each k words in a row, by doubling; of fewer than k words one hash of all."""
+    names, width = {1: words}, 1
+    while 2 * width <= k:
+        names[2 * width] = _free(df, f"{out}{2 * width}")
+        df = _joined(df, names[2 * width], names[width], names[width], width)
+        width *= 2
+    at, have = names[width], width
+    while have < k:
+        more = max(n for n in names if n <= k - have)
+        to = _free(df, f"{out}_{have + more}")
+        df, at, have = _joined(df, to, at, names[more], have), to, have + more
     n = F.size(words)
-    hashes = F.when(n >= k, F.slice(full, 1, F.greatest(n - (k - 1), F.lit(0)))).when(n > 0, F.array(F.xxhash64(F.col(words)))).otherwise(F.array().cast("array<bigint>"))
-    return F.transform(hashes, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 25), 24).bitwiseOR(F.lit(PLACES) - i.cast("bigint").bitwiseAND(F.lit(PLACES))))
+    all_ = F.when(n >= k, F.col(at)).when(n > 0, F.array(F.xxhash64(F.col(words)))).otherwise(F.array().cast("array<bigint>"))
+    made = [c for c in df.columns if c.startswith(out) and c != words]
+    return df.withColumn(out, all_).drop(*(c for c in made if c != out))
 
 
 def fingerprint(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> DataFrame:
-    """Adds out, the array of chosen grams as packed integers, each once, in order of place.
+    """Adds out, the array of chosen grams (hash, back), back being minus the place, each once, in order of place.
 
     w must be a power of two. Intermediate arrays are columns of their own, each evaluated once.
     """
     if w & (w - 1):
         raise ValueError("w must be a power of two")
-    t = df.withColumn("_w", F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda x: x != ""))
-    t = t.withColumn("_w", F.transform("_w", lambda x: F.xxhash64(x)))
-    t = t.withColumn("_g", _grams("_w", k))
-    t = t.withColumn("_m", F.col("_g"))
+    words, grams, least = (_free(df, x) for x in ("_winnow_w", "_winnow_g", "_winnow_m"))
+    t = df.withColumn(words, F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda x: x != ""))
+    t = gram_hashes(t.withColumn(words, F.transform(words, lambda x: F.xxhash64(x))), words, grams, k)
+    t = t.withColumn(grams, F.transform(grams, lambda h, i: F.struct(h.alias("hash"), (-i).cast("int").alias("back"))))
+    t = t.withColumn(least, F.col(grams))
     width = 1
     while width < w:
-        t = t.withColumn("_m", F.zip_with("_m", F.slice("_m", width + 1, 1 << 30), lambda a, b: F.least(a, b)))
+        t = t.withColumn(least, F.zip_with(least, F.slice(least, width + 1, 1 << 30), lambda a, b: F.least(a, b)))
         width *= 2
-    n = F.size("_g")
-    chosen = F.when(n >= w, F.slice("_m", 1, F.greatest(n - (w - 1), F.lit(0)))).when(n > 0, F.array(F.array_min("_g"))).otherwise(F.array().cast("array<bigint>"))
-    return t.withColumn(out, F.array_distinct(chosen)).drop("_w", "_g", "_m")
+    n = F.size(grams)
+    chosen = F.when(n >= w, F.slice(least, 1, F.greatest(n - (w - 1), F.lit(0)))).when(n > 0, F.array(F.array_min(grams))).otherwise(F.array().cast(PRINTS))
+    return t.withColumn(out, F.array_distinct(chosen.cast(PRINTS))).drop(words, grams, least)
 
 
 def hashes(prints: str | Column) -> Column:
-    return F.array_distinct(F.transform(prints, lambda p: F.shiftright(p, 24)))
+    return F.array_distinct(F.transform(prints, lambda p: p["hash"]))
 
 
 def written(prints: str | Column) -> Column:
     """place:hash pairs, hashes in hexadecimal."""
-    return F.array_join(F.transform(prints, lambda p: F.concat_ws(":", F.lit(PLACES) - p.bitwiseAND(F.lit(PLACES)), F.lower(F.hex(F.shiftright(p, 24))))), ",")
+    return F.array_join(F.transform(prints, lambda p: F.concat_ws(":", -p["back"], F.lower(F.hex(p["hash"])))), ",")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -123,9 +154,12 @@ def edited_text(text: str, following: str) -> Column:
 
 
 def compare_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
-    """(doc_id, text, fingerprint, edited, edited_fingerprint, near_edited, near_next), fingerprints as packed integers."""
+    """(doc_id, text, fingerprint, edited, edited_fingerprint, near_edited, near_next), fingerprints as arrays of (hash, back)."""
     t = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    t = fingerprint(in_ranges(t, rows_a_bucket), "text", "fingerprint").withColumn("_tie", F.md5(F.col("text").cast("binary")))
+    size = t.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    # Dealt by range before the fingerprints are made: only texts are shuffled, and the window finds them dealt.
+    t = fingerprint(in_ranges(t, rows_a_bucket).repartition(tasks, "_bucket"), "text", "fingerprint").withColumn("_tie", F.md5(F.col("text").cast("binary")))
     t = with_next(t, ["text", "fingerprint"])
     t = t.withColumn("edited", edited_text("text", "next_text")).drop("next_text", "_tie")
     t = fingerprint(t, "edited", "edited_fingerprint")
