@@ -1,10 +1,12 @@
 """Token ids as Parquet list columns: dictionary or delta encoded, row groups of a set size, page indexes.
 
-Files hold documents in ascending order of their ids, each file one range of them, so a reader fetches
-metadata without tokens, or the tokens of a few documents, by column and page. Ids come from a
-distinct-chunk table (see chunks); texts are dealt by ranges of doc_id before they are encoded, so each
-is encoded once. Nulls are empty texts (the end id alone); rows that repeat an id are kept each, in order
-of their texts; an empty table writes no rows; columns other than id and text are not used.
+Files hold documents in ascending order of their ids, each file one range of them and about FILE_BYTES of
+text, so a reader fetches metadata without tokens (read_metadata), or the tokens of a few documents by column
+and page (read_some), without reading the rest. Ids come from a distinct-chunk table (see chunks); texts are
+dealt by ranges of doc_id before they are encoded, so each is encoded once. Nulls are empty texts (the end id
+alone); a text of any length is one row; rows without an id come first; rows that repeat an id are kept each,
+in order of their texts, equal ones in any order; an empty table writes no rows and reads back as none;
+columns other than id and text are not used.
 """
 
 from __future__ import annotations
@@ -22,11 +24,18 @@ from docloom.llm.common import materialize
 
 ROW_GROUP_BYTES = 8 << 20
 PAGE_BYTES = 256 << 10
+FILE_BYTES = 64 << 20
 
 
 def write(docs: DataFrame, path: str, kind: str, model: bytes, end_id: int, dictionary: bool = True, row_group: int = ROW_GROUP_BYTES, page: int = PAGE_BYTES) -> None:
-    """Writes (doc_id, n_tokens, ids); without a dictionary, ids are delta encoded."""
-    dealt = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    """Writes (doc_id, n_tokens, ids); without a dictionary, ids are delta encoded.
+
+    Files are as many as the texts' bytes ask for, and at least as many as the session deals shuffles to.
+    """
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    dealt = texts.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     encoded = chunks.encode(dealt, kind, model, end_id).select("doc_id", F.size("ids").alias("n_tokens"), "ids")
     options = {"parquet.block.size": row_group, "parquet.page.size": page, "parquet.enable.dictionary": str(dictionary).lower(), "parquet.writer.version": "v2", "parquet.dictionary.page.size": 1 << 20}
     encoded.write.options(**options).parquet(path)
@@ -37,6 +46,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("doc_id", "n_tokens", "ids", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, n_tokens) from their own column chunks: the tokens' are not read."""
+    return spark.read.parquet(path).select("doc_id", "n_tokens")
+
+
+def read_some(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, n_tokens, ids) of the given documents, a list of bounded size: row groups and pages without them are skipped by their indexes."""
+    return spark.read.parquet(path).where(F.col("doc_id").isin(doc_ids)).select("doc_id", "n_tokens", "ids")
+
+
 def checksums(tokens: DataFrame) -> DataFrame:
     """(doc_id, file, row, n_tokens, ids_crc32) of the ids as little-endian 32-bit integers."""
 
