@@ -7,8 +7,11 @@ place among all shards. ``probe`` fills metadata columns from range reads of ima
 
 Shards close at SHARD_BYTES or SHARD_REFS, so a task's table of digests is bounded however often one
 payload occurs. A retried task writes a shard of a new name; rows name only shards that were closed.
-Nulls and empty texts become one unit of filling; repeated rows are references to one payload; an empty
-table gives an empty table; other columns are not used.
+Nulls and empty texts become one unit of filling; a text of any length is one payload; rows without an id
+keep their payload under a null id; repeated rows, and rows that repeat an id, are references to their payloads,
+one each; of equal payloads in several shards the first by shard and offset is read; an empty table gives an
+empty table; other columns are not used. Shards need a folder that pyarrow's file systems open (local, hdfs,
+s3, gs, abfs, and Hadoop's names for these); another scheme raises before anything is written.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import bounded_batches, fresh_path, materialize
@@ -31,6 +34,7 @@ UNIT = 576
 FILL = 255
 SHARD_BYTES = 64 << 20
 SHARD_REFS = 200_000
+TASK_BYTES = 64 << 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
 
@@ -84,12 +88,26 @@ def feature_of(samples: bytes) -> str:
     return f"{bits:016x}-{int(np.floor(x.mean() * 100)):05d}"
 
 
+#: Hadoop's names of schemes, and pyarrow's.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def _opened(uri: str) -> tuple:
+    """pyarrow's file system for a path as Hadoop writes it, and the path in it."""
+    from pyarrow.fs import FileSystem
+
+    scheme, colon, rest = uri.partition(":")
+    if colon and "/" not in scheme:
+        uri = f"{SCHEMES.get(scheme, scheme)}:{rest}"
+        if scheme == "file" and not rest.startswith("//"):
+            uri = f"file://{rest}"
+    return FileSystem.from_uri(uri)
+
+
 class _Shard:
     def __init__(self, folder: str):
-        from pyarrow.fs import FileSystem
-
         self.name = f"{folder}/{uuid.uuid4().hex}.tar"
-        fs, path = FileSystem.from_uri(self.name)
+        fs, path = _opened(self.name)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         self.out, self.at, self.refs, self.n = fs.open_output_stream(path), 0, {}, 0
 
@@ -141,29 +159,31 @@ def locate(packed: DataFrame) -> DataFrame:
     return packed.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
 
 
-def _ranges(places: DataFrame, schema: str, made: object, whole: bool) -> DataFrame:
-    """Tasks take whole shards and read them in order of offset."""
+def _ranges(places: DataFrame, schema: str, made: object, whole: bool, tasks: int) -> DataFrame:
+    """Tasks take ranges of shards and read them in order of offset; they are as many as the bytes to read ask for, not as the rows do."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow.fs import FileSystem
-
         name, file = None, None
         for b in batches:
             rows = []
             for digest, shard, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if shard != name:
-                    fs, path = FileSystem.from_uri(shard)
+                    fs, path = _opened(shard)
                     name, file = shard, fs.open_input_file(path)
                 rows.append((digest, *made(file.read_at(length if whole else HEADER_BYTES, offset))))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
 
     at = places.select("digest", "shard", "offset", "length")
-    return at.repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(run, schema)
+    return at.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset").mapInArrow(run, schema)
+
+
+def _tasks(spark: SparkSession, size: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
 
 
-def probe(places: DataFrame) -> DataFrame:
+def probe(places: DataFrame, tasks: int = 32) -> DataFrame:
     """(digest, width, height, depth, colour) from headers alone."""
-    return _ranges(places, "digest string, width long, height long, depth long, colour long", png_header, whole=False)
+    return _ranges(places, "digest string, width long, height long, depth long, colour long", png_header, whole=False, tasks=tasks)
 
 
 def _measured(image: bytes) -> tuple:
@@ -171,9 +191,9 @@ def _measured(image: bytes) -> tuple:
     return (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature_of(samples))
 
 
-def read_back(places: DataFrame) -> DataFrame:
+def read_back(places: DataFrame, tasks: int = 32) -> DataFrame:
     """(digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) from the stored bytes."""
-    return _ranges(places, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", _measured, whole=True)
+    return _ranges(places, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", _measured, whole=True, tasks=tasks)
 
 
 def media_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -183,5 +203,7 @@ def media_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     folder = fresh_path(spark, "media")
     packed = materialize(pack(docs, folder, doc_id, text), "media-index")
     places = locate(packed)
-    facts = places.join(probe(places), "digest").join(read_back(places), "digest")
+    # Range reads of headers are small, but each costs a request: as many tasks as for the whole.
+    tasks = _tasks(spark, places.agg(F.sum("length")).first()[0] or 0)
+    facts = places.join(probe(places, tasks), "digest").join(read_back(places, tasks), "digest")
     return packed.select("digest", "n_bytes", "refs").join(facts, "digest").withColumn("doc_id", F.explode("refs")).drop("refs")
