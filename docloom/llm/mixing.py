@@ -12,7 +12,8 @@ its order, as many as the root of its rows; only the one bucket that holds the c
 Nulls in domain, language or source are the empty name; null and empty texts have no tokens and are never
 chosen; a text longer than what is left is cut to it (take_tokens); rows that repeat an id and text stand
 at one place and are taken alike; an empty table gives an empty result; extra columns are not used.
-Weights that aren't named are 1; a weight must be a positive integer.
+Weights that aren't named are 1; a weight that isn't a positive integer raises. Rows without an id count
+and are taken like others, by their text's md5 alone. choose_documents loses texts without words, as these are never chosen.
 """
 
 from __future__ import annotations
@@ -41,6 +42,11 @@ class Mix:
     epochs: int = 2
     seed: int = 17
 
+    def __post_init__(self) -> None:
+        numbers = [*self.domains.values(), *self.languages.values(), *self.sources.values(), self.share_in, self.epochs]
+        if any(not isinstance(x, int) or x < 1 for x in numbers) or self.share_of < 0:
+            raise ValueError("weights, share_in and epochs are integers of 1 at least, share_of of 0 at least")
+
 
 def domain_of(source: str = "source") -> Column:
     """d0 to d3 by the number that a source's name ends with."""

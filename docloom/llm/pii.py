@@ -9,7 +9,12 @@ costs linear time.
 
 Nulls and empty texts have no spans; repeated rows are found out each; very long texts are whole rows of
 one generator, so memory is a few texts; an empty table gives an empty table; columns other than id and
-text are not used, and rows keep their own spans even where ids repeat.
+text are not used, and rows keep their own spans even where ids repeat or are null. Of one kind's overlapping
+matches the leftmost holds; spans of different kinds may overlap, and those that start alike are in order of kind.
+
+Rows are told apart by a number of their own (monotonically_increasing_id), which a task that is run again gives
+alike only if it reads its rows in the same order; that holds for files. find_spans on a table made by a
+shuffle without an order should be given a written one.
 """
 
 from __future__ import annotations
