@@ -2,14 +2,18 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import random
 import re
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import jaccard, suffixes
+from docloom.llm import common, jaccard, suffixes
+from docloom.llm.common import spread_join
 from docloom.llm.components import components
-from tests.llm.cases import mixed_texts, rows, words
+from tests.llm.cases import mixed_texts, rows, thue_morse, words
 
 _words = re.compile("[^ \t-\r]+").findall
 
@@ -77,6 +81,73 @@ def test_leftover_round_finds_what_stars_miss(spark):
     assert near(df) == brute_components({r.doc_id: r.text for r in df.collect()})
 
 
+def test_words_of_structured_hashes_make_no_links(spark):
+    for n in (1024, 2048):
+        a, b = thue_morse(n)
+        texts = [f"p q {a} r s", f"p q {b} r s", f"p q {a} r s"]
+        df = rows(spark, texts, step=1)
+        assert near(df) == {0: (1, 0), 1: (1, 1), 2: (1, 0)}
+
+
+def test_one_of_the_rows_of_an_id_counts_in_any_order(spark):
+    a, b = words(40, 1, 10_000), words(40, 2, 10_000)
+    made = [(5, a), (5, b), (8, b + " x"), (9, a + " x"), (7, None), (7, a), (7, "")]
+    got = []
+    for seed in range(6):
+        random.Random(seed).shuffle(made)
+        df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+        got.append(near(df))
+    assert all(g == got[0] for g in got)
+    assert sorted(got[0]) == [5, 7, 8, 9] and got[0][7] == (0, 7)
+    assert (got[0][8][1] == 5) != (got[0][9][1] == 5)
+
+
+def test_hot_tokens_are_compared_in_parts(spark, monkeypatch):
+    """Documents that share one token of their prefix each, in several components, with jobs of few entries."""
+    monkeypatch.setattr(jaccard, "PART_ENTRIES", 6)
+    texts = []
+    for k in range(30):
+        base = words(40, 1000 + k // 3, 10_000).split()
+        texts.append(" ".join(base[:38] + [f"v{k}", "tail"]))
+    df = rows(spark, texts, step=1)
+    expected = brute_components({r.doc_id: r.text for r in df.collect()})
+    assert near(df) == expected
+    sets = spark.createDataFrame([(k, k, np.sort(np.array([1, 2, 3, 4, 10**6 + k, 10**7 + k], np.uint64)).tobytes(), 1) for k in range(200)], "doc long, component long, keys binary, l long")
+    assert jaccard.cell_parts(sets).max() > 1
+    assert jaccard.leftover_pairs(sets, 4).count() == jaccard.leftover_pairs(sets, 4).distinct().count() == plain_pairs(sets)
+
+
+def plain_pairs(sets):
+    keys = [set(np.frombuffer(r.keys, np.uint64).tolist()) for r in sets.collect()]
+    return sum(7 * len(a ^ b) <= len(a) + len(b) for i, a in enumerate(keys) for b in keys[i + 1 :])
+
+
+def test_unsettled_components_raise(spark):
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(k, k + 1) for k in range(50)], "a long, b long"), rounds=1)
+
+
+def test_spread_join_equals_a_join(spark):
+    many = spark.createDataFrame([(1 if k % 3 else k, k) for k in range(300)], "x long, v long")
+    one = spark.createDataFrame([(k, k * k) for k in range(200)], "x long, w long")
+    assert sorted(spread_join(many, one, "x").collect()) == sorted(many.join(one, "x").collect())
+
+
+def test_temporary_tables_go_and_need_a_shared_folder(spark):
+    folder = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    df = jaccard.near_duplicates(rows(spark, mixed_texts()))
+    left = set(folder.iterdir()) - before
+    assert len(left) == 1 and df.count() > 0
+
+    class Elsewhere:
+        conf = {"spark.checkpoint.dir": None}
+        sparkContext = type("C", (), {"master": "spark://somewhere"})  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Elsewhere())
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(k, k + 1) for k in range(0, 60)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -119,6 +190,31 @@ def test_repeats_equal_brute_force(spark, sf_dir, kind):
     assert sum(len(k) for *_, k in got.values()) < sum(n for n, *_ in got.values())
 
 
+def test_digit_passes_group_equal_rows():
+    r = np.random.default_rng(1)
+    for t in range(60):
+        x = r.integers(0, 2, (r.integers(0, 60), r.integers(1, 30))).astype(np.uint8)
+        known = r.integers(0, 3, len(x)) if t % 2 else None
+        number, first = suffixes.msd_groups(x, known)
+        keys = [(0 if known is None else int(known[i]), bytes(x[i])) for i in range(len(x))]
+        names = {k: i for i, k in enumerate(sorted(set(keys), key=lambda k: keys.index(k)))}
+        assert len(first) == len(names) and [number[i] for i in first] == list(range(len(first)))
+        assert all((number[i] == number[j]) == (keys[i] == keys[j]) for i in range(len(x)) for j in range(len(x)))
+
+
+def test_windows_of_equal_hash_are_told_apart(monkeypatch):
+    """With a hash that says nothing, windows are still found by their bytes."""
+    r = np.random.default_rng(3)
+    around = r.integers(0, 2, (40, suffixes.WIDTH)).astype(np.uint8) + 97
+    around[20:] = around[:20]
+    around[20:, :5] = 98
+    least, side = np.arange(40), np.full(40, suffixes.SIDE)
+    plain = suffixes._masks(least, side, side + suffixes.GRAM, around)
+    monkeypatch.setattr(suffixes, "_BYTE", np.ones(256, np.uint64))
+    assert suffixes._masks(least, side, side + suffixes.GRAM, around).tolist() == plain.tolist()
+    assert plain[20:].all() and not plain[:20].any()
+
+
 def test_repeats_bear_nothing_and_equal_ids(spark):
     df = rows(spark, mixed_texts())
     assert repeats(df.limit(0)) == {}

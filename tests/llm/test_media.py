@@ -4,6 +4,9 @@ import hashlib
 import tarfile
 import zlib
 
+import pytest
+from pyspark.sql import functions as F
+
 from docloom.llm import media, queries
 from docloom.llm.common import fresh_path
 from tests.llm.cases import mixed_texts, rows
@@ -44,7 +47,25 @@ def test_shards_are_tar_files(spark):
     assert {f"{p.digest}.png": p.offset for p in packed} == {k: m.offset_data for k, m in members.items()}
 
 
-def test_query_columns(spark, sf_dir):
+def test_query_equals_brute_force(spark, sf_dir):
+    plain = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     df = queries.op1_media(spark, sf_dir)
     assert df.columns[:8] == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    assert df.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    got = df.collect()
+    assert sorted(r.doc_id for r in got) == sorted(plain)
+    for r in got:
+        n, payload = media.payload_of(plain[r.doc_id].decode())
+        image = media.to_png(payload)
+        assert tuple(r)[1:8] == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), media.feature_of(payload))
+
+
+def test_rows_without_an_id_keep_their_payload(spark):
+    df = rows(spark, ["a", None, "b" * 2000]).withColumn("doc_id", F.lit(None).cast("long"))
+    assert sorted(r.n_bytes for r in media.media_table(df).collect()) == [0, 1, 2000]
+
+
+def test_schemes_of_paths():
+    assert media._opened("/tmp/x.tar")[1] == "/tmp/x.tar"
+    assert media._opened("file:/tmp/x.tar")[1] == media._opened("file:///tmp/x.tar")[1] == "/tmp/x.tar"
+    with pytest.raises(Exception, match="nosuch"):
+        media._opened("nosuch://a/b")

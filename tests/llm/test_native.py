@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from docloom.llm import mixing, pii, winnowing
+from docloom.llm import mixing, pii, queries, winnowing
 from tests.llm.cases import CLASHING, mixed_texts, rows
 
 BASE = {
@@ -175,20 +175,26 @@ def test_mixing_bears_nothing_and_keeps_columns(spark):
     assert ids == {i for i, *_ in brute_mix([(r.doc_id, r.text, r.lang, r.source) for r in df.collect()], mixing.Mix(epochs=1, share_of=4, share_in=5))}
 
 
-def _long(value, seed):
-    return xxhash.xxh64_intdigest(struct.pack("<Q", value), seed=seed)
+def _pair(a, b):
+    return xxhash.xxh64_intdigest(struct.pack("<Q", b), seed=xxhash.xxh64_intdigest(struct.pack("<Q", a), seed=42))
+
+
+def _signed(x):
+    return x - (1 << 64) if x >> 63 else x
 
 
 def prints(text, k=5, w=8):
+    assert k == 5
     hashes = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in re.findall("[^ \t-\r]+", text)]
-
-    def chain(some):
+    two = [_pair(a, b) for a, b in zip(hashes, hashes[1:], strict=False)]
+    four = [_pair(a, b) for a, b in zip(two, two[2:], strict=False)]
+    grams = [_pair(a, b) for a, b in zip(four, hashes[4:], strict=False)]
+    if 0 < len(hashes) < k:
         seed = 42
-        for x in some:
-            seed = _long(x, seed)
-        return seed >> 25
-
-    grams = [chain(hashes[i : i + k]) for i in range(len(hashes) - k + 1)] if len(hashes) >= k else [chain(hashes)] if hashes else []
+        for x in hashes:
+            seed = xxhash.xxh64_intdigest(struct.pack("<Q", x), seed=seed)
+        grams = [seed]
+    grams = [_signed(g) for g in grams]
     placed = list(zip(grams, range(len(grams)), strict=True))
     chosen = []
     for x in [placed[i : i + w] for i in range(len(placed) - w + 1)] if len(placed) >= w else [placed] if placed else []:
@@ -205,7 +211,7 @@ def test_winnowing_equals_brute_force(spark, sf_dir, rows_a_bucket):
         got = winnowing.compare_with_edits(df, rows_a_bucket=rows_a_bucket)
         got = {r.doc_id: r for r in got.withColumn("a", winnowing.written("fingerprint")).withColumn("b", winnowing.written("edited_fingerprint")).collect()}
         assert len(got) == len(plain)
-        write = lambda f: ",".join(f"{p}:{h:x}" for h, p in f)
+        write = lambda f: ",".join(f"{p}:{h % (1 << 64):x}" for h, p in f)
         for k, (i, text) in enumerate(plain):
             following = plain[(k + 1) % len(plain)][1]
             edited = text[: len(text) - len(text) // 3] + following[: len(text) // 3]
@@ -235,3 +241,43 @@ def test_winnowing_bears_nothing_and_equal_ids(spark):
     assert spark.createDataFrame([], CLASHING).count() == 0
     same = winnowing.fingerprint(df, "text", "f").groupBy("text").agg(F.count_distinct("f").alias("n"))
     assert same.where("n > 1").count() == 0
+
+
+def test_gram_hashes_of_every_width(spark):
+    df = rows(spark, ["a b c d e f g h i", "a", "", None], step=1).withColumn("words", F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    for k in range(1, 10):
+        got = {r.doc_id: r.g for r in winnowing.gram_hashes(df, "words", "g", k).collect()}
+        assert [len(got[i]) for i in range(4)] == [10 - k, 1, 0, 0]
+        assert len(set(got[0])) == 10 - k
+
+
+def test_fingerprint_keeps_the_callers_columns(spark):
+    df = rows(spark, mixed_texts())
+    made = winnowing.fingerprint(df, "text", "print")
+    assert made.columns == [*df.columns, "print"]
+    assert made.select(*df.columns).exceptAll(df).isEmpty()
+
+
+def test_rows_without_an_id(spark):
+    df = rows(spark, mixed_texts()).withColumn("doc_id", F.when(F.col("doc_id") > 9, F.col("doc_id")))
+    n, named = df.count(), df.where("doc_id is not null").count()
+    assert pii.spans_by_document(df).count() == n
+    assert winnowing.compare_with_edits(df).count() == named
+    assert 0 < mixing.mix_documents(df, mixing.Mix(epochs=1)).count() <= n
+
+
+def test_weights_must_be_positive_integers():
+    for bad in ({"domains": {"d0": 0}}, {"sources": {"x": -1}}, {"languages": {"en": 1.5}}, {"epochs": 0}):
+        with pytest.raises(ValueError):
+            mixing.Mix(**bad)
+
+
+def test_personal_data_query_equals_brute_force(spark, sf_dir):
+    plain = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in queries.op4_pii(spark, sf_dir).collect():
+        spans = base_spans(plain[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, *_ in spans) for kind in BASE]
+        all_ = [x.split(":") for x in r.spans.split(",")] if r.spans else []
+        assert [tuple(x) for x in all_ if x[0] in BASE] == [(k, str(s), str(e)) for k, s, e in spans]
+        assert all(int(s) < int(e) <= len(plain[r.doc_id]) for _, s, e in all_)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import functions as F
@@ -7,7 +9,8 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from docloom.llm import mixing, pii, toxicity
-from docloom.llm.common import fresh_path
+from docloom.llm.common import fresh_path, shared_dir
+from tests.llm.cases import mixed_texts, write_tables
 from tests.llm.test_duplicates import brute_components
 from tests.llm.test_native import brute_mix
 
@@ -43,3 +46,29 @@ def test_entry_registers_every_operator():
     assert "pipeline" in names
     assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2:3].isdigit()} == set(range(1, 11))
     assert corpus_pipeline.MIX.epochs == 1 and isinstance(corpus_pipeline.MIX, mixing.Mix)
+
+
+def test_stages_bear_odd_and_empty_tables(spark, tmp_path):
+    """Nulls, empty and long texts, repeats, rows without an id and clashing columns; and no rows at all."""
+    folder = write_tables(spark, str(tmp_path / "odd"), mixed_texts())
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = docs.union(docs.where("doc_id % 4 = 0")).union(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    for some in (docs, docs.limit(0)):
+        n = some.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, some, folder)
+            if name == "pieces":
+                assert out.count() == n
+            else:
+                assert out.columns == some.columns
+                rows_out = out.count()
+                assert rows_out == n if name == "personal_data" else rows_out <= n
+            if name == "near_duplicates":
+                assert out.where("doc_id is null").count() == some.where("doc_id is null").count()
+
+
+def test_run_leaves_only_its_result(spark, sf_dir):
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    assert len(set(folder.iterdir()) - before) == 1
