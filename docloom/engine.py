@@ -57,6 +57,8 @@ class Engine:
             named = named.withColumn("section", F.lit(None).cast("string"))
         if held is not None and "section" not in held.columns:
             held = held.withColumn("section", F.lit(None).cast("string"))
+        if held is not None and "vector_hash" not in held.columns:
+            held = held.withColumn("vector_hash", F.lit("").cast("string"))
         facts = named.drop("text", "html")
         made = chunked(named, "source_id", "text", c.target, c.most, c.least, c.overlap)
         own = made.join(facts, "source_id")
@@ -66,14 +68,15 @@ class Engine:
         made = own.withColumn("chunk_id", ids.chunk_id(F.col("source_id"), self.config.version, F.col("chunk_index")))
         made = made.withColumnRenamed("chunk", "text").withColumn("content_hash", F.sha2(F.col("text"), 256))
         if held is None:
-            full = made.withColumn("embedding", self.models.embed(F.col("text")))
+            full = made.withColumn("embedding", self.models.embed(F.col("text"))).withColumn("vector_hash", F.col("content_hash"))
         else:
-            known = held.select("chunk_id", F.col("content_hash").alias("held_hash"), F.col("embedding").alias("held_embedding"))
+            known = held.select("chunk_id", F.col("content_hash").alias("held_hash"), F.col("embedding").alias("held_embedding"), F.col("vector_hash").alias("held_vector"))
             both = made.join(known, "chunk_id", "left")
-            same = F.col("held_hash") == F.col("content_hash")
+            # A vector is kept if it was made from this very text.
+            same = (F.col("held_hash") == F.col("content_hash")) & (F.col("held_vector") == F.col("content_hash"))
             hits = both.where(same).withColumn("embedding", F.col("held_embedding"))
             misses = both.where(~F.coalesce(same, F.lit(False))).withColumn("embedding", self.models.embed(F.col("text")))
-            full = hits.unionByName(misses).drop("held_hash", "held_embedding")
+            full = hits.unionByName(misses).withColumn("vector_hash", F.col("content_hash")).drop("held_hash", "held_embedding", "held_vector")
             gone = store.orphans(held.select("chunk_id", "source_id"), made.select("chunk_id"), named.select("source_id"))
             full = store.upsert(store.delete(held, gone, "chunk_id"), full, "chunk_id")
         return self.store.publish(full, "chunk_id", ["ticker"])
@@ -107,7 +110,9 @@ class Engine:
         scores = bm25.scores(every, asked, "chunk_id")
 
         def search(some: DataFrame, k: int) -> DataFrame:
-            near = vectors.search(some.select(F.col("chunk_id").alias("vec_id"), "embedding"), vector, k)
+            # Only vectors that were made from the text as it stands are trusted.
+            trusted = some.where(F.col("vector_hash") == F.col("content_hash"))
+            near = vectors.search(trusted.select(F.col("chunk_id").alias("vec_id"), "embedding"), vector, k)
             dense = near.select("query_id", F.col("vec_id").alias("doc_id"), "score")
             sparse = bm25.top_k(scores.join(some.select(F.col("chunk_id").alias("doc_id")), "doc_id", "left_semi"), k).select("query_id", "doc_id", "score")
             merged = fusion.merge(dense, sparse, dense_weight=cfg.dense_weight, sparse_weight=cfg.sparse_weight)
@@ -173,5 +178,9 @@ class Engine:
         return sentiment.coverage(self.chunks(), ["ticker", "doc_type"], "date")
 
     def health(self) -> DataFrame:
-        c = self.chunks().select(F.col("chunk_id").alias("id"), F.col("content_hash").alias("hash"))
-        return store.health(store.reconcile(c, c))
+        """One row: vectors against chunks, by the hash of the text that each vector was made from."""
+        held = self.chunks()
+        made = F.col("vector_hash") if "vector_hash" in held.columns else F.lit("")
+        c = held.select(F.col("chunk_id").alias("id"), F.col("content_hash").alias("hash"))
+        v = held.where("embedding is not null").select(F.col("chunk_id").alias("id"), F.coalesce(made, F.lit("")).alias("hash"))
+        return store.health(store.reconcile(v, c))

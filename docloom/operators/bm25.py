@@ -1,12 +1,13 @@
 """Exact BM25 (Okapi) over a corpus: statistics of the whole corpus, scores for one query or many.
 
-Postings are grouped by document and token with partial sums before the shuffle. Only the query side,
-a few tokens for each query, is broadcast.
+One pass counts, by token with partial sums before the shuffle, in how many documents each token is, and all
+lengths; another counts in each row the tokens that are asked for, without a shuffle of postings. Asked tokens go
+to the tasks as a list of MOST_WANTED at most; more of them are joined instead.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import tokens
@@ -15,24 +16,39 @@ from docloom.functions.text import tokens
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, token, tf, len)."""
-    t = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("tokens"))
-    t = t.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("token"))
-    return t.groupBy("doc_id", "token", "len").agg(F.count("*").alias("tf"))
+MOST_WANTED = 10_000
 
 
-def idf(posts: DataFrame, stats: DataFrame) -> DataFrame:
-    """(token, df, idf): negative values give way to epsilon times the mean of all values before."""
-    df = posts.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n")))
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+def vocabulary(docs: DataFrame, text: str) -> DataFrame:
+    """(token, df, len): documents with each token; the null token stands for all documents, len being their tokens."""
+    t = docs.select(tokens(text).alias("tokens"))
+    t = t.select(F.size("tokens").cast("long").alias("len"), F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("token"))
+    return t.groupBy("token").agg(F.count("*").alias("df"), F.sum(F.when(F.col("token").isNull(), F.col("len"))).alias("len"))
 
 
-def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
-    """One row: n documents and their mean length in tokens."""
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(text))).alias("avgdl"))
+def _raw(n: int) -> Column:
+    return F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+def _floored(raw: str, mean: float | None) -> Column:
+    """Negative values give way to epsilon times the mean of all values before."""
+    return F.when(F.col(raw) < 0, F.lit(EPSILON * (mean or 0.0))).otherwise(F.col(raw))
+
+
+def idf(docs: DataFrame, text: str) -> DataFrame:
+    """(token, df, idf) of the whole vocabulary."""
+    found = vocabulary(docs, text).where("token is not null").withColumn("raw", _raw(docs.count()))
+    return found.select("token", "df", _floored("raw", found.agg(F.avg("raw")).first()[0]).alias("idf"))
+
+
+def _tf(docs: DataFrame, doc_id: str, text: str, words: list[str] | None) -> DataFrame:
+    """(doc_id, len, token, tf), of the given words in each row or, for none given, of all by a group-by."""
+    t = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("tokens")).withColumn("len", F.size("tokens"))
+    if words is None:
+        return t.select("doc_id", "len", F.explode("tokens").alias("token")).groupBy("doc_id", "len", "token").agg(F.count("*").alias("tf"))
+    asked = F.array_intersect("tokens", F.array(*map(F.lit, words)).cast("array<string>"))
+    counted = F.transform(asked, lambda w: F.struct(w.alias("token"), F.size(F.filter("tokens", lambda x: x == w)).alias("tf")))
+    return t.select("doc_id", "len", F.explode(counted).alias("hit")).select("doc_id", "len", "hit.*")
 
 
 def scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -41,9 +57,20 @@ def scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: st
     A token repeated in a query counts each time. Documents that aren't here score 0.
     """
     wanted = queries.select("query_id", F.explode(tokens("query")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    posts, stats = postings(docs, doc_id, text), corpus_stats(docs, text)
-    hits = posts.join(F.broadcast(wanted), "token").join(idf(posts, stats), "token").crossJoin(F.broadcast(stats))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
+    words = [r[0] for r in wanted.select("token").distinct().limit(MOST_WANTED + 1).collect()]
+    few = len(words) <= MOST_WANTED
+    n = docs.count()
+    every = vocabulary(docs, text).withColumn("raw", _raw(n))
+    asked = F.collect_list(F.when(F.col("token").isin(words), F.struct("token", "raw"))) if few else F.lit(None)
+    total = every.agg(F.avg(F.when(F.col("token").isNotNull(), F.col("raw"))).alias("mean"), F.max("len").alias("len"), asked.alias("asked")).first()
+    if few:
+        made = docs.sparkSession.createDataFrame([(r.token, float(r.raw)) for r in total.asked], "token string, raw double")
+    else:
+        made = every.where("token is not null").select("token", "raw")
+    weights = wanted.join(made, "token").select("query_id", "token", "times", _floored("raw", total.mean).alias("idf"))
+    hits = _tf(docs, doc_id, text, words if few else None).join(weights, "token")
+    average = (total.len or 0) / n if n else 0.0
+    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(average or 1.0)))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 

@@ -86,12 +86,12 @@ def chunked(docs: DataFrame, doc_id: str, text: str, target: int, most: int, lea
     )
 
 
-def pages(lines: list[str], most: int) -> list[list[str]]:
-    """Lines in pages of at most so many tokens, a longer line alone."""
+def pages(lines: list[str], most: int, extra: int = 0) -> list[list[str]]:
+    """Lines in pages of at most so many tokens (each line counting extra more), a longer line alone."""
     out: list[list[str]] = [[]]
     used = 0
     for text in lines:
-        n = count_tokens(text)
+        n = count_tokens(text) + extra
         if out[-1] and used + n > most:
             out.append([])
             used = 0

@@ -22,8 +22,14 @@ def section_rank(section: str | Column) -> Column:
     return out
 
 
+def document_id(source_id: str = "source_id", chunk_id: str = "chunk_id") -> Column:
+    """A chunk's document: its source, or, where that is blank, what its id names before version and index."""
+    named = F.regexp_extract(F.col(chunk_id).cast("string"), r"^(.*?)(?:_(?:ch[0-9]+))?_t?[0-9]+$", 1)
+    return F.coalesce(F.nullif(F.col(source_id), F.lit("")), F.nullif(named, F.lit("")), F.col(chunk_id).cast("string"))
+
+
 def eligible(chunks: DataFrame) -> DataFrame:
-    return chunks.where(F.col("attribution").isin(*ELIGIBLE) & ~F.coalesce(F.col("section"), F.lit("")).endswith("_table"))
+    return chunks.withColumn("source_id", document_id()).where(F.col("attribution").isin(*ELIGIBLE) & ~F.coalesce(F.col("section"), F.lit("")).endswith("_table"))
 
 
 def documents_of(chunks: DataFrame) -> DataFrame:
@@ -55,19 +61,23 @@ def entity_scores(signals: DataFrame) -> DataFrame:
 
 
 def status(chunks: DataFrame, as_of: Column) -> DataFrame:
-    """(entity, status, last_document_date): no_data, stale, degraded, partial or ok by what evidence there is.
+    """(entity, status, reason, last_document_date, documents_used, reliable_chunks, total_chunks) by what evidence there is.
 
+    no_data without any eligible chunk; stale without a fresh document; of the chunks that are picked for scoring,
+    degraded if none is reliable (full_extraction_failure) or some aren't (partial_extraction_failure); else ok.
     chunks carry reliable; the last document date is the newest not after as_of, even when stale.
     """
-    dated = documents_of(eligible(chunks)).where(F.col("doc_date") <= as_of)
-    fresh = F.col("doc_date") >= F.date_sub(as_of, FRESH_DAYS)
-    found = dated.groupBy("entity").agg(F.max("doc_date").alias("last_document_date"), F.count_if(fresh).alias("fresh"), F.count_if(fresh & F.col("reliable")).alias("good"))
-    named = chunks.select("entity").distinct().join(found, "entity", "left")
-    return named.select(
-        "entity",
-        F.when(F.col("last_document_date").isNull(), "no_data").when(F.col("fresh") == 0, "stale").when(F.col("good") == 0, "degraded").when(F.col("good") < F.col("fresh"), "partial").otherwise("ok").alias("status"),
-        "last_document_date",
-    )
+    documents = eligible(chunks).groupBy("entity", "source_id").agg(F.max("date").alias("doc_date"))
+    known = documents.groupBy("entity").agg(F.max(F.when(F.col("doc_date") <= as_of, F.col("doc_date"))).alias("last_document_date"), F.lit(True).alias("any"))
+    good = F.col("reliable")
+    # A document has few picked chunks, so it is counted where its chunks already meet.
+    each = picked(chunks, as_of).groupBy("entity", "source_id").agg(F.count("*").alias("total"), F.count_if(good).alias("good"))
+    used = each.groupBy("entity").agg(F.sum("total").alias("total"), F.sum("good").alias("good"), F.count_if(F.col("good") > 0).alias("used"))
+    t = chunks.select("entity").distinct().join(known, "entity", "left").join(used, "entity", "left")
+    state = F.when(F.col("any").isNull(), "no_data").when(F.col("total").isNull(), "stale").when(F.col("good") < F.col("total"), "degraded").otherwise("ok")
+    reason = F.when(F.col("good") == 0, "full_extraction_failure").when(F.col("good") < F.col("total"), "partial_extraction_failure")
+    count = lambda c, n: F.coalesce(F.col(c), F.lit(0)).alias(n)
+    return t.select("entity", state.alias("status"), reason.alias("reason"), "last_document_date", count("used", "documents_used"), count("good", "reliable_chunks"), count("total", "total_chunks"))
 
 
 def summary(signals: DataFrame) -> DataFrame:

@@ -1,12 +1,15 @@
 """A corpus store of versioned Parquet directories, and the set operations that keep it.
 
 A version is written in full to a directory of its own, read back and validated, and then named in a
-manifest that is replaced in one step; the previous version stays. Readers follow the manifest.
+manifest of its own, which is written aside and renamed to a name that isn't there yet. Nothing current is
+ever deleted or replaced: readers follow the newest manifest that can be read and whose version is whole, so a crash
+at any point leaves the version before.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,35 +86,60 @@ class Store:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
+    def _numbers(self) -> list[int]:
+        """Numbers of the manifests that are there, newest first."""
+        fs, at = self._fs(self.root)
+        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        found = [re.fullmatch(r"manifest-([0-9]+)\.json", n) for n in names]
+        return sorted((int(m[1]) for m in found if m), reverse=True)
+
+    def _whole(self, version: int | None) -> bool:
+        fs, at = self._fs(f"{self.root}/v{version}/_SUCCESS")
+        return version is not None and fs.exists(at)
+
     def manifest(self) -> dict | None:
-        fs, at = self._fs(f"{self.root}/manifest.json")
-        if not fs.exists(at):
-            return None
-        return json.loads(self.spark.read.text(f"{self.root}/manifest.json", wholetext=True).first()[0])
+        """The newest manifest that can be read and names a whole version, with its own number."""
+        for number in self._numbers():
+            try:
+                found = json.loads(self.spark.read.text(f"{self.root}/manifest-{number}.json", wholetext=True).first()[0])
+            except (ValueError, TypeError):
+                continue  # cut off while it was written
+            if self._whole(found.get("version")) or self._whole(found.get("previous")):
+                return found | {"number": number}
+        return None
 
     def read(self) -> DataFrame | None:
         """The current version; the previous one if its directory is gone."""
         m = self.manifest() or {}
         for version in (m.get("version"), m.get("previous")):
-            if version is not None:
-                fs, at = self._fs(f"{self.root}/v{version}/_SUCCESS")
-                if fs.exists(at):
-                    return self.spark.read.parquet(f"{self.root}/v{version}")
+            if self._whole(version):
+                return self.spark.read.parquet(f"{self.root}/v{version}")
         return None
 
+    def _next(self) -> int:
+        """A version that no directory has yet."""
+        fs, at = self._fs(self.root)
+        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        return max([-1, *(int(n[1:]) for n in names if re.fullmatch("v[0-9]+", n))]) + 1
+
     def publish(self, rows: DataFrame, key: str, partition_by: list[str] | None = None) -> int:
         """Writes the next version, validates it by its count of rows and keys, and makes it current."""
-        m = self.manifest() or {"version": -1, "previous": None}
-        version = m["version"] + 1
+        m = self.manifest() or {"version": None, "previous": None}
+        version = self._next()
         path = f"{self.root}/v{version}"
         rows.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
         back = self.spark.read.parquet(path).agg(F.count("*").alias("n"), F.count_distinct(key).alias("keys")).first()
         if back["n"] != back["keys"]:
             raise ValueError(f"{key} repeats: {back['n']} rows, {back['keys']} keys; version {m['version']} stays current")
-        self._swap({"version": version, "previous": m["version"] if m["version"] >= 0 else None, "rows": back["n"]})
-        for old in range(version - 1):
-            fs, at = self._fs(f"{self.root}/v{old}")
-            fs.delete(at, True)
+        self._swap({"version": version, "previous": m["version"], "rows": back["n"]})
+        # Manifests but the newest two, and versions that neither of these names, are of no more use.
+        for number in self._numbers()[2:]:
+            fs, at = self._fs(f"{self.root}/manifest-{number}.json")
+            fs.delete(at, False)
+        for old in range(version):
+            if old != m["version"]:
+                fs, at = self._fs(f"{self.root}/v{old}")
+                fs.delete(at, True)
         return version
 
     def rollback(self) -> int:
@@ -122,11 +150,11 @@ class Store:
         return m["previous"]
 
     def _swap(self, manifest: dict) -> None:
-        fs, at = self._fs(f"{self.root}/manifest.json")
-        _, new = self._fs(f"{self.root}/manifest.json.new")
+        number = max([-1, *self._numbers()]) + 1
+        fs, new = self._fs(f"{self.root}/manifest.new")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        if fs.exists(at):
-            fs.delete(at, False)
-        fs.rename(new, at)
+        _, at = self._fs(f"{self.root}/manifest-{number}.json")
+        if not fs.rename(new, at):
+            raise RuntimeError(f"manifest {number} is there already: another writer published first")

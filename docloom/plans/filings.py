@@ -35,7 +35,7 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.cells(tables.extracted(_pages(spark, sf_dir), "o_custkey", "html"), "o_custkey")
 
 
-@query("table_facts", "SELECT DISTINCT o_custkey, 'Orders' AS title, 'in millions' AS units, 'reported' AS basis, true AS aligned FROM orders")
+@query("table_facts", "SELECT DISTINCT o_custkey, 'Consolidated statements of C' || o_custkey || ' (in millions) Orders' AS title, 'in millions' AS units, 'reported' AS basis, true AS aligned FROM orders")
 def table_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables.extracted(_pages(spark, sf_dir), "o_custkey", "html")
     return t.select("o_custkey", *(F.col(f"table.{c}").alias(c) for c in ("title", "units", "basis", "aligned")))
@@ -45,9 +45,11 @@ def _filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey").cast("string")
     text = F.concat(
         F.lit("FILED AS OF DATE: "), F.date_format("o_orderdate", "yyyyMMdd"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" CONFORMED PERIOD OF REPORT: "), F.date_format("o_orderdate", "yyyyMM"), F.lit("01"))).otherwise(""),
-        F.lit(" CENTRAL INDEX KEY: "), F.lpad(key, 10, "0"), F.lit(" front Item 1. Business sells "), key, F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit(" ITEM 1A. Risk Factors many "), key)).otherwise(""),
+        F.lit(" CENTRAL INDEX KEY: "), F.lpad(key, 10, "0"), F.lit(" front Item 1. Business sells "), key, F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit(" ITEM 1A: Risk Factors many "), key)).otherwise(""),
+        F.lit(" Item 7a.\nQuantitative "), key, F.lit(" Item 3 . Quantitative "), key, F.lit(" item 4: Controls "), key,
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+    form = F.element_at(F.array(*map(F.lit, ("10-K", "10-K", "10-Q", "8-K"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", form.alias("form"), text.alias("text"))
 
 
 @query("filing_headers", "SELECT o_orderkey, o_orderdate::DATE AS filed, CASE WHEN o_orderkey % 2 = 0 THEN date_trunc('month', o_orderdate)::DATE END AS period_end, nullif(ltrim(lpad(o_orderkey::VARCHAR, 10, '0'), '0'), '') AS cik FROM orders")
@@ -55,13 +57,20 @@ def filing_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filings(spark, sf_dir).select("o_orderkey", *header_dates("text"), cik("text").alias("cik"))
 
 
+FILED = """WITH f AS (SELECT o_orderkey, o_orderkey % 4 AS form, o_orderkey % 3 > 0 AS risky, o_orderkey::VARCHAR AS k, 'FILED AS OF DATE: ' || strftime(o_orderdate, '%Y%m%d') || CASE WHEN o_orderkey % 2 = 0 THEN ' CONFORMED PERIOD OF REPORT: ' || strftime(o_orderdate, '%Y%m') || '01' ELSE '' END
+    || ' CENTRAL INDEX KEY: ' || lpad(o_orderkey::VARCHAR, 10, '0') || ' front ' AS head FROM orders),
+  t AS (SELECT *, 'Item 1. Business sells ' || k AS one, 'ITEM 1A: Risk Factors many ' || k AS risk, 'Item 7a.' || chr(10) || 'Quantitative ' || k AS seven, 'Item 3 . Quantitative ' || k AS three, 'item 4: Controls ' || k AS four FROM f)"""
+
+
 @query(
     "filing_sections",
-    "SELECT o_orderkey, 'item_1' AS name, 'Item 1. Business sells ' || o_orderkey AS text FROM orders WHERE o_orderkey % 3 > 0 UNION ALL SELECT o_orderkey, 'item_1a', 'ITEM 1A. Risk Factors many ' || o_orderkey FROM orders WHERE o_orderkey % 3 > 0 "
-    "UNION ALL SELECT o_orderkey, 'full_text', 'FILED AS OF DATE: ' || strftime(o_orderdate, '%Y%m%d') || CASE WHEN o_orderkey % 2 = 0 THEN ' CONFORMED PERIOD OF REPORT: ' || strftime(o_orderdate, '%Y%m') || '01' ELSE '' END || ' CENTRAL INDEX KEY: ' || lpad(o_orderkey::VARCHAR, 10, '0') || ' front Item 1. Business sells ' || o_orderkey FROM orders WHERE o_orderkey % 3 = 0",
+    f"""{FILED} SELECT o_orderkey, 'item_1' AS name, one AS text FROM t WHERE form < 2 UNION ALL SELECT o_orderkey, 'item_1a', risk FROM t WHERE form < 2 AND risky
+        UNION ALL SELECT o_orderkey, 'item_7a', seven || ' ' || three || ' ' || four FROM t WHERE form < 2 UNION ALL SELECT o_orderkey, 'item_3', three FROM t WHERE form = 2 UNION ALL SELECT o_orderkey, 'item_4', four FROM t WHERE form = 2
+        UNION ALL SELECT o_orderkey, 'full_text', head || one || CASE WHEN risky THEN ' ' || risk ELSE '' END || ' ' || seven || ' ' || three || ' ' || four FROM t WHERE form = 3""",
 )
 def filing_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _filings(spark, sf_dir).select("o_orderkey", F.explode(sections(F.col("text"), "10-K")).alias("s")).select("o_orderkey", "s.*")
+    """Sections of filings of three forms."""
+    return _filings(spark, sf_dir).select("o_orderkey", F.explode(sections(F.col("text"), F.col("form"))).alias("s")).select("o_orderkey", "s.*")
 
 
 @query("windows")

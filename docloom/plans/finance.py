@@ -236,8 +236,12 @@ def ticker_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "status",
-    f"""WITH {EVIDENCE}, f AS (SELECT entity, max(doc_date) AS last, count(*) FILTER (WHERE doc_date >= DATE '2024-01-25' - 3) AS fresh, count(*) FILTER (WHERE doc_date >= DATE '2024-01-25' - 3 AND reliable) AS good FROM el WHERE doc_date <= DATE '2024-01-25' GROUP BY 1)
-        SELECT e.entity, CASE WHEN last IS NULL THEN 'no_data' WHEN fresh = 0 THEN 'stale' WHEN good = 0 THEN 'degraded' WHEN good < fresh THEN 'partial' ELSE 'ok' END AS status, last AS last_document_date FROM (SELECT DISTINCT entity FROM ev) e LEFT JOIN f USING (entity)""".replace("- 3", "- 30"),
+    f"""WITH {EVIDENCE}, {PICKED}, k AS (SELECT entity, max(doc_date) FILTER (WHERE doc_date <= DATE '2024-01-25') AS last FROM el GROUP BY 1),
+        u AS (SELECT entity, count(*) AS total, count(*) FILTER (WHERE reliable) AS good, count(DISTINCT source_id) FILTER (WHERE reliable) AS used FROM pk GROUP BY 1)
+        SELECT e.entity, CASE WHEN k.entity IS NULL THEN 'no_data' WHEN total IS NULL THEN 'stale' WHEN good < total THEN 'degraded' ELSE 'ok' END AS status,
+               CASE WHEN good = 0 THEN 'full_extraction_failure' WHEN good < total THEN 'partial_extraction_failure' END AS reason, last AS last_document_date,
+               coalesce(used, 0) AS documents_used, coalesce(good, 0)::BIGINT AS reliable_chunks, coalesce(total, 0)::BIGINT AS total_chunks
+        FROM (SELECT DISTINCT entity FROM ev) e LEFT JOIN k USING (entity) LEFT JOIN u USING (entity)""",
 )
 def status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentiment.status(_evidence(spark, sf_dir), F.lit(AS_OF).cast("date"))

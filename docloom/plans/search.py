@@ -51,7 +51,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("df_idf", f"WITH {POSTINGS} SELECT token, df::BIGINT AS df, round(idf, 6) AS idf FROM idf")
 def df_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    return bm25.idf(bm25.postings(docs, "doc_id", "text"), bm25.corpus_stats(docs, "text")).select("token", "df", F.round("idf", 6).alias("idf"))
+    return bm25.idf(docs, "text").select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("bm25_scores", f"WITH {POSTINGS}, {ONE}, {SCORED} SELECT doc_id, round(score, 4) AS score FROM scored")
@@ -182,8 +182,7 @@ POOL = """SELECT stage, doc_id, score FROM (
     SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY stage, score DESC, doc_id) AS n FROM (
       SELECT 0 AS stage, doc_id, (n_chars % 1000)::DOUBLE AS score, sha256(text) AS content_hash FROM documents WHERE lang = 'es'
       UNION ALL SELECT 1, doc_id, (n_chars % 777)::DOUBLE, sha256(text) FROM documents WHERE lang = 'fr'
-      UNION ALL SELECT 2, doc_id, (n_chars % 555)::DOUBLE, sha256(text) FROM documents)) WHERE n = 1) WHERE m = 1
-  ORDER BY stage, score DESC, doc_id LIMIT 200"""
+      UNION ALL SELECT 2, doc_id, (n_chars % 555)::DOUBLE, sha256(text) FROM documents)) WHERE n = 1) WHERE m = 1"""
 
 
 @query("dedupe_pool", POOL)
@@ -191,15 +190,15 @@ def dedupe_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     part = lambda df, n: df.select("doc_id", (F.col("n_chars") % n).cast("double").alias("score"))
     known = docs.select("doc_id", F.sha2(F.col("text"), 256).alias("content_hash"))
-    pooled = fusion.pool([part(docs.where("lang = 'es'"), 1000), part(docs.where("lang = 'fr'"), 777), part(docs, 555)], known, 200)
-    return pooled.orderBy("stage", F.col("score").desc(), "doc_id").limit(200)
+    # All of every list: the last one's limit is as many as there are documents.
+    return fusion.pool([part(docs.where("lang = 'es'"), 1000), part(docs.where("lang = 'fr'"), 777), part(docs, 555)], known, docs.count())
 
 
-@query("ordered_union", "SELECT stage, doc_id FROM (SELECT 0 AS stage, doc_id FROM documents WHERE lang = 'de' UNION ALL SELECT 1, doc_id FROM documents WHERE lang = 'es' UNION ALL SELECT 2, doc_id FROM documents WHERE source = 'src2') ORDER BY stage, doc_id LIMIT 300")
+@query("ordered_union", "SELECT stage, doc_id FROM (SELECT 0 AS stage, doc_id FROM documents WHERE lang = 'de' UNION ALL SELECT 1, doc_id FROM documents WHERE lang = 'es' UNION ALL SELECT 2, doc_id FROM documents WHERE source = 'src2')")
 def ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     lists = [docs.where(w).select(F.lit(k).alias("stage"), "doc_id") for k, w in enumerate(("lang = 'de'", "lang = 'es'", "source = 'src2'"))]
-    return lists[0].union(lists[1]).union(lists[2]).orderBy("stage", "doc_id").limit(300)
+    return lists[0].union(lists[1]).union(lists[2]).orderBy("stage", "doc_id")
 
 
 @query("scope_except", "SELECT doc_id FROM documents WHERE lang = 'en' EXCEPT SELECT doc_id FROM documents WHERE source IN ('src0', 'src1')")

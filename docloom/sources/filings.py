@@ -8,8 +8,19 @@ from pyspark.sql import functions as F
 HEADER_CHARS, CIK_CHARS = 4000, 6000
 #: Sections by the items that open them, in filings of each form.
 SECTIONS = {
-    "10-K": (("item_1", r"(?i)item\s+1\.\s*business"), ("item_1a", r"(?i)item\s+1a\.\s*risk\s+factors"), ("item_7", r"(?i)item\s+7\.\s*management"), ("item_8", r"(?i)item\s+8\.\s*financial\s+statements")),
-    "10-Q": (("item_1", r"(?i)item\s+1\.\s*financial\s+statements"), ("item_2", r"(?i)item\s+2\.\s*management"), ("item_1a", r"(?i)item\s+1a\.\s*risk\s+factors")),
+    "10-K": (
+        ("item_1", r"(?i)item\s+1[.\s:]+(?:business|description)"),
+        ("item_1a", r"(?i)item\s+1a[.\s:]+risk\s+factors"),
+        ("item_7", r"(?i)item\s+7[.\s:]+management"),
+        ("item_7a", r"(?i)item\s+7a[.\s:]+quantitative"),
+        ("item_8", r"(?i)item\s+8[.\s:]+financial\s+statements"),
+    ),
+    "10-Q": (
+        ("item_1", r"(?i)item\s+1[.\s:]+financial\s+statements"),
+        ("item_2", r"(?i)item\s+2[.\s:]+management"),
+        ("item_3", r"(?i)item\s+3[.\s:]+quantitative"),
+        ("item_4", r"(?i)item\s+4[.\s:]+controls"),
+    ),
 }
 
 
@@ -37,13 +48,27 @@ def cik(text: str | Column) -> Column:
     return F.nullif(F.ltrim(F.regexp_extract(F.substring(text, 1, CIK_CHARS), r"CENTRAL INDEX KEY:\s*(\d+)", 1), F.lit("0")), F.lit(""))
 
 
-def sections(text: Column, form: str) -> Column:
-    """array<struct<name, text>> in order of place: from each item's first hit to the next one; the whole text if fewer than two hit."""
-    places = F.array_compact(F.array(*(F.when(F.regexp_instr(text, F.lit(p)) > 0, F.struct(F.regexp_instr(text, F.lit(p)).alias("at"), F.lit(n).alias("name"))) for n, p in SECTIONS[form])))
-    found = F.array_sort(places)
-    ends = F.concat(F.transform(F.slice(found, 2, 100), lambda x: x["at"]), F.array(F.length(text) + 1))
-    cut = F.transform(F.arrays_zip(found.alias("s"), ends.alias("e")), lambda x: F.struct(x["s"]["name"].alias("name"), F.trim(F.substring(text, x["s"]["at"], x["e"] - x["s"]["at"])).alias("text")))
-    return F.when(F.size(found) >= 2, cut).otherwise(F.array(F.struct(F.lit("full_text").alias("name"), text.alias("text"))))
+def sections(text: Column, form: str | Column) -> Column:
+    """array<struct<name, text>> in order of place: from each item's first hit to the next one, of the items of the filing's form.
+
+    The whole text as full_text where fewer than two items hit, and in filings of other forms.
+    """
+    whole = F.array(F.struct(F.lit("full_text").alias("name"), text.alias("text")))
+
+    def cut(items: tuple[tuple[str, str], ...]) -> Column:
+        at = lambda p: F.regexp_instr(text, F.lit(p))
+        found = F.array_sort(F.array_compact(F.array(*(F.when(at(p) > 0, F.struct(at(p).alias("at"), F.lit(n).alias("name"))) for n, p in items))))
+        ends = F.concat(F.transform(F.slice(found, 2, 100), lambda x: x["at"]), F.array(F.length(text) + 1))
+        strip = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
+        made = F.zip_with(found, ends, lambda s, e: F.struct(s["name"].alias("name"), strip(F.substring(text, s["at"], e - s["at"])).alias("text")))
+        return F.when(F.size(found) >= 2, made).otherwise(whole)
+
+    if isinstance(form, str):
+        return cut(SECTIONS[form]) if form in SECTIONS else whole
+    out = whole
+    for name, items in SECTIONS.items():
+        out = F.when(form == name, cut(items)).otherwise(out)
+    return out
 
 
 def filings(spark: SparkSession, root: str) -> DataFrame:

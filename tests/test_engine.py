@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import random
+import re
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,14 +138,119 @@ def test_bases(lead, headers, footnotes, labels, expected):
     assert tables.table_basis(lead, headers, footnotes, labels) == expected
 
 
-def test_windows_overlap_by_half():
-    parts = [f"s{k} " + "w " * 9 for k in range(6)]
-    got = rerank.half_overlapping([p.strip() for p in parts], words=40)
-    assert [w.count("s") for w in got] == [4, 4]
+def plain_windows(text, words=150):
+    """The rule of half-overlapping windows, one word at a time."""
+    if len(text.split()) <= words:
+        return [text]
+    parts = [p for p in re.split(r"(?<=[.!?])\s+(?=[A-Z0-9\"'(])", text) if p.strip()]
+    out, at = [], 0
+    while True:
+        held, n = [], 0
+        for p in parts[at:]:
+            if held and n + len(p.split()) > words:
+                break
+            held.append(p)
+            n += len(p.split())
+        out.append(" ".join(held))
+        if at + len(held) >= len(parts):
+            return out
+        at += max(1, len(held) // 2)
+
+
+def test_windows_equal_the_rule(spark):
+    r = random.Random(5)
+    texts = ["", "short one.", "no capitals. follow. here " * 60]
+    for _ in range(300):
+        texts.append(" ".join(f"{'W' if r.random() < 0.8 else 'w'}{'w ' * r.choice([1, 1, 3, 20, 60, 100, 170])}end{r.choice('.!?')}" for _ in range(r.randint(1, 14))))
+    got = {x.i: x.w for x in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", rerank.windows("t").alias("w")).collect()}
+    assert [got[i] for i in range(len(texts))] == [plain_windows(t) for t in texts]
+    parts = ["A " * 79 + "a.", "B " * 59 + "b.", "C " * 99 + "c.", "D " * 9 + "d."]
+    assert max(len(w.split()) for w in rerank.half_overlapping(parts)) <= 150
     assert rerank.half_overlapping([]) == []
 
 
 def test_row_windows_keep_wanted_columns(spark):
-    text = "ctx\nTable: T\nUnits: m\nBasis: reported\nColumns: 2024 | 2023\nRevenue: 2024 = 5; 2023 = 4\nCost: 2023 = 1"
-    got = spark.range(1).select(rerank.row_windows(F.lit(text), F.array(F.lit("2024"))).alias("w")).first().w
-    assert got == ["Table: T\nUnits: m\nBasis: reported\nRevenue: 2024 = 5"]
+    text = "ctx\nTable: T\nUnits: m\nBasis: reported\nColumns: 2024 | 2024 pro forma\nRevenue: 2024 = 5; 2024 pro forma = 4\nCost: 2023 = 1"
+    of = lambda *wanted: spark.range(1).select(rerank.row_windows(F.lit(text), F.array(*map(F.lit, wanted)).cast("array<string>")).alias("w")).first().w
+    assert of("2024") == ["Table: T (Units: m): Revenue: 2024 = 5"]
+    assert of() == ["Table: T (Units: m): Revenue: 2024 = 5; 2024 pro forma = 4", "Table: T (Units: m): Cost: 2023 = 1"]
+    assert of("1999") == [text]
+
+
+ROWS_OF_TWO = "<table><tr><td>Sales</td><td>12</td><td>10</td></tr><tr><td>Costs</td><td>7</td><td>6</td></tr></table>"
+
+
+def test_basis_reads_what_belongs_to_the_table():
+    first, second = tables.extract(f"<p>INC OME STATEMENTS</p>{ROWS_OF_TWO}<p>Following are the unaudited pro forma results:</p>{ROWS_OF_TWO}")
+    assert (first["basis"], second["basis"]) == ("reported", "PRO FORMA")
+    (plain,) = tables.extract(f"<p>Results</p>{ROWS_OF_TWO}<p>Following is a pro forma table:</p>")
+    assert plain["basis"] == "not stated"
+    (noted,) = tables.extract(f"<p>Extra results:</p>{ROWS_OF_TWO}<p>(a) These pro forma results are estimates.</p>")
+    assert noted["basis"] == "MIXED (footnote marks some figures PRO FORMA)"
+    (kept,) = tables.extract(f"<p>Consolidated balance sheets</p>{ROWS_OF_TWO}<p>(a) Non-GAAP figures too.</p>")
+    assert kept["basis"] == "reported" and "footnote marks some figures NON-GAAP" in kept["evidence"]
+    assert tables.table_basis("Amounts are reported in the balance sheets as follows:", "") == "not stated"
+
+
+OFFSET = """<p>Highlights (in millions)</p><table><tr><td colspan="3"></td><td colspan="9">Six months ended June 30,</td></tr>
+<tr><td>2Q26</td><td>1Q26</td><td>2026</td><td>2025</td></tr>
+<tr><td colspan="6">Net revenue</td><td>$</td><td>57,347</td><td>$</td><td>49,836</td><td>$</td><td>107,183</td><td>$</td><td>90,222</td></tr>
+<tr><td colspan="6">Expenses</td></tr>
+<tr><td colspan="6">Net income</td><td></td><td>(1,234</td><td>)</td><td>5</td><td></td><td>6</td><td></td><td>7</td></tr></table>"""
+
+
+def test_grids_that_do_not_line_up_are_matched_in_order():
+    (t,) = tables.extract(OFFSET)
+    assert t["aligned"] and t["columns"] == ["2Q26", "1Q26", "Six months ended June 30, 2026", "Six months ended June 30, 2025"]
+    assert [(r["label"], [c["value"] for c in r["cells"]]) for r in t["rows"]] == [("Net revenue", ["57,347", "49,836", "107,183", "90,222"]), ("Expenses", []), ("Net income", ["(1,234)", "5", "6", "7"])]
+    assert t["units"] == "in millions"
+    page = tables.render(t, "ctx", 400)[0]
+    assert "\nExpenses:\n" in page and "Net income: 2Q26 = (1,234); 1Q26 = 5" in page
+
+
+def test_tables_in_layout_tables_and_unmatched_ones():
+    (t,) = tables.extract(f"<table><tr><td>menu</td><td>{ROWS_OF_TWO}</td></tr></table>")
+    assert [r["label"] for r in t["rows"]][-2:] == ["Sales", "Costs"]
+    (u,) = tables.extract("<table><tr><td></td><td>2024</td></tr><tr><td>Rate</td><td>5</td><td>SOFR + 3</td><td>6</td></tr><tr><td>Sum</td><td>1</td><td></td><td>2</td></tr></table>")
+    assert not u["aligned"] and u["columns"] == [] and "Rate: 5 | SOFR + 3 | 6" in tables.render(u, "", 400)[0]
+    assert "NOT ALIGNED" in tables.render(u, "", 400)[0]
+    assert tables.marked_text(f"<p>a</p>{ROWS_OF_TWO}<table><tr><td>x</td></tr></table><p>b</p>") == "a [[TABLE 0]] b"
+
+
+def test_tables_get_the_section_they_stand_in(spark):
+    html = f"<p>Item 7. Management's view</p>{ROWS_OF_TWO}<p>Item 8. Financial statements</p>{ROWS_OF_TWO}{ROWS_OF_TWO}"
+    df = spark.createDataFrame([(1, html, "10-K"), (2, ROWS_OF_TWO, "8-K")], "id int, html string, form string")
+    got = sorted((r.id, r.table["index"], r.section) for r in tables.with_sections(df, "id", "html", "form").collect())
+    assert got == [(1, 0, "item_7"), (1, 1, "item_8"), (1, 2, "item_8"), (2, 0, "full_text")]
+
+
+def test_sections_of_each_form(spark):
+    text = "x Item 1. Description a Item 1A: Risk Factors b ITEM 7a.\n Quantitative c Item 3. Quantitative d Item 4. Controls e"
+    df = spark.createDataFrame([(f, text) for f in ("10-K", "10-Q", "DEF 14A")] + [("10-K", "Item 8. Financial statements only")], "form string, text string")
+    got = [[(s.name, s.text) for s in r.s] for r in df.select(filings.sections(F.col("text"), F.col("form")).alias("s")).collect()]
+    assert [n for n, _ in got[0]] == ["item_1", "item_1a", "item_7a"] and got[0][2][1].endswith("Controls e")
+    assert got[1] == [("item_3", "Item 3. Quantitative d"), ("item_4", "Item 4. Controls e")]
+    assert got[2] == [("full_text", text)] and got[3][0][0] == "full_text"
+
+
+def test_health_sees_vectors_of_other_texts(engine, spark):
+    held = engine.chunks()
+    assert engine.health().first().dense_mode == "full"
+    first = held.select(F.min("chunk_id")).first()[0]
+    stale = held.withColumn("vector_hash", F.when(F.col("chunk_id") == first, "other").otherwise(F.col("vector_hash")))
+    engine.store.publish(stale, "chunk_id", ["ticker"])
+    h = engine.health().first()
+    assert (h.mismatched, h.dense_mode, h.status) == (1, "partial", "degraded")
+    engine.ingest(documents(spark, ROWS))
+    assert engine.health().first().status == "healthy"
+
+
+def test_a_broken_manifest_leaves_the_version_before(engine, tmp_path):
+    root = Path(engine.store.root.removeprefix("file://"))
+    n = engine.chunks().count()
+    (root / "manifest-99.json").write_text('{"version": 7')
+    (root / "manifest.new").write_text("{")
+    assert engine.chunks().count() == n
+    (root / "manifest-98.json").write_text('{"version": 55, "previous": null, "rows": 1}')
+    assert engine.chunks().count() == n
+

@@ -108,7 +108,13 @@ def test_sentiment_by_hand(spark):
     assert r.score == pytest.approx((0.5 * 0.0 + 0.5 * 1.0) / 1.0)
     assert sentiment.status(df, as_of).first().status == "ok"
     assert sentiment.status(df, F.lit("2024-06-01").cast("date")).first().status == "stale"
-    assert sentiment.status(df, F.lit("2020-01-01").cast("date")).first().status == "no_data"
+    early = sentiment.status(df, F.lit("2020-01-01").cast("date")).first()
+    assert (early.status, early.last_document_date) == ("stale", None)
+    assert sentiment.status(df.where("attribution = 'news_body'"), as_of).first().status == "no_data"
+    some = df.withColumn("reliable", F.col("chunk_id") == "c1")
+    r = sentiment.status(some, as_of).first()
+    assert (r.status, r.reason, r.documents_used, r.reliable_chunks, r.total_chunks) == ("degraded", "partial_extraction_failure", 1, 1, 3)
+    assert sentiment.status(df.withColumn("reliable", F.lit(False)), as_of).first().reason == "full_extraction_failure"
 
 
 def test_ranking_by_hand(spark):
