@@ -82,7 +82,10 @@ def fingerprint(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> D
         width *= 2
     n = F.size(grams)
     chosen = F.when(n >= w, F.slice(least, 1, F.greatest(n - (w - 1), F.lit(0)))).when(n > 0, F.array(F.array_min(grams))).otherwise(F.array().cast(PRINTS))
-    return t.withColumn(out, F.array_distinct(chosen.cast(PRINTS))).drop(words, grams, least)
+    # Windows in a row choose the same gram in a row, so a choice is new where its place isn't the one before.
+    t = t.withColumn(least, chosen.cast(PRINTS))
+    again = lambda i: F.coalesce(F.get(F.col(least), i - 1)["back"], F.lit(1))
+    return t.withColumn(out, F.filter(least, lambda x, i: x["back"] != again(i))).drop(words, grams, least)
 
 
 def hashes(prints: str | Column) -> Column:
