@@ -97,12 +97,13 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
             spark.conf.set(key, str(most))
 
 
-def spread_join(many: DataFrame, one: DataFrame, on: str, salts: int = 16) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, on: str, salts: int = 16, by: tuple[str, ...] = ()) -> DataFrame:
     """many.join(one, on), where one has a row for each key and many may have a third of its rows under one.
 
-    Rows of many are dealt by key and salt; a key's row goes only to the salts that it has, salts at most.
+    Rows of many are dealt by key and salt, a hash of the columns by (all by default); a key's row goes only to the
+    salts that it has, salts at most. many is worked out twice, so it should be a written table or cheap.
     """
-    salted = many.withColumn("_salt", F.pmod(F.xxhash64(*many.columns), F.lit(salts)))
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(*(by or many.columns)), F.lit(salts)))
     places = salted.select(on, "_salt").distinct().join(one, on)
     return salted.join(places, [on, "_salt"]).drop("_salt")
 

@@ -224,10 +224,10 @@ def leftover_docs(by_class: DataFrame, component: DataFrame) -> DataFrame:
     Documents that share a token have the same centre for it, so two of them share at most the sum over
     centres of the lesser of their counts; for a centre the greatest count outside doc's component stands in.
     """
-    t = by_class.join(component, "doc")  # a class once for each of its centres: few rows for a doc
-    most = t.groupBy("a", "component").agg(F.max("shared").alias("m"))
+    t = materialize(by_class.join(component, "doc"), "by-component")
+    most = materialize(t.groupBy("a", "component").agg(F.max("shared").alias("m")), "most-shared")
     first = most.groupBy("a").agg(F.max(F.struct("m", "component")).alias("top"))
-    second = most.join(first, "a").where(F.col("component") != F.col("top.component")).groupBy("a").agg(F.max("m").alias("next"))
+    second = spread_join(most, first, "a").where(F.col("component") != F.col("top.component")).groupBy("a").agg(F.max("m").alias("next"))
     outside = first.join(second, "a").select("a", "top", "next")
     other = F.when(F.col("top.component") == F.col("component"), F.col("next")).otherwise(F.col("top.m"))
     return spread_join(t, outside, "a").groupBy("doc").agg(F.sum(F.least("shared", other)).alias("mixed"))
@@ -342,6 +342,7 @@ def leftover_pairs(sets: DataFrame, buckets: int) -> DataFrame:
 
     dealt = sets.select("doc", "component", "keys", "l").mapInArrow(deal, "bucket long, parts long, i long, j long, tokens binary, rows binary, facts binary")
     pairs = dealt.groupBy("bucket").applyInArrow(compare, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    pairs = materialize(pairs, "shared-by-pair")
     ls = sets.select("doc", "l")
     pairs = spread_join(pairs, ls.select(F.col("doc").alias("a"), F.col("l").alias("l_a")), "a")
     pairs = spread_join(pairs, ls.select(F.col("doc").alias("b"), F.col("l").alias("l_b")), "b")
@@ -395,7 +396,7 @@ def _near_duplicates(rows: DataFrame) -> DataFrame:
     sums = shared.groupBy("doc").agg(F.sum("shared").alias("sum")).join(member.where("doc_id = class").select(F.col("doc_id").alias("doc"), "n"), "doc")
     kept = materialize(sums.where(F.col("sum") >= _enough(F.col("n"))).select("doc", "n"), "kept")
     center = member.select(F.col("doc_id").alias("center"), F.col("class").alias("a"))
-    by_class = materialize(spread_join(shared.join(kept.select("doc"), "doc"), center, "center").groupBy("doc", "a").agg(F.sum("shared").alias("shared")), "by-class")
+    by_class = materialize(spread_join(shared, center, "center").join(kept.select("doc"), "doc").groupBy("doc", "a").agg(F.sum("shared").alias("shared")), "by-class")
 
     # Of each document's centres, as classes, the one that shares most and the least.
     stars = spread_join(by_class.where("a != doc"), kept.select(F.col("doc").alias("a")), "a").groupBy("doc").agg(F.max(F.struct("shared", "a")).alias("most"), F.min("a").alias("least"))
@@ -415,7 +416,7 @@ def _near_duplicates(rows: DataFrame) -> DataFrame:
     left = materialize(sets.select("doc", "keys", "l").join(left, "doc").select("doc", "component", "keys", "l"), "leftover")
     pairs = materialize(leftover_pairs(left, buckets), "pairs")
     one, two = left.select(F.col("doc").alias("a"), F.col("keys").alias("keys_a")), left.select(F.col("doc").alias("b"), F.col("keys").alias("keys_b"))
-    more = verified(spread_join(spread_join(pairs, one, "a").select("a", "b", "keys_a"), two, "b"))
+    more = verified(spread_join(spread_join(pairs, one, "a").select("a", "b", "keys_a"), two, "b", by=("a", "b")))
     final = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     of_class = member.where("doc_id = class").select("class").join(final.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("component", "class").alias("component_id"))
     return spread_join(member, of_class, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
