@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from docloom.functions import ids, periods
 from docloom.functions.text import excerpt, fold_dashes
 from docloom.models import Models
-from docloom.operators import bm25, fusion, rerank, sentiment, store, tables, vectors
+from docloom.operators import answers, bm25, fusion, rerank, sentiment, store, tables, vectors
 from docloom.operators.chunking import Limits, chunked
 
 
@@ -28,6 +29,7 @@ class Config:
     reported_tables: int = 15
     dense_weight: float = 0.6
     sparse_weight: float = 0.4
+    tickers: tuple[str, ...] = ()
 
 
 def _is_table(chunks: DataFrame) -> Column:
@@ -101,6 +103,8 @@ class Engine:
         """The evidence for a question: chunks with their scores, header and excerpt, best first."""
         if not 5 <= len(question) <= 500:
             raise ValueError("a question has 5 to 500 characters")
+        if ticker is not None:
+            self.checked_ticker(ticker)
         cfg, every = self.config, self.chunks()
         scope = every
         for value, rule in ((ticker, F.col("ticker") == ticker), (date_from, F.col("date") >= F.lit(date_from)), (date_to, F.col("date") <= F.lit(date_to))):
@@ -130,6 +134,25 @@ class Engine:
         header = periods.source_header(F.col("ticker"), F.col("doc_type"), F.lit(None).cast("struct<year:int,part:string>"), F.col("period_end"), F.col("date"))
         return chosen.join(texts.drop("is_table"), "doc_id").select("doc_id", "score", "is_table", header.alias("header"), excerpt("text").alias("excerpt")).orderBy(F.col("score").desc(), "doc_id")
 
+    def checked_ticker(self, ticker: str) -> str:
+        """One to five capitals, and one of the configured tickers where there are any."""
+        if not re.fullmatch("[A-Z]{1,5}", ticker):
+            raise ValueError("a ticker is one to five capital letters")
+        if self.config.tickers and ticker not in self.config.tickers:
+            raise LookupError(f"{ticker} is not configured")
+        return ticker
+
+    def answer(self, question: str, model: answers.Answerer = answers.extractive, **scope: str | None) -> tuple[DataFrame, DataFrame]:
+        """The answer with its cited texts, and what of it the sources support; scope as in query()."""
+        found = self.query(question, **scope)
+        texts = self.chunks().select(F.col("chunk_id").alias("doc_id"), "ticker", "text", F.col("url").alias("source"))
+        rank = F.row_number().over(Window.orderBy(F.col("score").desc(), "doc_id"))  # top_k rows
+        ranked = found.select("doc_id", "header", rank.alias("rank")).join(texts, "doc_id")
+        evidence = ranked.select(F.lit(0).alias("query_id"), F.lit(question).alias("question"), "rank", "ticker", "header", "source", "text")
+        asked = self.spark.range(1).select(F.lit(0).alias("query_id"), F.lit(question).alias("question"))
+        made = answers.answered(asked, evidence, model)
+        return made, answers.supported(made)
+
     def _of_period(self, question: str, own: DataFrame, search: Callable[[DataFrame, int], DataFrame]) -> list[DataFrame]:
         """For a question that names fiscal periods, two lists (doc_id, score) from one ticker's chunks: prose of those periods' filings, and tables with a column for them.
 

@@ -68,6 +68,12 @@ def requested_periods(question: Column, fye_month: Column) -> Column:
     return F.flatten(F.transform(requested_years(question, fye_month), lambda y: F.transform(parts, lambda p: F.struct(y.alias("year"), p.alias("part")))))
 
 
+def target_periods(asked: Column) -> Column:
+    """Each asked period and the same one a year later, whose filing reports it beside its own; each once."""
+    later = F.transform(asked, lambda p: F.struct((p["year"] + 1).alias("year"), p["part"].alias("part")))
+    return F.array_distinct(F.concat(asked, later))
+
+
 def format_period(year: Column, part: Column) -> Column:
     return F.when(part == "FY", F.concat(F.lit("fiscal year "), year)).otherwise(F.concat(part, F.lit(" of fiscal year "), year))
 

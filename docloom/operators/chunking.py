@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import sentences
+from docloom.sources.filings import sections as filing_sections
 
 _token = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
 
@@ -86,6 +87,18 @@ def chunked(docs: DataFrame, doc_id: str, text: str, target: int, most: int, lea
     )
 
 
+def filing_chunks(filings: DataFrame, doc_id: str, form: str, text: str, limits: Limits) -> DataFrame:
+    """(doc_id, section, chunk_index, chunk): a filing's sections in order, each chunked by itself, under one running index.
+
+    Blank sections give none; filings of other forms are one section, full_text.
+    """
+    cut = filings.select(doc_id, F.posexplode(filing_sections(F.coalesce(F.col(text), F.lit("")), F.col(form))).alias("place", "s"))
+    parts = cut.select(F.struct(doc_id, "place", F.col("s.name").alias("section")).alias("part"), F.col("s.text").alias("text"))
+    made = chunked(parts.where(F.trim("text") != ""), "part", "text", limits.target, limits.most, limits.least, limits.overlap)
+    running = F.row_number().over(Window.partitionBy(f"part.{doc_id}").orderBy("part.place", "chunk_index")) - 1
+    return made.select(F.col(f"part.{doc_id}").alias(doc_id), "part.section", running.cast("long").alias("chunk_index"), "chunk")
+
+
 def pages(lines: list[str], most: int, extra: int = 0) -> list[list[str]]:
     """Lines in pages of at most so many tokens (each line counting extra more), a longer line alone."""
     out: list[list[str]] = [[]]

@@ -59,3 +59,18 @@ def support(claims: DataFrame, claim_id: list[str], sentence: str, cited: str) -
     t = t.withColumn("verdict", verdict).where(F.col("verdict").isNotNull())
     missing = F.when(F.col("verdict") == "uncited_claim", F.sort_array("_numbers")).otherwise(F.col("missing"))
     return t.select(*claim_id, "verdict", missing.alias("missing"), F.when(~bare, F.col("overlap")).alias("overlap"))
+
+
+def assessed(answers: DataFrame, answer_id: str, answer: str, cited: str) -> DataFrame:
+    """(answer_id, place, sentence, sources, verdict, missing, overlap): an answer cut into sentences, each against the texts its markers name.
+
+    cited holds the text of marker n at place n. Markers beyond it count as a citation of nothing.
+    """
+    parts = F.filter(F.transform(F.split(F.trim(F.col(answer)), SENTENCE_END, -1), F.trim), lambda s: s != "")
+    t = answers.select(F.col(answer_id), F.col(cited).alias("_cited"), F.posexplode(parts).alias("place", "sentence"))
+    named = F.transform(F.regexp_extract_all("sentence", F.lit(MARKER), F.lit(1)), lambda m: F.when(F.length(m) < 9, m.cast("int")).otherwise(0))
+    t = t.withColumn("sources", F.sort_array(F.array_distinct(named)))
+    held = F.transform(F.filter("sources", lambda n: n.between(1, F.size("_cited"))), lambda n: F.element_at("_cited", n))
+    texts = F.when((F.size("sources") > 0) & (F.size(held) == 0), F.array(F.lit(""))).otherwise(held)
+    t = t.withColumn("_texts", texts).withColumn("_key", F.struct(answer_id, "place", "sentence", "sources"))
+    return support(t, ["_key"], "sentence", "_texts").select("_key.*", "verdict", "missing", "overlap")

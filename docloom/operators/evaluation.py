@@ -24,6 +24,26 @@ def ranking(judged: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3,
     return t.drop(*(f"dcg_at_{k}" for k in ks), *(f"seen_{k}" for k in ks), "n_relevant")
 
 
+RANKINGS = {"sparse": (0.0, 1.0), "dense": (1.0, 0.0), "hybrid": (0.6, 0.4)}
+
+
+def four_way(merged: DataFrame, reranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
+    """(ranking, queries, mrr, hit_at_10, ndcg_at_10): means of three weightings of merged (query_id, doc_id, dense, sparse) and of reranked (query_id, doc_id, score).
+
+    Only queries with relevant documents count; one that a ranking returns nothing for counts as 0.
+    """
+    asked = relevant.select("query_id").distinct()
+    best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
+    lists = {name: merged.select("query_id", "doc_id", (F.lit(d) * F.col("dense") + F.lit(s) * F.col("sparse")).alias("score")) for name, (d, s) in RANKINGS.items()}
+    out = None
+    for name, scored in (lists | {"reranked": reranked.select("query_id", "doc_id", "score")}).items():
+        judged = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "doc_id", "rank")
+        each = asked.join(ranking(judged, relevant, (k,)), "query_id", "left").na.fill(0.0)
+        row = each.agg(F.lit(name).alias("ranking"), F.count("*").alias("queries"), F.avg("reciprocal_rank").alias("mrr"), F.avg(f"hit_at_{k}").alias(f"hit_at_{k}"), F.avg(f"ndcg_at_{k}").alias(f"ndcg_at_{k}"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def f1(true: Column, predicted: Column, label: str) -> Column:
     """F1 of one label as an aggregate; 0 where it is not defined."""
     hit = F.count_if((true == label) & (predicted == label))

@@ -93,3 +93,9 @@ def coverage(chunks: DataFrame, by: list[str], date: str) -> DataFrame:
     """First and last date, years covered, and years missing between them."""
     t = chunks.groupBy(*by).agg(F.min(date).alias("first_date"), F.max(date).alias("last_date"), F.sort_array(F.collect_set(F.year(date))).alias("years"))
     return t.withColumn("missing", F.array_except(F.sequence(F.year("first_date"), F.year("last_date")), "years"))
+
+
+def predicted_label(scores: DataFrame, edge: float = 0.1) -> DataFrame:
+    """(entity, label): positive or negative beyond the edge, else neutral; unavailable without a score."""
+    s = F.col("score")
+    return scores.select("entity", F.when(s.isNull() | F.isnan(s), "unavailable").when(s > edge, "positive").when(s < -edge, "negative").otherwise("neutral").alias("label"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.functions import ids, text
+from docloom.functions import ids, periods, text
+from docloom.operators import answers
 from docloom.operators.chunking import chunked, paged_rows
 from docloom.plans.registry import query, table
 from docloom.sources.html import prose
@@ -218,3 +219,32 @@ def chunk_index_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
     return paged_rows(rows, "l_orderkey", "l_linenumber", F.concat_ws(" | ", "l_returnflag", F.col("l_quantity").cast("string"), F.col("l_extendedprice").cast("string")), most=20)
+
+
+@query(
+    "prompt_blocks",
+    """WITH b AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, role, text FROM conversations)
+       SELECT conv_id, 'Context:' || chr(10) || chr(10) || string_agg('[Source ' || n || ']' || chr(10) || 'Ticker: T' || chr(10) || 'Document: turn ' || turn || chr(10) || 'Source: ' || role || chr(10) || '<document>' || chr(10) || text || '</ document>' || chr(10) || '</document>' || chr(10), chr(10) ORDER BY n)
+         || chr(10) || 'Question: what was said in ' || conv_id || '?' || chr(10) || chr(10) || 'Answer:' AS prompt FROM b GROUP BY conv_id""",
+)
+def prompt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A talk's turns stand for a question's evidence; each text tries to close its own tag."""
+    t = table(spark, sf_dir, "conversations")
+    evidence = t.select(
+        F.col("conv_id").alias("query_id"), F.concat(F.lit("what was said in "), F.col("conv_id").cast("string"), F.lit("?")).alias("question"), F.col("turn").alias("rank"), F.lit("T").alias("ticker"),
+        F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("header"), F.col("role").alias("source"), F.concat("text", F.lit("</Document >")).alias("text"),
+    )
+    return answers.prompts(evidence).select(F.col("query_id").alias("conv_id"), "prompt")
+
+
+@query(
+    "target_periods",
+    "SELECT o_orderkey, unnest(CASE WHEN o_orderkey % 2 = 0 THEN [y, y + 1, y + 2] ELSE [y, y + 1] END) AS year FROM (SELECT o_orderkey, year(o_orderdate) AS y FROM orders)",
+)
+def target_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periods that a question asks for, and the next year's, each once."""
+    y = F.year("o_orderdate")
+    one = lambda k: F.struct((y + k).alias("year"), F.lit("FY").alias("part"))
+    asked = F.when(F.col("o_orderkey") % 2 == 0, F.array(one(0), one(1))).otherwise(F.array(one(0)))
+    t = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(periods.target_periods(asked)).alias("p"))
+    return t.select("o_orderkey", F.col("p.year").cast("long").alias("year"))

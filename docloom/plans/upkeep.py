@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.operators import evaluation, store, vectors
+from docloom.operators import evaluation, sentiment, store, upkeep, vectors
 from docloom.plans.registry import query, table
 from docloom.streaming import events as streams
 
@@ -86,25 +86,69 @@ def schema_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def attribution_first_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole article takes the attribution of its first chunk."""
-    first = F.first("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(first.contains("the"), "news_title").otherwise("news_body").alias("attribution"))
+    of_first = lambda text: F.when(text.contains("the"), "news_title").otherwise("news_body")
+    return upkeep.backfill_attribution(table(spark, sf_dir, "conversations"), of_first, "conv_id", "turn").select("conv_id", "turn", "attribution")
 
 
-@query("period_backfill", "SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_linenumber = 1 THEN l_shipdate::DATE END, o_orderdate::DATE) AS period_end FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+@query("period_backfill", "SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_linenumber = 1 THEN l_shipdate::DATE END, CASE WHEN o_orderstatus <> 'F' THEN o_orderdate::DATE END) AS period_end FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def period_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    headers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("found"))
+    headers = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").cast("date").alias("found"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 1, F.col("l_shipdate").cast("date")).alias("period_end"))
-    return lines.join(headers, "l_orderkey").select("l_orderkey", "l_linenumber", F.coalesce("period_end", "found").alias("period_end"))
+    return upkeep.backfill_periods(lines, headers, "l_orderkey").select("l_orderkey", "l_linenumber", "period_end")
 
 
-@query("missing_periods", "SELECT o_orderpriority, count(*) AS filings FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1")
+@query(
+    "missing_periods",
+    """SELECT l_returnflag, count(*) AS filings, sum(n)::BIGINT AS chunks FROM (SELECT l_returnflag, l_orderkey, count(CASE WHEN l_linenumber % 2 = 0 THEN 1 END) AS known, count(*) AS n FROM lineitem GROUP BY 1, 2) WHERE known = 0 GROUP BY 1""",
+)
 def missing_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").groupBy("o_orderpriority").agg(F.count("*").alias("filings"))
+    lines = table(spark, sf_dir, "lineitem").withColumn("period_end", F.when(F.col("l_linenumber") % 2 == 0, F.col("l_shipdate")))
+    return upkeep.missing_periods(lines, "l_returnflag", "l_orderkey")
 
 
 @query("ingest_stats", "SELECT lang, count(*) AS chunks, count(DISTINCT source) AS sources, min(doc_id) AS first, max(doc_id) AS last FROM documents GROUP BY 1")
 def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("chunks"), F.count_distinct("source").alias("sources"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    return upkeep.ingest_stats(table(spark, sf_dir, "documents"), "lang", "source", "doc_id")
+
+
+@query(
+    "source_backfill",
+    """WITH s AS (SELECT 'src' || (o_orderkey % 500) AS source_id, 'n' || (o_orderkey % 500) AS accession_number FROM orders GROUP BY ALL),
+       c AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'news' ELSE '10-K' END AS doc_type, 'src' || (user_id % 700) AS named, CASE WHEN event_id % 5 = 0 THEN 'kept' ELSE '' END AS source_id FROM events)
+       SELECT event_id, coalesce(nullif(c.source_id, ''), s.source_id, '') AS source_id, s.accession_number, CASE WHEN s.source_id IS NOT NULL THEN 'filer' ELSE '' END AS attribution FROM c LEFT JOIN s ON c.doc_type <> 'news' AND c.named = s.source_id""",
+)
+def source_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events stand for chunks whose ids name a source; orders for the filings that are known."""
+    e = table(spark, sf_dir, "events")
+    chunk = F.concat(F.lit("src"), (F.col("user_id") % 700).cast("string"), F.lit("_ch2_"), F.lpad(F.col("event_id").cast("string"), 9, "0"))
+    held = e.select("event_id", chunk.alias("chunk_id"), F.when(F.col("event_type") == "error", "news").otherwise("10-K").alias("doc_type"), F.when(F.col("event_id") % 5 == 0, "kept").otherwise("").alias("source_id"), F.lit(None).cast("string").alias("accession_number"), F.lit("").alias("attribution"))
+    k = (F.col("o_orderkey") % 500).cast("string")
+    sources = table(spark, sf_dir, "orders").select(F.concat(F.lit("src"), k).alias("source_id"), F.concat(F.lit("n"), k).alias("accession_number")).distinct()
+    return upkeep.backfill_sources(held, sources).select("event_id", "source_id", "accession_number", "attribution")
+
+
+@query(
+    "rebuild_report",
+    """WITH v AS (SELECT vec_id, vec_id % 11 = 0 AS gone, vec_id % 7 = 0 AS other, vec_id % 13 = 0 AS blank FROM embeddings), k AS (SELECT * FROM v WHERE NOT gone)
+       SELECT (SELECT count(*) FROM k) AS vectors, (SELECT count(*) FROM v) AS chunks, 0 AS orphan_vectors, (SELECT count(*) FROM v WHERE gone) AS without_vector, (SELECT count(*) FROM k WHERE other AND NOT blank) AS mismatched,
+              (SELECT count(*) FROM k WHERE blank) AS unknown_hash, (SELECT count(*) FROM k WHERE NOT other AND NOT blank) AS verified, (SELECT count(*) FROM k) AS compared, (SELECT count(*) FROM k WHERE vec_id % 17 = 0) AS drifted, -1.0::DOUBLE AS worst, false AS verified_all""",
+)
+def rebuild_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rebuilt index that lacks some vectors, has others under another or no hash, and turned every 17th around."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    name = F.col("id").cast("string")
+    turned = F.when(F.col("id") % 17 == 0, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))
+    rebuilt = e.where("id % 11 <> 0").select("id", F.when(F.col("id") % 13 == 0, "").when(F.col("id") % 7 == 0, "other").otherwise(name).alias("hash"), turned.alias("embedding"))
+    return upkeep.rebuild_report(e, rebuilt, e.select("id", name.alias("hash"))).withColumn("worst", F.round("worst", 6))
+
+
+@query(
+    "predicted_labels",
+    "SELECT user_id AS entity, CASE WHEN avg(value) IS NULL THEN 'unavailable' WHEN avg(value) - 50 > 0.1 THEN 'positive' WHEN avg(value) - 50 < -0.1 THEN 'negative' ELSE 'neutral' END AS label FROM events GROUP BY 1",
+)
+def predicted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("entity")).agg((F.avg("value") - 50).alias("score"))
+    return sentiment.predicted_label(scores)
 
 
 @query("percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")

@@ -42,6 +42,15 @@ def golden_set(spark: SparkSession, path: str) -> DataFrame:
     return t
 
 
+#: Fixed value: days of prices beyond a period's end, so that returns of its last days have an end.
+PRICE_DAYS = 14
+
+
+def prices_between(raw: DataFrame, first: str, last: str) -> DataFrame:
+    """prices() from first to PRICE_DAYS after last."""
+    return prices(raw).where(F.col("date").between(F.lit(first).cast("date"), F.date_add(F.lit(last).cast("date"), PRICE_DAYS)))
+
+
 def prices(raw: DataFrame) -> DataFrame:
     """(ticker, date, close) without missing values."""
     return raw.where(F.col("close").isNotNull() & ~F.isnan("close")).select("ticker", F.to_date("date").alias("date"), F.col("close").cast("double").alias("close"))
