@@ -38,7 +38,7 @@ from docloom.llm.shingles import mix, shingle_sets, slices
 
 CELLS = 1 << 16
 BITS = 1024
-ENTRIES_A_BUCKET = 2_000_000
+ENTRIES_A_BUCKET = 1_000_000
 PART_ENTRIES = 4000
 
 
@@ -331,8 +331,8 @@ def leftover_pairs(sets: DataFrame, buckets: int) -> DataFrame:
                 if one != two:
                     may &= side[at : at + step, None] != side[at : at + len(y)]
                 i, j = np.nonzero(may)
-                for c in range(0, len(i), 1 << 17):
-                    p, q = y[i[c : c + (1 << 17)]], y[j[c : c + (1 << 17)]]
+                for c in range(0, len(i), 1 << 15):
+                    p, q = y[i[c : c + (1 << 15)]], y[j[c : c + (1 << 15)]]
                     differ = np.bitwise_count(p["parity"] ^ q["parity"]).sum(axis=1)
                     # A link has at most a seventh of both sizes' sum in the symmetric difference.
                     near = 7 * differ.astype(np.int64) <= p["n"] + q["n"]

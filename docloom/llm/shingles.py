@@ -14,7 +14,7 @@ import numpy as np
 
 
 WORDS = 5
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _rng = np.random.default_rng(5)
 PRIMES = (np.uint64((1 << 31) - 1), np.uint64((1 << 31) - 19))
 _CODES = [_rng.integers(1 << 20, int(p), 256, dtype=np.uint64) for p in PRIMES]
@@ -103,7 +103,7 @@ def _lone(words: np.ndarray) -> np.uint64:
     return mix(words * _SHORT[: len(words)] + np.uint64(len(words))).sum(dtype=np.uint64)
 
 
-def slices(texts: list[bytes], most: int = 1 << 20) -> list[tuple[int, int]]:
+def slices(texts: list[bytes], most: int = 1 << 19) -> list[tuple[int, int]]:
     """Ranges of texts of about so many bytes."""
     out, a, n = [], 0, 0
     for k, t in enumerate(texts):

@@ -175,16 +175,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_chars: i
     return fit(*labelled_sample(docs, labels, "toxic", max_rows, max_chars), swaps_weight=swaps_weight, groups=groups)
 
 
-_known: dict[int, dict[str, float]] = {}
+MOST_KNOWN = 100_000
 
 
 def score_column(model: Model, text: str = "text") -> Column:
-    """The score of every whole text; the model is 2^17 weights at any size of the corpus."""
+    """The score of every whole text; the model is 2^17 weights at any size of the corpus, and a task remembers MOST_KNOWN words' weights."""
     weights, bias = model.weights, model.bias
-    key = zlib.crc32(weights.tobytes())
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m, known = Model(weights, bias), _known.setdefault(key, {})
+        m, known = Model(weights, bias), {}
         for texts in batches:
             scores = np.empty(len(texts))
             for k, text in enumerate(texts):
@@ -192,7 +191,7 @@ def score_column(model: Model, text: str = "text") -> Column:
                 for w in words.difference(known):
                     known[w] = m.weight(w)
                 scores[k] = _squash(bias + math.fsum(map(known.__getitem__, words)))
-                if len(known) > 400_000:
+                if len(known) > MOST_KNOWN:
                     known.clear()
             yield pd.Series(scores)
 
