@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import bounded_batches
 
 SLICE_BYTES = 1 << 20
+MOST_PIECE_CHUNKS = 300_000
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 5
@@ -274,7 +275,7 @@ def table_for(kind: str, model: bytes) -> ChunkTable:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     key = (kind, hash(model))
     if key not in _made:
-        _made[key] = ChunkTable(PieceSegmenter(model) if kind == "piece" else WordSegmenter(model.decode()))
+        _made[key] = ChunkTable(PieceSegmenter(model), MOST_PIECE_CHUNKS) if kind == "piece" else ChunkTable(WordSegmenter(model.decode()))
     return _made[key]
 
 

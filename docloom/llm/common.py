@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 32 << 20
+#: Fixed value: the C library's name for the size from which memory is mapped apart.
+M_MMAP_THRESHOLD = -3
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -97,6 +99,19 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
             spark.conf.set(key, str(most))
 
 
+def lean_memory() -> None:
+    """In a Python worker: arrays of a megabyte and more go back to the system when they are freed, where the C library can be told so."""
+    import ctypes
+
+    import pyarrow as pa
+
+    try:
+        ctypes.CDLL(None).mallopt(M_MMAP_THRESHOLD, 1 << 20)
+    except (AttributeError, OSError):
+        pass  # another C library
+    pa.default_memory_pool().release_unused()
+
+
 def spread_join(many: DataFrame, one: DataFrame, on: str, salts: int = 16, by: tuple[str, ...] = ()) -> DataFrame:
     """many.join(one, on), where one has a row for each key and many may have a third of its rows under one.
 

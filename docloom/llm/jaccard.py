@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded_batches, materialize, scratch, spread_join
+from docloom.llm.common import bounded_batches, lean_memory, materialize, scratch, spread_join
 from docloom.llm.components import components
 from docloom.llm.shingles import mix, shingle_sets, slices
 
@@ -88,6 +88,7 @@ def sizes_and_counts(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n, sig_a, sig_b, mark) of every row (doc_id, text), and how many tokens of all rows fall in each cell."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         counts = np.zeros(CELLS, np.int64)
         for b in batches:
             ids, texts, marks = b.column(0), b.column(1).to_pylist(), b.column(2)
@@ -177,6 +178,7 @@ def shared_prefixes(rows: DataFrame, heavy: np.ndarray, buckets: int) -> DataFra
     """(doc, center, shared): prefix tokens that doc shares with others, by the least document of each token."""
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         for b in batches:
             found = []
             ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
@@ -189,6 +191,7 @@ def shared_prefixes(rows: DataFrame, heavy: np.ndarray, buckets: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([blob], pa.binary())], names=["bucket", "blob"])
 
     def stars(table: pa.Table) -> pa.Table:
+        lean_memory()
         tokens, docs, first = _grouped(*_unpacked(table.column("blob").to_pylist()))
         size = np.diff(np.append(first, len(tokens)))
         return pa.Table.from_arrays(_pair_counts(docs, np.repeat(docs[first], size)), names=["doc", "center", "shared"])
@@ -201,6 +204,7 @@ def verified(pairs: DataFrame) -> DataFrame:
     """Those of pairs (a, b, keys_a, keys_b) that link, by their whole sets."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         for b in batches:
             hold = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
@@ -262,6 +266,7 @@ def cell_parts(sets: DataFrame) -> np.ndarray:
     """Into how many parts each cell's documents are dealt: one, but for cells of more than PART_ENTRIES and four times the mean."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         counts = np.zeros(CELLS, np.int64)
         for b in batches:
             counts += np.bincount(_cell(_prefix_entries(b)[0]), minlength=CELLS)
@@ -277,6 +282,7 @@ def leftover_pairs(sets: DataFrame, buckets: int) -> DataFrame:
     parts = cell_parts(sets)
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         for b in batches:
             tokens, rows = _prefix_entries(b)
             facts = np.zeros(b.num_rows, FACTS)
@@ -303,6 +309,7 @@ def leftover_pairs(sets: DataFrame, buckets: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([*numbers, pa.array([tokens[at].tobytes()]), pa.array([back.astype(np.int64).tobytes()]), pa.array([facts[own].tobytes()])], names=["bucket", "parts", "i", "j", "tokens", "rows", "facts"])
 
     def compare(table: pa.Table) -> pa.Table:
+        lean_memory()
         n, one, two = (table.column(c)[0].as_py() for c in ("parts", "i", "j"))
         tokens, rows, facts, base = [], [], [], 0
         for t, r, f in zip(*(table.column(c).to_pylist() for c in ("tokens", "rows", "facts")), strict=True):
@@ -356,6 +363,7 @@ def whole_sets(rows: DataFrame, wanted: DataFrame, heavy: np.ndarray) -> DataFra
     """(doc, keys, l, centers, is_center) of the documents in wanted (doc, centers, is_center): whole sets as sorted 64-bit integers."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         for b in batches:
             texts = b.column(1).to_pylist()
             for s, e in slices(texts):

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded_batches
+from docloom.llm.common import bounded_batches, lean_memory
 from docloom.llm.sampling import labelled_sample
 
 DIM = 1 << 17
@@ -183,6 +183,7 @@ def score_column(model: Model, text: str = "text") -> Column:
     weights, bias = model.weights, model.bias
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lean_memory()
         m, known = Model(weights, bias), {}
         for texts in batches:
             scores = np.empty(len(texts))
