@@ -89,9 +89,9 @@ def learn_groups(texts: list[str], labels: list[int], least: int = 20, most_term
     """
     seen = (collections.Counter(), collections.Counter())
     n = [0, 0]
-    tokens = [_words(t.lower()) for t in texts]
-    for words, y in zip(tokens, labels, strict=True):
-        seen[y].update(set(words))
+    # Texts are cut twice rather than all their words held at once.
+    for text, y in zip(texts, labels, strict=True):
+        seen[y].update(set(_words(text.lower())))
         n[y] += 1
     if not min(n):
         return []
@@ -102,7 +102,8 @@ def learn_groups(texts: list[str], labels: list[int], least: int = 20, most_term
     # Neighbours fold into a fixed number of slots, so the table of contexts is bounded.
     slots = 256
     context = np.zeros((len(usual), slots), np.float32)
-    for words in tokens:
+    for text in texts:
+        words = _words(text.lower())
         for at, w in enumerate(words):
             k = place.get(w)
             if k is not None:
