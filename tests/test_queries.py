@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__
 from docloom.plans import ORACLE_SQL, QUERIES
+from tests.test_engine import plain_windows
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -43,6 +44,14 @@ def test_query_without_sql_has_rows_or_a_schema(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).columns
 
 
+def test_windows_query_equals_the_rule(spark, sf_dir):
+    plain = {r.doc_id: plain_windows(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    got = {}
+    for r in QUERIES["windows"](spark, sf_dir).orderBy("doc_id", "place").collect():
+        got.setdefault(r.doc_id, []).append(r.window)
+    assert got == plain
+
+
 def test_entry_is_the_flagship(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["doc_id", "score"]
