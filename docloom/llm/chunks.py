@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded_batches
+from docloom.llm.common import bounded_batches, worker_caches
 
 SLICE_BYTES = 1 << 20
 MOST_PIECE_CHUNKS = 300_000
@@ -268,6 +268,7 @@ class WordSegmenter:
 
 
 _made: dict[tuple[str, int], ChunkTable] = {}
+worker_caches.append(_made)
 
 
 def table_for(kind: str, model: bytes) -> ChunkTable:

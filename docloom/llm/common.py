@@ -99,19 +99,37 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
             spark.conf.set(key, str(most))
 
 
+#: What operators keep in a Python worker from task to task, such as tables of chunks.
+worker_caches: list[dict] = []
+
+
 def lean_memory() -> None:
-    """In a Python worker: arrays of a megabyte and more go back to the system when they are freed, where the C library can be told so."""
+    """In a Python worker: what earlier operators kept there goes, and freed memory goes back to the system, at once and, for
+    arrays of a megabyte and more, from then on, where the C library can be told so."""
     import ctypes
 
     import pyarrow as pa
 
+    for kept in worker_caches:
+        kept.clear()
     try:
         ctypes.CDLL(None).mallopt(M_MMAP_THRESHOLD, 1 << 20)
     except (AttributeError, OSError):
         pass  # another C library
+    give_back()
     pa.default_memory_pool().release_unused()
 
 
+def give_back() -> None:
+    """Memory that this process has freed, after fitting a model for instance, goes back to the system, where the C library can be told so."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def spread_join(many: DataFrame, one: DataFrame, on: str, salts: int = 16, by: tuple[str, ...] = ()) -> DataFrame:
     """many.join(one, on), where one has a row for each key and many may have a third of its rows under one.
 

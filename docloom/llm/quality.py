@@ -10,6 +10,7 @@ column but the text (and, in train, the id) is read, and rows without an id are
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded_batches
+from docloom.llm.common import bounded_batches, give_back
 from docloom.llm.sampling import labelled_sample
 
 DICT_BYTES = 112 << 10
@@ -101,7 +102,10 @@ def _inputs(sizes: Sizes, texts: Iterable[str]) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_chars: int = 16_000_000, pieces_of_one: int | None = PIECES_OF_ONE, most_pieces: int | None = MOST_PIECES) -> Model:
     """The dictionaries take pieces_of_one pieces of PIECE characters from each text's beginning, most_pieces at most; None: no such bound."""
     bounded_batches(docs.sparkSession)
-    return fit(*labelled_sample(docs, labels, "quality", max_rows, max_chars), pieces_of_one, most_pieces)
+    model = fit(*labelled_sample(docs, labels, "quality", max_rows, max_chars), pieces_of_one, most_pieces)
+    gc.collect()
+    give_back()
+    return model
 
 
 def score_column(model: Model, text: str = "text") -> Column:

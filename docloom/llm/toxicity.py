@@ -16,6 +16,7 @@ or documents all scores are the intercept's; an empty table gives an empty table
 from __future__ import annotations
 
 import collections
+import gc
 import math
 import re
 import zlib
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded_batches, lean_memory
+from docloom.llm.common import bounded_batches, give_back, lean_memory
 from docloom.llm.sampling import labelled_sample
 
 DIM = 1 << 17
@@ -173,7 +174,10 @@ def fit(texts: list[str], labels: list[int], swaps_weight: float = 1.0, epochs:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_chars: int = 24_000_000, groups: Groups = IDENTITY_GROUPS, swaps_weight: float = 1.0) -> Model:
     """Fitted on labelled_sample's rows, at most max_rows and max_chars; groups are joined by those learned from these rows."""
     bounded_batches(docs.sparkSession)
-    return fit(*labelled_sample(docs, labels, "toxic", max_rows, max_chars), swaps_weight=swaps_weight, groups=groups)
+    model = fit(*labelled_sample(docs, labels, "toxic", max_rows, max_chars), swaps_weight=swaps_weight, groups=groups)
+    gc.collect()
+    give_back()
+    return model
 
 
 MOST_KNOWN = 100_000
