@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import jaccard, mixing, pieces, pii, toxicity
-from docloom.llm.common import documents, drop, fresh_path, scratch
+from docloom.llm.common import documents, drop, fresh_path, may_be_among, scratch
 from docloom.llm.queries import PIECE_MODEL
 
 TOXIC = 0.5
@@ -33,10 +33,11 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Of every component of linked documents the one with the smallest id stays.
 
     Texts without words (null ones too) link with nothing and stay, as do rows without an id; rows that repeat an id
-    are one document (see jaccard) and stay or go together.
+    are one document (see jaccard) and stay or go together. Only texts that may be among those that go are dealt.
     """
     others = jaccard.near_duplicates(docs).where(F.col("component_id") != F.col("doc_id")).select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    may_go = may_be_among(others)(F.col("doc_id"))
+    return docs.where(~may_go).union(docs.where(may_go).join(others, "doc_id", "left_anti").select(docs.columns))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded_batches, lean_memory, materialize, scratch, spread_join
+from docloom.llm.common import bounded_batches, lean_memory, materialize, may_be_among, scratch, spread_join
 from docloom.llm.components import components
 from docloom.llm.shingles import mix, shingle_sets, slices
 
@@ -360,7 +360,10 @@ FACTS = np.dtype([("doc", np.int64), ("comp", np.int64), ("n", np.int64), ("l",
 
 
 def whole_sets(rows: DataFrame, wanted: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """(doc, keys, l, centers, is_center) of the documents in wanted (doc, centers, is_center): whole sets as sorted 64-bit integers."""
+    """(doc, keys, l, centers, is_center) of the documents in wanted (doc, centers, is_center): whole sets as sorted 64-bit integers.
+
+    Sets are dealt by document, texts are not: rows should be few more than those wanted.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_memory()
@@ -369,11 +372,10 @@ def whole_sets(rows: DataFrame, wanted: DataFrame, heavy: np.ndarray) -> DataFra
             for s, e in slices(texts):
                 keys, offsets = shingle_sets(texts[s:e])
                 blobs = [keys[i:j].tobytes() for i, j in zip(offsets, offsets[1:], strict=False)]
-                part = b.slice(s, e - s)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary()), pa.array(chosen_l(keys, offsets, heavy)), part.column(2), part.column(3)], names=["doc", "keys", "l", "centers", "is_center"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), pa.array(blobs, pa.binary()), pa.array(chosen_l(keys, offsets, heavy))], names=["doc", "keys", "l"])
 
-    found = rows.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "text", "centers", "is_center")
-    return found.mapInArrow(run, "doc long, keys binary, l long, centers array<long>, is_center boolean").dropDuplicates(["doc"])
+    found = rows.select("doc_id", "text").mapInArrow(run, "doc long, keys binary, l long")
+    return found.join(wanted, "doc").dropDuplicates(["doc"]).select("doc", "keys", "l", "centers", "is_center")
 
 
 def _enough(n: Column) -> Column:
@@ -411,7 +413,8 @@ def _near_duplicates(rows: DataFrame) -> DataFrame:
     stars = materialize(stars.select("doc", F.array_distinct(F.array("most.a", "least")).alias("centers")), "stars")
     hubs = stars.select(F.explode("centers").alias("doc")).distinct().withColumn("is_center", F.lit(True))
     wanted = kept.select("doc").join(stars, "doc", "left").join(hubs, "doc", "left").na.fill(False, ["is_center"])
-    sets = materialize(whole_sets(rows, wanted, heavy), "sets")
+    may_be_kept = may_be_among(kept.select("doc"))
+    sets = materialize(whole_sets(rows.where(may_be_kept(F.col("doc_id"))), wanted, heavy), "sets")
     # A hub's set goes to as many places as it has members, 16 at most; members' sets are dealt by hub and salt.
     salt = F.pmod(F.xxhash64("b"), F.lit(16)).alias("salt")
     members = sets.select(F.explode("centers").alias("a"), F.col("doc").alias("b"), F.col("keys").alias("keys_b")).select("a", salt, "b", "keys_b")

@@ -4,12 +4,14 @@ import collections
 import hashlib
 import random
 import re
+import time
 from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from docloom.llm import common, jaccard, suffixes
 from docloom.llm.common import spread_join
 from docloom.llm.components import components
@@ -148,6 +150,60 @@ def test_temporary_tables_go_and_need_a_shared_folder(spark):
         common.shared_dir(Elsewhere())
 
 
+def shuffled_bytes(spark):
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(k) for k in range(stages.size()))}
+
+
+def test_texts_that_neither_link_nor_go_are_not_dealt(spark, monkeypatch, tmp_path):
+    """Also where ids are too many to broadcast. Before, the stage dealt every text twice."""
+    r = random.Random(7)
+    texts = [" ".join(f"{r.getrandbits(32):08x}" for _ in range(5000)) for _ in range(200)]
+    texts += [t + " more" for t in texts[:10]]
+    rows(spark, texts).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        old = shuffled_bytes(spark)
+        left = {x.doc_id for x in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()}
+        sent = sum(v for k, v in shuffled_bytes(spark).items() if k not in old)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert left == set(range(0, 600, 3))
+    assert 0 < sent < sum(map(len, texts))
+
+
+def test_ids_that_may_be_among_others(spark):
+    ids = spark.range(0, 30_000, 3).toDF("x")
+    both = spark.range(-30_000, 30_000).select(F.col("id").alias("doc_id"), ((F.col("id") >= 0) & (F.col("id") % 3 == 0)).alias("there")).union(spark.createDataFrame([(None, False)], "doc_id long, there boolean"))
+    told = both.select("there", common.may_be_among(ids)(F.col("doc_id")).alias("may"))
+    assert told.where("there and not may").count() == 0
+    assert told.where("not there and may").count() < 0.04 * 50_000
+    assert told.where("may is null").count() == 0
+    assert both.where("there").where(common.may_be_among(ids, 1 << 12)(F.col("doc_id"))).count() == 10_000
+    assert both.where(common.may_be_among(ids.limit(0))(F.col("doc_id"))).count() == 0
+
+
+def test_queries_inside_scratch_leave_no_shuffle_files(spark):
+    def shuffle_files():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in (files.apply(k) for k in range(files.size())) if f.getName().startswith("shuffle_")}
+
+    before, was = shuffle_files(), spark.conf.get(common.SHUFFLES_GO, None)
+    with common.scratch(spark):
+        kept = [common.materialize(spark.range(1000).repartition(5, "id"), "some") for _ in range(3)]
+        for _ in range(50):
+            if not (left := shuffle_files() - before):
+                break
+            time.sleep(0.2)
+        assert sum(x.count() for x in kept) == 3000
+    assert not left
+    assert spark.conf.get(common.SHUFFLES_GO, None) == was
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(k, k + 1) for k in range(0, 60)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
