@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import jaccard, mixing, pieces, pii, toxicity
-from docloom.llm.common import documents, drop, fresh_path, may_be_among, scratch
+from docloom.llm.common import MayBeAmong, documents, drop, fresh_path, scratch
 from docloom.llm.queries import PIECE_MODEL
 
 TOXIC = 0.5
@@ -36,7 +36,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     are one document (see jaccard) and stay or go together. Only texts that may be among those that go are dealt.
     """
     others = jaccard.near_duplicates(docs).where(F.col("component_id") != F.col("doc_id")).select("doc_id")
-    may_go = may_be_among(others)(F.col("doc_id"))
+    may_go = MayBeAmong(others).column(F.col("doc_id"))
     return docs.where(~may_go).union(docs.where(may_go).join(others, "doc_id", "left_anti").select(docs.columns))
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded_batches, lean_memory, materialize, may_be_among, scratch, spread_join
+from docloom.llm.common import MayBeAmong, bounded_batches, lean_memory, materialize, scratch, spread_join
 from docloom.llm.components import components
 from docloom.llm.shingles import mix, shingle_sets, slices
 
@@ -118,8 +118,12 @@ def _summed(blobs: DataFrame) -> np.ndarray:
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(CELLS)), pa.array(total)], names=["cell", "n"])
 
+    return _by_cell(blobs.mapInArrow(add, "cell long, n long"))
+
+
+def _by_cell(counts: DataFrame) -> np.ndarray:
     out = np.zeros(CELLS, np.int64)
-    cells = blobs.mapInArrow(add, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = counts.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     return out
 
@@ -263,7 +267,10 @@ def _side(docs: np.ndarray, parts: int) -> np.ndarray:
 
 
 def cell_parts(sets: DataFrame) -> np.ndarray:
-    """Into how many parts each cell's documents are dealt: one, but for cells of more than PART_ENTRIES and four times the mean."""
+    """Into how many parts each cell's documents are dealt: one, but for cells of more than PART_ENTRIES and four times the mean.
+
+    A task has one Python worker here as elsewhere: second ones would stay, and keep what later operators remember once more.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_memory()
@@ -271,9 +278,9 @@ def cell_parts(sets: DataFrame) -> np.ndarray:
         for b in batches:
             counts += np.bincount(_cell(_prefix_entries(b)[0]), minlength=CELLS)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], names=["counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CELLS)), pa.array(counts)], names=["cell", "n"])
 
-    counts = _summed(sets.select("doc", "component", "keys", "l").mapInArrow(run, "counts binary"))
+    counts = _by_cell(sets.select("doc", "component", "keys", "l").mapInArrow(run, "cell long, n long"))
     return np.maximum(1, -(-counts // int(max(PART_ENTRIES, 4 * counts.mean())))).astype(np.int32)
 
 
@@ -359,22 +366,25 @@ def leftover_pairs(sets: DataFrame, buckets: int) -> DataFrame:
 FACTS = np.dtype([("doc", np.int64), ("comp", np.int64), ("n", np.int64), ("l", np.int64), ("parity", np.uint8, BITS // 8)])
 
 
-def whole_sets(rows: DataFrame, wanted: DataFrame, heavy: np.ndarray) -> DataFrame:
+def whole_sets(rows: DataFrame, wanted: DataFrame, may_be_wanted: MayBeAmong, heavy: np.ndarray) -> DataFrame:
     """(doc, keys, l, centers, is_center) of the documents in wanted (doc, centers, is_center): whole sets as sorted 64-bit integers.
 
-    Sets are dealt by document, texts are not: rows should be few more than those wanted.
+    Sets of documents that may be wanted are dealt by document, texts are not.
     """
+    tell = may_be_wanted.test()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_memory()
         for b in batches:
+            b = b.filter(tell(b.column(2), b.column(3)))
             texts = b.column(1).to_pylist()
             for s, e in slices(texts):
                 keys, offsets = shingle_sets(texts[s:e])
                 blobs = [keys[i:j].tobytes() for i, j in zip(offsets, offsets[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), pa.array(blobs, pa.binary()), pa.array(chosen_l(keys, offsets, heavy))], names=["doc", "keys", "l"])
 
-    found = rows.select("doc_id", "text").mapInArrow(run, "doc long, keys binary, l long")
+    one, two = may_be_wanted.places(F.col("doc_id"))
+    found = rows.select("doc_id", "text", one.alias("one"), two.alias("two")).mapInArrow(run, "doc long, keys binary, l long")
     return found.join(wanted, "doc").dropDuplicates(["doc"]).select("doc", "keys", "l", "centers", "is_center")
 
 
@@ -413,8 +423,7 @@ def _near_duplicates(rows: DataFrame) -> DataFrame:
     stars = materialize(stars.select("doc", F.array_distinct(F.array("most.a", "least")).alias("centers")), "stars")
     hubs = stars.select(F.explode("centers").alias("doc")).distinct().withColumn("is_center", F.lit(True))
     wanted = kept.select("doc").join(stars, "doc", "left").join(hubs, "doc", "left").na.fill(False, ["is_center"])
-    may_be_kept = may_be_among(kept.select("doc"))
-    sets = materialize(whole_sets(rows.where(may_be_kept(F.col("doc_id"))), wanted, heavy), "sets")
+    sets = materialize(whole_sets(rows, wanted, MayBeAmong(kept.select("doc")), heavy), "sets")
     # A hub's set goes to as many places as it has members, 16 at most; members' sets are dealt by hub and salt.
     salt = F.pmod(F.xxhash64("b"), F.lit(16)).alias("salt")
     members = sets.select(F.explode("centers").alias("a"), F.col("doc").alias("b"), F.col("keys").alias("keys_b")).select("a", salt, "b", "keys_b")

@@ -157,7 +157,7 @@ def shuffled_bytes(spark):
     return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(k) for k in range(stages.size()))}
 
 
-def test_texts_that_neither_link_nor_go_are_not_dealt(spark, monkeypatch, tmp_path):
+def test_texts_that_neither_link_nor_go_are_not_dealt(spark, tmp_path):
     """Also where ids are too many to broadcast. Before, the stage dealt every text twice."""
     r = random.Random(7)
     texts = [" ".join(f"{r.getrandbits(32):08x}" for _ in range(5000)) for _ in range(200)]
@@ -179,12 +179,12 @@ def test_texts_that_neither_link_nor_go_are_not_dealt(spark, monkeypatch, tmp_pa
 def test_ids_that_may_be_among_others(spark):
     ids = spark.range(0, 30_000, 3).toDF("x")
     both = spark.range(-30_000, 30_000).select(F.col("id").alias("doc_id"), ((F.col("id") >= 0) & (F.col("id") % 3 == 0)).alias("there")).union(spark.createDataFrame([(None, False)], "doc_id long, there boolean"))
-    told = both.select("there", common.may_be_among(ids)(F.col("doc_id")).alias("may"))
+    told = both.select("there", common.MayBeAmong(ids).column(F.col("doc_id")).alias("may"))
     assert told.where("there and not may").count() == 0
     assert told.where("not there and may").count() < 0.04 * 50_000
     assert told.where("may is null").count() == 0
-    assert both.where("there").where(common.may_be_among(ids, 1 << 12)(F.col("doc_id"))).count() == 10_000
-    assert both.where(common.may_be_among(ids.limit(0))(F.col("doc_id"))).count() == 0
+    assert both.where("there").where(common.MayBeAmong(ids, 1 << 12).column(F.col("doc_id"))).count() == 10_000
+    assert both.where(common.MayBeAmong(ids.limit(0)).column(F.col("doc_id"))).count() == 0
 
 
 def test_queries_inside_scratch_leave_no_shuffle_files(spark):
