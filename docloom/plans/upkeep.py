@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.operators import evaluation, sentiment, store, upkeep, vectors
+from docloom.operators import evaluation, sentiment, store, sums, upkeep, vectors
 from docloom.plans.registry import query, table
 from docloom.streaming import events as streams
 
@@ -147,8 +147,10 @@ def rebuild_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT user_id AS entity, CASE WHEN avg(value) IS NULL THEN 'unavailable' WHEN avg(value) - 50 > 0.1 THEN 'positive' WHEN avg(value) - 50 < -0.1 THEN 'negative' ELSE 'neutral' END AS label FROM events GROUP BY 1",
 )
 def predicted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("entity")).agg((F.avg("value") - 50).alias("score"))
-    return sentiment.predicted_label(scores)
+    """A mean at an edge of neutral is that of values added in order of events, whatever task reads them."""
+    score = F.try_divide(F.col("total"), F.col("n")) - 50
+    means = sums.totals(table(spark, sf_dir, "events"), ["user_id"], "value", "event_id", F.abs(F.abs(score) - 0.1) < 1e-6)
+    return sentiment.predicted_label(means.select(F.col("user_id").alias("entity"), score.alias("score")))
 
 
 @query("percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
