@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import rerank, tables
+from docloom.operators import rerank, sums, tables
 from docloom.plans.registry import query, table
 from docloom.sources.filings import cik, header_dates, sections
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page for each customer: a lead-in, a table of orders by year with a split dollar sign, and a layout table."""
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice")).cast("long").alias("total"))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("y"), "o_orderkey", "o_totalprice")
+    # A total half-way between whole numbers is added in order of orders, as its last digit decides.
+    halfway = F.abs(F.abs(F.col("total")) % 1 - 0.5) < 1e-3
+    o = sums.totals(orders, ["o_custkey", "y"], "o_totalprice", "o_orderkey", halfway).select("o_custkey", "y", F.col("rows").alias("n"), F.round("total").cast("long").alias("total"))
     last = o.groupBy("o_custkey").agg(F.max("y").alias("y1"))
     now = last.join(o, [last.o_custkey == o.o_custkey, last.y1 == o.y]).select(last.o_custkey, "y1", F.col("n").alias("n1"), F.col("total").alias("t1"))
     html = F.concat(

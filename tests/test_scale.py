@@ -44,3 +44,14 @@ def test_labels_at_an_edge_are_by_the_order_of_events(spark, tmp_path):
     expected = {u: "positive" if m > 0.1 else "negative" if m < -0.1 else "neutral" for u, m in means.items()}
     assert len(set(expected.values())) == 3
     assert {r.entity: r.label for r in QUERIES["predicted_labels"](spark, str(tmp_path)).collect()} == expected
+
+
+def test_totals_halfway_are_by_the_order_of_orders(spark, tmp_path):
+    rows = [(c * 9 + j, c, [100000.1, 33333.3, 77777.7, 0.2, 5.4, 123456.6, 9.9, 41.2][(j * 3 + c) % 8] + c * 0.1 if j < 8 else 0.0) for c in range(40) for j in range(9)]
+    last = {c: round(-sum(round(v * 100) for _, d, v in rows if d == c) / 100 % 1 + 0.5, 2) for c in range(40)}
+    rows = [(k, c, v if k % 9 < 8 else last[c]) for k, c, v in rows]
+    made = spark.createDataFrame(rows[::-1], "o_orderkey long, o_custkey long, o_totalprice double").withColumn("o_orderdate", F.lit("1999-05-05").cast("timestamp_ntz"))
+    made.repartition(7).write.parquet(str(tmp_path / "orders.parquet"))
+    expected = {c: str(int(added(v for _, d, v in rows if d == c) + 0.5)) for c in range(40)}
+    got = QUERIES["table_cells"](spark, str(tmp_path)).where("label = 'Total' and column = '1999'")
+    assert {r.o_custkey: r.value for r in got.collect()} == expected
