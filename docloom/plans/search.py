@@ -82,8 +82,7 @@ BATCH = f"WITH {POSTINGS}, {MANY}, {SCORED}, best AS (SELECT *, row_number() OVE
 
 
 def _batch(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    scored = bm25.scores(_docs(spark, sf_dir), _questions(spark, sf_dir)).withColumn("score", F.round("score", 9))
-    return bm25.top_k(scored, k)
+    return bm25.best(_docs(spark, sf_dir), _questions(spark, sf_dir), k)
 
 
 @query("bm25_batch", f"{BATCH} SELECT query_id, doc_id, rank::BIGINT AS rank, round(score, 4) AS score FROM best WHERE rank <= 10")
@@ -235,7 +234,7 @@ def maxp(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def evidence_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = _batch(spark, sf_dir).withColumn("is_table", F.col("doc_id") % 3 == 0)
-    return fusion.evidence(ranked, 5, 2).withColumn("score", F.round("score", 4))
+    return fusion.evidence(ranked, 5, 2, order="rank").withColumn("score", F.round("score", 4))
 
 
 @query("excerpt", "SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS excerpt FROM documents")

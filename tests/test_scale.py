@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from docloom.operators import sums
+from docloom.operators import bm25, sums
+from docloom.operators.best import Best
 from docloom.plans import QUERIES
+from tests.test_queries import plan_of
 
 
 def added(values):
@@ -55,3 +58,34 @@ def test_totals_halfway_are_by_the_order_of_orders(spark, tmp_path):
     expected = {c: str(int(added(v for _, d, v in rows if d == c) + 0.5)) for c in range(40)}
     got = QUERIES["table_cells"](spark, str(tmp_path)).where("label = 'Total' and column = '1999'")
     assert {r.o_custkey: r.value for r in got.collect()} == expected
+
+
+def test_best_keeps_k_of_each_query_with_ties_by_id(monkeypatch):
+    monkeypatch.setattr("docloom.operators.best.SPARE", 10)
+    rows = [(q, (i * 7) % 101, ((i * 13 + q) % 5) / 3 - 1e-12 * (i % 2)) for q in range(3) for i in range(101)]
+    best = Best(3, 4)
+    for a in range(0, len(rows), 20):
+        best.add(*(np.array(x) for x in zip(*rows[a : a + 20], strict=True)))
+    assert best.size < 50
+    query, ids, *_ = best.cut()
+    expected = [(q, i) for q in range(3) for _, i in sorted((-round(s, 9), i) for p, i, s in rows if p == q)[:4]]
+    assert list(zip(query.tolist(), ids.tolist(), strict=True)) == expected
+
+
+def test_no_pair_of_query_and_document_is_shuffled(spark, sf_dir):
+    """Each task hands on its best: what is dealt by query comes right from the scoring."""
+    for name in ("bm25_batch", "minmax", "evidence_budget", "hybrid_merge", "overlap_diag"):
+        plan = plan_of(QUERIES[name](spark, sf_dir))
+        assert "MapInArrow" in plan
+        assert "hashpartitioning(query_id, doc_id" not in plan.replace("#", " ").split("MapInArrow")[-1], name
+
+
+def test_the_best_are_the_best_of_all_scores(spark):
+    """Equal texts, ids of strings, ids that rows share, questions without a hit and repeated words."""
+    texts = ["the cat sat", "a cat and a dog", "the the dog, 3.50 paid", "", None, "birds fly the sky", "the cat sat", "nothing here", "dog dog dog cat"]
+    questions = spark.createDataFrame([("b", "the cat cat"), ("a", "dog 3.50"), ("c", "zebra"), ("d", "nothing birds zebra")], "query_id string, query string")
+    for ids in ([f"d{k}" for k in range(9)], [f"d{k % 4}" for k in range(9)]):
+        docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id string, text string").repartition(3)
+        every = bm25.top_k(bm25.scores(docs, questions).withColumn("score", F.round("score", 9)), 2).collect()
+        got = bm25.best(docs, questions, 2).collect()
+        assert sorted((r.query_id, r.rank, r.doc_id, round(r.score, 8)) for r in got) == sorted((r.query_id, r.rank, r.doc_id, round(r.score, 8)) for r in every)
