@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from docloom.operators import bm25, sums
+from docloom.operators import bm25, sums, vectors
 from docloom.operators.best import Best
 from docloom.plans import QUERIES
 from tests.test_queries import plan_of
@@ -89,3 +89,29 @@ def test_the_best_are_the_best_of_all_scores(spark):
         every = bm25.top_k(bm25.scores(docs, questions).withColumn("score", F.round("score", 9)), 2).collect()
         got = bm25.best(docs, questions, 2).collect()
         assert sorted((r.query_id, r.rank, r.doc_id, round(r.score, 8)) for r in got) == sorted((r.query_id, r.rank, r.doc_id, round(r.score, 8)) for r in every)
+
+
+def test_the_nearest_are_those_of_all_pairs(spark, monkeypatch):
+    """Copies, opposite, zero and odd vectors, ids of strings, queries in several parts."""
+    monkeypatch.setattr(vectors, "MOST_ASKED", 30)
+    monkeypatch.setattr(vectors, "MANY_PAIRS", 100)
+    made = [[((k % 40) * 7919 * (j + 1) % 23 - 11) / 10 for j in range(6)] for k in range(120)]
+    made[5], made[6] = [0.0] * 6, [-x for x in made[7]]
+    for ids, odd in ((list(range(120)), None), ([f"v{k}" for k in range(120)], None), (list(range(120)), [1.0, 2.0]), (list(range(120)), [float("nan")] * 6)):
+        rows = list(zip(ids, [*made[:-1], odd or made[-1]], strict=True))
+        held = spark.createDataFrame(rows, f"vec_id {'string' if ids[0] == 'v0' else 'long'}, embedding array<float>").repartition(3)
+        queries = held.where("cast(replace(vec_id, 'v', '') as int) between 0 and 12").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+        every = {}
+        for r in vectors._all_pairs(held, queries).collect():
+            every.setdefault(r.query_id, []).append((-r.rounded, r.vec_id))
+        got = {}
+        for r in vectors.search(held, queries, 9).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((round(r.score, 8), r.vec_id))
+        assert {q: x for q, x in got.items()} == {q: [(round(-s, 8), v) for s, v in sorted(x)[:9]] for q, x in every.items()}
+        assert len(got) == 13
+
+
+def test_no_pair_of_vectors_goes_through_a_join(spark, sf_dir):
+    assert "NestedLoop" not in plan_of(QUERIES["knn_batch"](spark, sf_dir))
+    none = spark.createDataFrame([], "query_id long, query array<float>")
+    assert vectors.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), none, 3).collect() == []
