@@ -53,9 +53,9 @@ def diagnostics(merged: DataFrame, by: str = "query_id") -> DataFrame:
     )
 
 
-def evidence(ranked: DataFrame, top_k: int, table_slots: int, by: str = "query_id") -> DataFrame:
-    """The best table_slots tables and prose for the rest of top_k, in order of rank; ranked has by, doc_id, is_table, score."""
-    lane = Window.partitionBy(by, "is_table").orderBy(F.col("score").desc(), "doc_id")
+def evidence(ranked: DataFrame, top_k: int, table_slots: int, by: str = "query_id", order: str | None = None) -> DataFrame:
+    """The best table_slots tables and prose for the rest of top_k, in order of rank; ranked has by, doc_id, is_table, score, and order if that isn't by score."""
+    lane = Window.partitionBy(by, "is_table").orderBy(*([order] if order else [F.col("score").desc(), "doc_id"]))
     t = ranked.withColumn("place", F.row_number().over(lane))
     tables = F.sum(F.when(F.col("is_table") & (F.col("place") <= table_slots), 1).otherwise(0)).over(Window.partitionBy(by))
     t = t.withColumn("quota", F.when(F.col("is_table"), F.lit(table_slots)).otherwise(F.lit(top_k) - tables))
