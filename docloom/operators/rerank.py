@@ -7,11 +7,13 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORDS = 150
+#: Fixed value: texts of which windows are held at once.
+TEXTS = 200
 #: Fixed value: where a sentence ends for windows.
 WINDOW_SENTENCE = r"(?<=[.!?])\s+(?=[A-Z0-9\"'(])"
 _cut = re.compile(WINDOW_SENTENCE).split
@@ -38,13 +40,19 @@ def windows_of(text: str | None, words: int = WORDS) -> list[str]:
     return half_overlapping([s for s in _cut(text) if s.strip()], words)
 
 
+def in_parts(batches: Iterator[pa.Array], words: int = WORDS) -> Iterator[pa.Array]:
+    """The windows of each text, handed on TEXTS at a time, so that a worker never holds a whole batch's."""
+    for b in batches:
+        for a in range(0, len(b), TEXTS):
+            yield pa.array([windows_of(s, words) for s in b.slice(a, TEXTS).to_pylist()], pa.list_(pa.string()))
+
+
 def windows(text: str | Column, words: int = WORDS) -> Column:
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            yield b.map(lambda s: windows_of(s, words))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return in_parts(batches, words)
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "array<string>")(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "array<string>")(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
 def row_windows(rendered: Column, columns: Column) -> Column:

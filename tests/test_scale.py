@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from docloom.operators import bm25, sums, vectors
+from docloom.operators import bm25, rerank, sums, vectors
 from docloom.operators.best import Best
 from docloom.plans import QUERIES
 from tests.test_queries import plan_of
@@ -115,3 +116,11 @@ def test_no_pair_of_vectors_goes_through_a_join(spark, sf_dir):
     assert "NestedLoop" not in plan_of(QUERIES["knn_batch"](spark, sf_dir))
     none = spark.createDataFrame([], "query_id long, query array<float>")
     assert vectors.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), none, 3).collect() == []
+
+
+def test_windows_of_a_batch_are_handed_on_in_parts():
+    texts = [f"Text {k} goes on. " * (k % 90) for k in range(1001)]
+    parts = rerank.in_parts(iter([pa.array(texts[:900]), pa.array(texts[900:])]))
+    first = next(parts)
+    assert len(first) == rerank.TEXTS < 900
+    assert [w for p in (first, *parts) for w in p.to_pylist()] == [rerank.windows_of(t) for t in texts]
